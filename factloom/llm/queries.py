@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import secrets
+from factloom.llm import exact, secrets, sharding
 from factloom.llm.common import documents
 
 
@@ -10,5 +10,27 @@ def op1_secret_scans(spark, sf_dir):
     return secrets.secret_digest(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_secret_scans": op1_secret_scans}
-ORACLES: dict[str, str] = {}
+def op4_exact_dedup(spark, sf_dir):
+    return exact.exact_dedup(documents(spark, sf_dir))
+
+
+def op8_sharding(spark, sf_dir):
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op4_exact_dedup, op8_sharding)}
+
+_NORM = r"""regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"""
+
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": f"""
+        WITH d AS (
+            SELECT doc_id, length(coalesce(text, '')) AS n, {_NORM} AS norm FROM documents
+        ), r AS (
+            SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS nth,
+                   count(*) OVER (PARTITION BY norm) AS group_size
+            FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id ASC NULLS LAST)
+        )
+        SELECT doc_id, keep_id, group_size::BIGINT AS group_size, nth = 1 AS kept, sha256(norm) AS text_sha256
+        FROM r""",
+}
