@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import exact, secrets, sharding
+from factloom.llm import exact, secrets, sharding, simhash
 from factloom.llm.common import documents
 
 
@@ -14,11 +14,15 @@ def op4_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+def op5_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_sharding(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op4_exact_dedup, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op4_exact_dedup, op5_simhash_near_dedup, op8_sharding)}
 
 _NORM = r"""regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"""
 
