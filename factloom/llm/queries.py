@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import exact, secrets, sharding, simhash
+from factloom.llm import exact, langid, pieces, secrets, sharding, simhash
 from factloom.llm.common import documents
 
 
@@ -10,6 +10,14 @@ def op1_secret_scans(spark, sf_dir):
     return secrets.secret_digest(documents(spark, sf_dir))
 
 
+def op2_sentencepiece_dropout(spark, sf_dir):
+    return pieces.encoded_digest(documents(spark, sf_dir))
+
+
+def op3_language_id(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(documents(spark, sf_dir))
 
@@ -22,7 +30,17 @@ def op8_sharding(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op4_exact_dedup, op5_simhash_near_dedup, op8_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scans,
+        op2_sentencepiece_dropout,
+        op3_language_id,
+        op4_exact_dedup,
+        op5_simhash_near_dedup,
+        op8_sharding,
+    )
+}
 
 _NORM = r"""regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"""
 
