@@ -28,16 +28,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a narrow table in the reliable checkpoint folder and drop its lineage.
-
-    The folder is the session's spark.checkpoint.dir; a temporary one is set only where that is unset
-    (local tests).
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; a temporary one is made only where spark.checkpoint.dir is unset (local tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise a narrow table in the reliable, shared checkpoint folder and drop its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import exact, langid, pieces, secrets, sharding, simhash
+from factloom.llm import exact, langid, mixing, pieces, secrets, sharding, simhash
 from factloom.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_mixing(spark, sf_dir):
+    return mixing.mix_documents(documents(spark, sf_dir))
+
+
 def op8_sharding(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -38,6 +42,7 @@ QUERIES = {
         op3_language_id,
         op4_exact_dedup,
         op5_simhash_near_dedup,
+        op6_mixing,
         op8_sharding,
     )
 }
