@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import exact, langid, mixing, pieces, secrets, sharding, simhash
+from factloom.llm import exact, imatch, langid, mixing, pieces, secrets, sharding, simhash
 from factloom.llm.common import documents
 
 
@@ -34,6 +34,10 @@ def op8_sharding(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op9_document_fingerprints(spark, sf_dir):
+    return imatch.fingerprint_documents(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -44,6 +48,7 @@ QUERIES = {
         op5_simhash_near_dedup,
         op6_mixing,
         op8_sharding,
+        op9_document_fingerprints,
     )
 }
 
