@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from factloom.llm import exact, imatch, langid, mixing, pieces, secrets, sharding, simhash
-from factloom.llm.common import documents
+from factloom.llm import chat, exact, imatch, langid, mixing, pieces, secrets, sharding, simhash
+from factloom.llm.common import conversations, documents
 
 
 def op1_secret_scans(spark, sf_dir):
@@ -38,6 +38,10 @@ def op9_document_fingerprints(spark, sf_dir):
     return imatch.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op10_chat_rotation(spark, sf_dir):
+    return chat.rotated(conversations(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -49,12 +53,14 @@ QUERIES = {
         op6_mixing,
         op8_sharding,
         op9_document_fingerprints,
+        op10_chat_rotation,
     )
 }
 
 _NORM = r"""regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"""
 
 ORACLES: dict[str, str] = {
+    "op10_chat_rotation": chat.oracle(),
     "op4_exact_dedup": f"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n, {_NORM} AS norm FROM documents
