@@ -7,7 +7,8 @@ centroid with the largest cosine. A text is rejected when its cosine distance to
 `slack` times the largest such distance among the centroid's own training texts allows (see Model.reject).
 
 The model is fitted on a bounded sample, which is a parameter: at most `per_language` labelled texts of each language,
-those with the smallest hashes of their ids, out of the rows that may be learned from. It has a fixed size
+those with the smallest hashes of their ids among a thinned draw by hash, out of the rows that may be learned from, and
+for the `languages` labels with the most of them. It has a fixed size
 (languages * clusters * DIMENSIONS), is learned on the driver and goes to tasks with the function.
 
 Null text, and text without letters: `und`, score 0, rejected. With no labelled row at all, everything is `und`. A null
@@ -31,6 +32,7 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class Fit:
     per_language: int = 300
+    languages: int = 1000
     clusters: int = 4
     rounds: int = 10
     slack: float = 0.4
@@ -153,8 +155,14 @@ def learn(docs: DataFrame, conf: Fit | None = None) -> Model:
     conf = conf or Fit()
     rows = docs.where((remainder() != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select("lang", "text", F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))
+    # Few rows are ranked: those whose hash is small enough for about twice the sample, given how many there are.
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(conf.languages).collect()
+    shares = [(r["lang"], min(1.0, (2.0 * conf.per_language + 100) / r["n"])) for r in counts]
+    share = docs.sparkSession.createDataFrame(shares, "lang string, share double")  # at most `languages` rows
+    uniform = F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    thin = rows.join(F.broadcast(share), "lang").where(uniform < F.col("share"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "d"))
-    sample = rows.withColumn("nth", nth).where(F.col("nth") <= conf.per_language).select("lang", "text", "h", "d").collect()
+    sample = thin.withColumn("nth", nth).where(F.col("nth") <= conf.per_language).select("lang", "text", "h", "d").collect()
     sample.sort(key=lambda r: (r.lang, r.h, r.d, r.text))
     return fit([(r.lang, r.text) for r in sample], conf)
 
