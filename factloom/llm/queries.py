@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import chat, exact, imatch, langid, mixing, pieces, secrets, sharding, simhash
+from factloom.llm import chat, exact, imatch, langid, mixing, pieces, pii, secrets, sharding, simhash
 from factloom.llm.common import conversations, documents
 
 
@@ -30,6 +30,10 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix_documents(documents(spark, sf_dir))
 
 
+def op7_pii_surrogates(spark, sf_dir):
+    return pii.pseudonymised_documents(documents(spark, sf_dir))
+
+
 def op8_sharding(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES = {
         op4_exact_dedup,
         op5_simhash_near_dedup,
         op6_mixing,
+        op7_pii_surrogates,
         op8_sharding,
         op9_document_fingerprints,
         op10_chat_rotation,
