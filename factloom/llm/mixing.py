@@ -36,7 +36,7 @@ REST, NONE = "(rest)", "(none)"
 
 @dataclass(frozen=True)
 class Mix:
-    targets: dict = field(default_factory=lambda: {"source": 0.5, "lang": 0.5, "topic": 0.5})
+    targets: dict = field(default_factory=lambda: {"source": 0.7, "lang": 0.7, "topic": 0.9})
     seed: str = "mix-1"
     categories: int = 64
     rounds: int = 500
