@@ -350,12 +350,13 @@ def weighted_proportion(spark, sf_dir):
 
 def _judged_pairs(spark, sf_dir, to: int | None = None) -> DataFrame:
     rows = _all_pairs(spark, sf_dir).where((F.col("entailment_type") == "precision") | (F.col("doc_id") % 7 != 0))
-    v = verdict(_judge(F.col("hypothesis"), F.col("index")))
-    pred = v["prediction"]
+    rows = rows.withColumn("answer", _judge(F.col("hypothesis"), F.col("index")))
+    rows = rows.select("doc_id", "lang", "source", "entailment_type", *[c.alias(n) for n, c in verdict(F.col("answer")).items()])
+    pred = F.col("prediction")
     if to is not None:
         from factloom.functions.verdict import map_unparseable
 
-        pred = map_unparseable(pred, v["not_parseable"], to)
+        pred = map_unparseable(pred, F.col("not_parseable"), to)
     return rows.select("doc_id", "lang", "source", "entailment_type", pred.alias("entailment_pred"))
 
 
@@ -636,9 +637,9 @@ def path_metadata_query(spark, sf_dir):
     return rows.select("doc_id", *[c.alias(n) for n, c in path_metadata(F.col("path")).items() if n != "key"])
 
 
-@register("paired_files", """SELECT lang || '|' || source AS key FROM documents WHERE doc_id % 10 < 2 GROUP BY 1 HAVING count(DISTINCT doc_id % 10) = 2""")
+@register("paired_files", """SELECT lang || '|' || source AS key FROM documents WHERE doc_id % 7 < 2 GROUP BY 1 HAVING count(DISTINCT doc_id % 7) = 2""")
 def paired_files(spark, sf_dir):
-    rows = _docs(spark, sf_dir).where("doc_id % 10 < 2").select(compose("lang", "source").alias("key"), (F.col("doc_id") % 10).alias("file"))
+    rows = _docs(spark, sf_dir).where("doc_id % 7 < 2").select(compose("lang", "source").alias("key"), (F.col("doc_id") % 7).alias("file"))
     return rel.paired_files(rows, "key", "file")
 
 
