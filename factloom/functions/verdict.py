@@ -20,7 +20,7 @@ def parse_json(answer: Column) -> Column:
 
 def verdict(answer: Column) -> dict[str, Column]:
     """raw (string), not_parseable (boolean), prediction (int)."""
-    v = parse_json(answer)
+    v = F.when(answer.contains("{"), parse_json(answer))  # only an object can hold the field
     field = F.try_variant_get(v, FIELD, "variant")
     present = field.isNotNull()
     kind = F.schema_of_variant(field)

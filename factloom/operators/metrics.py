@@ -62,13 +62,14 @@ def document_scores(judged: DataFrame, keys: list[str], kind: str = "entailment_
     F1 is 0 if both are 0, and null, like the missing side, for a document that has one kind of pairs only. Null predictions
     (skipped answers) count nowhere.
     """
-    p, r = F.col(kind) == "precision", F.col(kind) == "recall"
     x = F.col(prediction)
-    sums = judged.where(x.isNotNull()).groupBy(*keys).agg(
+    p, r = (F.col(kind) == "precision") & x.isNotNull(), (F.col(kind) == "recall") & x.isNotNull()
+    # Nulls are left out inside the aggregation: a filter would be pushed below, and evaluate the parser once more for it.
+    sums = judged.groupBy(*keys).agg(
         F.count_if(p).alias("n_facts"), F.count_if(p & (x == 0)).alias("fact_fp"), F.sum(F.when(p, x)).alias("p1"),
         F.count_if(r).alias("n_sents"), F.count_if(r & (x == 0)).alias("fact_fn"), F.sum(F.when(r, x)).alias("r1"),
     )
-    sums = sums.select("*", _ratio(F.col("p1"), F.col("n_facts")).alias("p"), _ratio(F.col("r1"), F.col("n_sents")).alias("r"))
+    sums = sums.where("n_facts + n_sents > 0").select("*", _ratio(F.col("p1"), F.col("n_facts")).alias("p"), _ratio(F.col("r1"), F.col("n_sents")).alias("r"))
     f1 = F.when(F.col("p") + F.col("r") == 0, 0.0).otherwise(2 * F.col("p") * F.col("r") / F.when(F.col("p") + F.col("r") != 0, F.col("p") + F.col("r")))
     only = lambda n, c: F.when(F.col(n) > 0, F.col(c)).alias(c)
     return sums.select(
