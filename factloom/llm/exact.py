@@ -11,7 +11,8 @@ stages, each of which groups by the digest *and the whole normalised text*:
 The winner is the row with the most code points in its original text, then the smallest doc_id (a null doc_id
 is last). Decisions go back to narrow rows by the digest. That is sound because stage 3 counts the different
 texts per digest and the query fails, rather than merge them, if two texts share one; a collision of SHA-256
-isn't known. Of repeated rows (same doc_id, same text), exactly one is kept. An empty table gives no rows.
+isn't known. Groups of over a thousandth of all rows, of which there are under a thousand, go back by a broadcast, so that no
+task has to hold the rows of one; all others by a shuffle. Both sides are narrow tables, checkpointed. Of repeated rows (same doc_id, same text), exactly one is kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import text_or_empty, without_space
+from factloom.llm.common import cut, text_or_empty, without_space
 
 SALTS = 16
+#: A group is hot if it has more than this share of all rows; so there are fewer hot groups than its inverse.
+HOT_SHARE = 0.001
 _HALF, _SPAN = 1 << 63, 1 << 65
 _dec = lambda x: F.lit(str(x)).cast("decimal(20,0)")
 
@@ -59,16 +62,22 @@ def decide(docs: DataFrame, digest=None, salts: int = SALTS) -> DataFrame:
     by_digest = whole.groupBy(F.col("digest").alias("__digest")).agg(
         F.max("best").alias("__best"), F.sum("n").alias("group_size"), F.count("*").alias("__texts")
     )
-    by_digest = by_digest.select(
-        "__digest", "__best",
-        F.when(F.col("__texts") == 1, F.col("group_size"))
-        .otherwise(F.raise_error(F.lit("two different texts share a digest")).cast("bigint"))
-        .alias("group_size"),
+    by_digest = cut(
+        by_digest.select(
+            "__digest", "__best",
+            F.when(F.col("__texts") == 1, F.col("group_size"))
+            .otherwise(F.raise_error(F.lit("two different texts share a digest")).cast("bigint"))
+            .alias("group_size"),
+        )
     )
+    hot_size = (by_digest.agg(F.sum("group_size")).first()[0] or 0) * HOT_SHARE
     # Repeated rows of one id and text: number them, so that one of them is kept. Copies have different ids and spread.
     same = Window.partitionBy("doc_id", "digest").orderBy(F.desc("n_chars"))
-    rows = base.select("doc_id", "n_chars", "digest").withColumn("__nth", F.row_number().over(same))
-    out = rows.join(by_digest, rows["digest"] == by_digest["__digest"])
+    rows = cut(base.select("doc_id", "n_chars", "digest").withColumn("__nth", F.row_number().over(same)))
+    hot = F.broadcast(by_digest.where(F.col("group_size") > hot_size))
+    rest = by_digest.where(F.col("group_size") <= hot_size)
+    on = F.col("digest") == F.col("__digest")
+    out = rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(rest, on))
     return out.select(
         "doc_id",
         _id_of(F.col("__best")).alias("keep_id"),
