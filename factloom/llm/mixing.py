@@ -158,7 +158,7 @@ def mix_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     rows = cut(docs.select("doc_id", *named.values(), token_count(text_or_empty()).alias("n_tokens"), draw_key().alias("draw_key")))
     out = Plan(rows, mix).applied(rows, {n: F.col(n) for n in FACTORS})
     drawn = draw(F.col("draw_key"), mix.seed) < F.col("__probability")
-    return out.select("doc_id", *FACTORS, "n_tokens", F.col("__probability").alias("probability"), drawn.alias("selected"))
+    return out.select("doc_id", *FACTORS, "n_tokens", F.round("__probability", 6).alias("probability"), drawn.alias("selected"))
 
 
 def keep_mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
@@ -167,3 +167,31 @@ def keep_mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     weighed = docs.select(*[c.alias(n) for n, c in factors().items()], token_count(text_or_empty()).alias("n_tokens"))
     rows = Plan(weighed, mix).applied(docs.withColumn("__draw", draw(draw_key(), mix.seed)), factors())
     return rows.where("__draw < __probability").select(*docs.columns)
+
+
+def oracle(mix: Mix | None = None, steps: int = 300) -> str:
+    """DuckDB SQL for mix_documents with powers as targets: raking is a recursive query, one factor a step."""
+    mix = mix or Mix()
+    t = "coalesce(text, '')"
+    factor = "CASE step % 3 WHEN 0 THEN ts / ss WHEN 1 THEN tl / sl ELSE tt / st END"
+    goals = ", ".join(f"g{n[0]} AS (SELECT {n}, pow(sum(n), {mix.targets[n]}) AS g FROM cells GROUP BY {n} HAVING sum(n) > 0)" for n in FACTORS)
+    return f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
+                   CASE WHEN contains({t}, 'Licensed under') OR contains({t}, 'All rights reserved') OR contains({t}, 'Copyright') THEN 'licence' WHEN contains({t}, ' | ') THEN 'table'
+                        WHEN contains({t}, '***') OR contains({t}, '###') OR contains({t}, '$$$') OR contains({t}, '&&&') THEN 'symbols' ELSE 'prose' END AS topic,
+                   len(regexp_extract_all({t}, '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
+                   ('0x' || substr(md5('{mix.seed}:' || coalesce(doc_id::VARCHAR, 'text:' || md5({t}))), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE AS u
+            FROM documents
+        ), cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n FROM d GROUP BY ALL), {goals},
+        start AS (
+            SELECT c.*, gs.g / (SELECT sum(g) FROM gs) * (SELECT sum(n) FROM cells) AS ts, gl.g / (SELECT sum(g) FROM gl) * (SELECT sum(n) FROM cells) AS tl, gt.g / (SELECT sum(g) FROM gt) * (SELECT sum(n) FROM cells) AS tt
+            FROM cells c JOIN gs USING (source) JOIN gl USING (lang) JOIN gt USING (topic) WHERE c.n > 0
+        ), r AS (
+            SELECT source, lang, topic, n, n AS x, ts, tl, tt, 0 AS step FROM start
+            UNION ALL
+            SELECT source, lang, topic, n, x * {factor}, ts, tl, tt, step + 1 FROM (
+                SELECT *, sum(x) OVER (PARTITION BY source) AS ss, sum(x) OVER (PARTITION BY lang) AS sl, sum(x) OVER (PARTITION BY topic) AS st FROM r WHERE step < {steps})
+        ), p AS (SELECT source, lang, topic, (x / n) / max(x / n) OVER () AS probability FROM r WHERE step = {steps})
+        SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(coalesce(p.probability, 1.0), 6) AS probability, d.u < coalesce(p.probability, 1.0) AS selected
+        FROM d LEFT JOIN p ON p.source = d.source AND p.lang = d.lang AND p.topic = d.topic"""

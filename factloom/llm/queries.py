@@ -65,6 +65,9 @@ QUERIES = {
 _NORM = r"""regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"""
 
 ORACLES: dict[str, str] = {
+    "op1_secret_scans": secrets.oracle(),
+    "op6_mixing": mixing.oracle(),
+    "op8_sharding": sharding.oracle(),
     "op10_chat_rotation": chat.oracle(),
     "op4_exact_dedup": f"""
         WITH d AS (

@@ -161,3 +161,52 @@ def secret_digest(docs: DataFrame) -> DataFrame:
         F.sha2(_told("base_spans").cast("binary"), 256).alias("base_sha256"),
         _told("secret_spans").alias("spans"),
     )
+
+
+def oracle(scan: EntropyScan | None = None) -> str:
+    """DuckDB SQL for secret_digest: every window's entropy is counted anew there."""
+    scan = scan or EntropyScan()
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+
+    def either(word: str) -> str:
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+    words = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = f"""(?:{words})["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = [assign, ACCESS, "[0-9a-f]{16,}", f"{CANDIDATE_CLASS}{{{scan.window},}}"]
+    located = " UNION ALL ".join(
+        f"""SELECT doc_id, {k} AS rank, unnest(found) AS token, unnest(groups) AS held, unnest(list_transform(range(1, len(found) + 1), lambda i:
+                list_sum(list_transform(pieces[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda p: length(p))), 0)))::BIGINT AS start
+            FROM (SELECT doc_id, regexp_extract_all(t, {quoted(p)}) AS found, regexp_extract_all(t, {quoted(p)}, {1 if k == 0 else 0}) AS groups, regexp_split_to_array(t, {quoted(p)}) AS pieces
+                  FROM d WHERE regexp_matches(t, {quoted(p)}))"""
+        for k, p in enumerate(patterns)
+    )
+    allowed = " OR ".join(f"regexp_full_match(token, {quoted(p)})" for p in scan.allow)
+    w = scan.window
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+        ), m AS ({located}
+        ), base AS (
+            SELECT doc_id, rank, start, start + length(token) AS stop FROM m WHERE rank < 3 AND (rank > 0 OR length(held) >= {ASSIGN_MIN})
+        ), cand AS (
+            SELECT doc_id, token, start, regexp_full_match(token, '[0-9A-Fa-f]+') AS is_hex FROM m WHERE rank = 3 AND NOT ({allowed})
+        ), win AS (
+            SELECT doc_id, start, is_hex, i, list_sum(list_transform(list_distinct(cs), lambda c: -(len(list_filter(cs, lambda x: x = c)) / {w}.0) * log2(len(list_filter(cs, lambda x: x = c)) / {w}.0))) AS h
+            FROM (SELECT doc_id, start, is_hex, i, string_split(substr(token, i + 1, {w}), '') AS cs FROM (SELECT *, unnest(range(0, length(token) - {w} + 1)) AS i FROM cand))
+        ), hot AS (
+            SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, start ORDER BY i) <= {w} THEN 0 ELSE 1 END AS fresh
+            FROM win WHERE h >= CASE WHEN is_hex THEN {scan.thresholds["entropy_hex"]} ELSE {scan.thresholds["entropy_b64"]} END - 1e-9
+        ), runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, start ORDER BY i) AS run FROM hot
+        ), added AS (
+            SELECT doc_id, CASE WHEN is_hex THEN 4 ELSE 3 END AS rank, start + min(i) AS start, start + max(i) + {w} AS stop FROM runs GROUP BY doc_id, start, is_hex, run
+        ), allspans AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM added
+        ), told AS (
+            SELECT doc_id, is_base, rank, start, stop, {list(KINDS)}[rank + 1] || ':' || start || ':' || stop AS s FROM allspans
+        ), g AS (
+            SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+                   coalesce(string_agg(s, ',' ORDER BY start, rank, stop) FILTER (is_base), '') AS base, string_agg(s, ',' ORDER BY start, rank, stop) AS spans
+            FROM told GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""

@@ -84,3 +84,30 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     )
     out = numbered(narrow, "shard", ["doc_id", "text_crc32", "size"], "slot")
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def oracle(shards: int = 8) -> str:
+    """DuckDB SQL for shard_documents: the CRC's table and the jumps are made by list functions over wide integers."""
+
+    def jump(n: int) -> str:
+        step = f"""lambda s, _: CASE WHEN s.j < {n} THEN {{
+                'k': ((s.k * {MULTIPLIER}::HUGEINT + 1) % {MODULUS}::HUGEINT)::HUGEINT, 'b': s.j,
+                'j': floor((s.j + 1)::DOUBLE * ({SPAN}::DOUBLE / ((((s.k * {MULTIPLIER}::HUGEINT + 1) % {MODULUS}::HUGEINT) // {SHIFT}) + 1)::DOUBLE))::BIGINT}} ELSE s END"""
+        return f"""list_reduce([{{'k': key, 'b': -1::BIGINT, 'j': 0::BIGINT}}] || [{{'k': 0::HUGEINT, 'b': 0::BIGINT, 'j': 0::BIGINT}} for _ in range({n})], {step}).b::INTEGER"""
+
+    return f"""
+        WITH crc AS (
+            SELECT list(list_reduce([i::BIGINT] || range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tbl
+            FROM range(256) t(i)
+        ), d AS (
+            SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+                   list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes,
+                   CASE WHEN coalesce(doc_id, 0) < 0 THEN doc_id::HUGEINT + {MODULUS}::HUGEINT ELSE coalesce(doc_id, 0)::HUGEINT END AS key
+            FROM documents
+        ), e AS (
+            SELECT doc_id, size::BIGINT AS size, xor(list_reduce([4294967295] || bytes, lambda c, b: xor(tbl[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)::BIGINT AS text_crc32,
+                   'key' AS law, {jump(shards)} AS shard, {jump(shards + 1)} AS grown_shard
+            FROM d, crc
+        )
+        SELECT doc_id, size, text_crc32, law, shard,
+               (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown_shard FROM e"""
