@@ -15,6 +15,7 @@ from factloom.functions.ids import compose, hash_text, parse_custom_id
 from factloom.functions.verdict import verdict
 from factloom.nlp.sentences import annotate
 from factloom.operators import annotate as an
+from factloom.operators import builders as bd
 from factloom.operators import inference as inf
 from factloom.operators import metrics as mt
 from factloom.operators import pairs as pr
@@ -678,3 +679,38 @@ def _sentences(rules: str):
 
 register("sentences_fast")(_sentences("fast"))
 register("sentences_full")(_sentences("full"))
+
+
+@register("corpus_sample", f"""WITH n AS (SELECT *, {_WORDS.format('text')} * 4.0::DOUBLE / 3.0::DOUBLE AS est_token_count, CASE WHEN lang = 'en' AND source IN ('src0', 'src1') THEN 0 WHEN lang = 'de' THEN 1 END AS s FROM documents),
+    b AS (SELECT * FROM n WHERE s IS NOT NULL AND est_token_count > 64 AND est_token_count < 3840), d AS (
+    SELECT *, row_number() OVER (PARTITION BY s, md5(text) ORDER BY doc_id) AS nth FROM b), r AS (
+    SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5('123456|' || doc_id), doc_id) AS rn FROM d WHERE s = 1 OR nth = 1)
+    SELECT doc_id, md5(text) AS text_hash, est_token_count, CASE s WHEN 0 THEN 'report' ELSE 'letter' END AS note_type, CASE s WHEN 0 THEN 'one' ELSE 'two' END AS dataset_name FROM r WHERE rn <= 25""")
+def corpus_sample(spark, sf_dir):
+    strata = [bd.Stratum("one", "report", (F.col("lang") == "en") & F.col("source").isin("src0", "src1"), True), bd.Stratum("two", "letter", F.col("lang") == "de")]
+    out = bd.sample_corpus(_docs(spark, sf_dir).withColumnRenamed("text", "note_text"), strata, 25)
+    return out.select("doc_id", hash_text(F.col("note_text")).alias("text_hash"), "est_token_count", "note_type", "dataset_name")
+
+
+@register("provenance", """SELECT doc_id AS note_id, md5(text) AS doc_id FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE source = 'src3')""")
+def provenance(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    legacy = d.where("source = 'src3'").select(hash_text(F.col("text")).alias("doc_id"))
+    return bd.provenance(legacy, d.withColumnRenamed("doc_id", "note_id"), "text", "note_id")
+
+
+@register("nli_results_keep_last", f"""WITH a AS (SELECT c.conv_id, c.turn, 'snli|test|' || c.conv_id || '|P1' AS custom_id, c.role AS model, {_judge_sql('text').replace('doc_id', 'c.conv_id')} AS answer FROM conversations c), {_verdict_sql('answer')}
+    SELECT custom_id, model, turn, conv_id AS uid, not_parseable, prediction AS entailment_pred FROM (SELECT *, row_number() OVER (PARTITION BY custom_id, model ORDER BY turn DESC) AS rn FROM verdicts) WHERE rn = 1 AND conv_id % 3 <> 0""")
+def nli_results_keep_last(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id"))
+    rows = c.select("turn", compose(F.lit("snli"), F.lit("test"), "conv_id", F.lit("P1")).alias("custom_id"), F.col("role").alias("model"), _judge(F.col("text")).alias("model_output"), F.when(F.col("conv_id") % 3 != 0, 1).alias("label"))
+    good, _ = bd.nli_table(rows, [F.col("turn")])
+    return good.select("custom_id", "model", "turn", "uid", "not_parseable", "entailment_pred")
+
+
+@register("pair_records", f"""SELECT custom_id, json_extract_string(v, '$.messages[0].role') AS role, md5(json_extract_string(v, '$.metadata.hypothesis')) AS hypothesis_hash FROM (
+    SELECT custom_id, to_json({{'messages': [{{'role': 'user'}}], 'metadata': {{'hypothesis': hypothesis}}}}) AS v FROM ({_pairs_sql('precision')}))""")
+def pair_records(spark, sf_dir):
+    pairs = precision_pairs(spark, sf_dir).withColumns({"premise": F.lit("p"), "prompt": F.col("hypothesis")})
+    told = bd.pair_records(pairs, "m")
+    return told.select("custom_id", F.get_json_object("value", "$.messages[0].role").alias("role"), hash_text(F.get_json_object("value", "$.metadata.hypothesis")).alias("hypothesis_hash"))
