@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factloom.llm import exact, langid, mixing, pieces, simhash
 from factloom.llm.common import checkpoint_folder, documents
@@ -34,10 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text")))
-    return coded.select(
-        "doc_id", "lang", "source", "ids", F.size("ids").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless")
-    )
+    rows = docs.select("doc_id", "lang", "source", "text")
+    return pieces.encode(rows, outputs=("ids", "n_ids", "lossless"), keep_text=False)
 
 
 STAGES = [
