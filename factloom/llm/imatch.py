@@ -36,12 +36,12 @@ _HALF = 1 << 63
 
 @dataclass(frozen=True)
 class Lexicon:
-    rarest: float = 0.0005
-    commonest: float = 0.05
+    rarest: float = 0.0002
+    commonest: float = 0.2
     id_bits: int = 20
-    subsets: int = 16
+    subsets: int = 32
     levels: int = 4
-    enough: int = 8
+    enough: int = 12
     seed: int = 7
 
 
