@@ -99,22 +99,21 @@ def macro_mean(df: DataFrame, inner: list[str], outer: list[str], value: str) ->
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Equal-width bins, the last closed: bin, from, to, n, share. Bounds come from one aggregation, counts from another."""
     x = F.col(column).cast("double")
-    bounds = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))  # one row
-    place = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((x - F.col("lo")) * bins / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))), F.lit(bins - 1)))
-    placed = df.where(x.isNotNull()).crossJoin(F.broadcast(bounds)).select(place.cast("int").alias("bin"), "lo", "hi")
-    counted = placed.groupBy("bin", "lo", "hi").agg(F.count("*").alias("n"))
+    bounds = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("total")).alias("b")).scalar()
+    known = df.where(x.isNotNull()).select(x.alias("x"), bounds.alias("b")).select("x", "b.lo", "b.hi", "b.total")
+    spread = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    place = F.coalesce(F.least(F.floor((F.col("x") - F.col("lo")) * bins / spread), F.lit(bins - 1)), F.lit(0))
+    counted = known.groupBy(place.cast("int").alias("bin"), "lo", "hi", "total").agg(F.count("*").alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
-    total = counted.agg(F.sum("n").alias("total"))
-    return counted.crossJoin(F.broadcast(total)).select(
+    return counted.select(
         "bin", F.round(F.col("lo") + F.col("bin") * width, 6).alias("low"), F.round(F.col("lo") + (F.col("bin") + 1) * width, 6).alias("high"), "n", F.round(F.col("n") / F.col("total"), 6).alias("share")
     )
 
 
 def shares(df: DataFrame, keys: list[str]) -> DataFrame:
     """Counts by key and their share of all rows."""
-    counted = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    total = counted.agg(F.sum("n").alias("total"))
-    return counted.crossJoin(F.broadcast(total)).select(*keys, "n", F.round(F.col("n") / F.col("total"), DIGITS).alias("share"))
+    total = df.agg(F.count("*").alias("total")).scalar()
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, "n", F.round(F.col("n") / total, DIGITS).alias("share"))
 
 
 def category_summary(df: DataFrame, columns: list[str]) -> DataFrame:

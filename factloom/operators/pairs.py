@@ -16,17 +16,14 @@ from factloom.functions.text import fill_template, hypothesis, split_delimited
 def prompt_set(docs: DataFrame, templates: dict[str, str], text: str = "note_text", id_parts: tuple = ("doc_id", "dataset_name", "note_type"), count=None, max_tokens: int = 4096) -> DataFrame:
     """Every document under every template: uid, doc_id, template name, filled prompt, token counts.
 
-    A union of projections, one per template, so that templates are literals; the scan of documents is the only input.
+    Templates are literals of one array, which is exploded: one scan of the documents, no shuffle, and no join.
     """
-    frames = []
-    for name, body in sorted(templates.items()):
-        prompt = fill_template(body, text=F.col(text))
-        frame = docs.select(compose(*id_parts, F.lit(name)).alias("uid"), *[F.col(p) for p in id_parts], F.lit(name).alias("prompt_template_name"), prompt.alias("prompt"), F.lit(max_tokens).alias("max_tokens"), *([count(F.col(text)).alias("n_tokens"), count(prompt).alias("n_prompt_tokens")] if count else []))
-        frames.append(frame)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    filled = [F.struct(F.lit(name).alias("name"), fill_template(body, text=F.col(text)).alias("prompt")) for name, body in sorted(templates.items())]
+    rows = docs.select(*id_parts, *([count(F.col(text)).alias("n_tokens")] if count else []), F.explode(F.array(*filled)).alias("t"))
+    counted = [F.col("n_tokens"), count(F.col("t.prompt")).alias("n_prompt_tokens")] if count else []
+    return rows.select(
+        compose(*id_parts, F.col("t.name")).alias("uid"), *id_parts, F.col("t.name").alias("prompt_template_name"), F.col("t.prompt").alias("prompt"), F.lit(max_tokens).alias("max_tokens"), *counted
+    )
 
 
 def chat_messages(prompt: Column, system: str | None = None) -> Column:

@@ -469,8 +469,8 @@ def missing_pairs(spark, sf_dir):
 def missing_rate(spark, sf_dir):
     a, b = (x.select("doc_id").distinct() for x in (_docs(spark, sf_dir).where("doc_id % 3 <> 0"), table(spark, sf_dir, "labels")))
     n = rel.missing_ids(a, b, "doc_id").agg(F.count("*").alias("n_missing"))
-    ids = a.union(b).distinct().agg(F.count("*").alias("n_ids"))
-    return n.crossJoin(ids).select("n_missing", "n_ids", F.round(F.try_divide(F.col("n_missing").cast("double"), F.col("n_ids")), 9).alias("rate"))
+    ids = a.union(b).distinct().agg(F.count("*")).scalar()
+    return n.select("n_missing", ids.alias("n_ids")).select("n_missing", "n_ids", F.round(F.try_divide(F.col("n_missing").cast("double"), F.col("n_ids")), 9).alias("rate"))
 
 
 @register("hash_semi_join", "SELECT doc_id, lang FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 10 = 3)")
