@@ -2,7 +2,8 @@
 
 A text becomes a TF-IDF vector of hashed character 1- to 3-grams over its letters (lower-cased; every run of other
 characters is one space), with weights (1 + ln tf) * idf, normalised to length 1. Each learned language has
-several centroids, from spherical k-means over its training vectors, and a prediction is the language of the
+several centroids, from spherical k-means over its training vectors (clusters of a few outliers are given up, as they hold
+mislabelled texts), and a prediction is the language of the
 centroid with the largest cosine. A text is rejected when its cosine distance to that centroid is larger than
 `slack` times the largest such distance among the centroid's own training texts allows (see Model.reject).
 
@@ -36,6 +37,7 @@ class Fit:
     clusters: int = 4
     rounds: int = 10
     slack: float = 0.4
+    least_share: float = 0.08  # of a language's sample that a cluster must hold; smaller ones are mostly wrong labels
 
 
 def _letters_table() -> np.ndarray:
@@ -102,17 +104,18 @@ class Model:
         return self.languages[self.language_of[k]], score, bool(cosines[k] < self.reject[k])
 
 
-def _clusters(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Spherical k-means with farthest-first seeds; deterministic."""
+def _clusters(x: np.ndarray, k: int, rounds: int, least: float) -> np.ndarray:
+    """Spherical k-means, deterministic: seeds are texts at even ranks of likeness to the language's mean, which, unlike
+    farthest texts, aren't outliers. Clusters under the least share are given up."""
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
-    seeds = [unit(x.mean(axis=0))]
-    for _ in range(min(k, len(x)) - 1):
-        seeds.append(x[int(np.argmin(np.max(x @ np.array(seeds).T, axis=1)))])
-    c = np.array(seeds)
+    k = min(k, len(x))
+    ranked = np.argsort(x @ unit(x.mean(axis=0)), kind="stable")
+    c = x[ranked[[(2 * i + 1) * len(x) // (2 * k) for i in range(k)]]]
     for _ in range(rounds):
         nearest = np.argmax(x @ c.T, axis=1)
         c = np.array([unit(x[nearest == i].mean(axis=0)) if (nearest == i).any() else c[i] for i in range(len(c))])
-    return c
+    held = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+    return c[(held >= least * len(x)) | (held == held.max())]
 
 
 def fit(texts: list[tuple[str, str]], conf: Fit | None = None) -> Model:
@@ -130,7 +133,7 @@ def fit(texts: list[tuple[str, str]], conf: Fit | None = None) -> Model:
         x = np.zeros((len(own), DIMENSIONS), np.float32)
         for row, f in enumerate(own):
             x[row, f[0]] = model.vector(f)
-        c = _clusters(x, conf.clusters, conf.rounds).astype(np.float32)
+        c = _clusters(x, conf.clusters, conf.rounds, conf.least_share).astype(np.float32)
         cosines = x @ c.T
         nearest = np.argmax(cosines, axis=1)
         for k in range(len(c)):
