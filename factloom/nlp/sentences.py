@@ -142,10 +142,11 @@ def register(spark) -> None:
     """SQL: note_sentences_fast(text) and note_sentences_full(text), arrays of strings."""
     from pyspark.sql.functions import pandas_udf
 
-    for rules in SPLITTERS:
-
-        @pandas_udf("array<string>")
-        def split(texts: pd.Series, rules=rules) -> pd.Series:
+    def splitter(rules: str):
+        def split(texts: pd.Series) -> pd.Series:
             return texts.map(lambda t: [s for _, _, s in sentences(t, rules)])
 
-        spark.udf.register(f"note_sentences_{rules}", split)
+        return pandas_udf(split, "array<string>")
+
+    for rules in SPLITTERS:
+        spark.udf.register(f"note_sentences_{rules}", splitter(rules))

@@ -102,7 +102,7 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     bounds = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("total")).alias("b")).scalar()
     known = df.where(x.isNotNull()).select(x.alias("x"), bounds.alias("b")).select("x", "b.lo", "b.hi", "b.total")
     spread = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    place = F.coalesce(F.least(F.floor((F.col("x") - F.col("lo")) * bins / spread), F.lit(bins - 1)), F.lit(0))
+    place = F.least(F.coalesce(F.floor((F.col("x") - F.col("lo")) * bins / spread), F.lit(0)), F.lit(bins - 1))
     counted = known.groupBy(place.cast("int").alias("bin"), "lo", "hi", "total").agg(F.count("*").alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
     return counted.select(

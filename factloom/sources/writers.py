@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -81,10 +81,16 @@ def send_in_batches(df: DataFrame, send: Callable[[list[dict]], list[str]], size
     return sent.withColumn("part", F.spark_partition_id())
 
 
-def write_templates(templates: dict[str, str], df_folder: str, spark) -> None:
-    """name.tmpl files through Spark's file system, a folder for each name."""
+def write_templates(spark: SparkSession, templates: dict[str, str], folder: str) -> None:
+    """A file name.tmpl for each template, exactly as given, in any file system that Spark reaches."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for name, body in templates.items():
-        spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(f"{df_folder}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.tmpl")
+        out = path.getFileSystem(conf).create(path, True)
+        try:
+            out.write(bytearray(body.encode()))
+        finally:
+            out.close()
 
 
 def dated(stem: str, day: date, suffix: str = "jsonl", fmt: str = "%Y%m%d") -> str:
