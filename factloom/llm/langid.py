@@ -33,7 +33,7 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class Fit:
     per_language: int = 300
-    languages: int = 1000
+    languages: int = 200
     clusters: int = 4
     rounds: int = 10
     slack: float = 0.4
