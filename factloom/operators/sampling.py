@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import token_estimate
+from factloom.operators.numbering import number_rows
 
 
 def hash_rank(seed: int | str, *keys: str) -> Column:
@@ -42,14 +43,16 @@ def cap_rows(df: DataFrame, n: int | None, order: str) -> DataFrame:
 
 
 def sample_with_replacement(df: DataFrame, group: list[str], n: int, seed: int = 7, key: str = "doc_id") -> DataFrame:
-    """n draws from each group: draw i takes the row at a hashed place of the group's hash order."""
-    order = Window.partitionBy(*group).orderBy(hash_rank(seed, key), F.col(key))
-    ranked = df.withColumn("__place", F.row_number().over(order) - 1)
-    sizes = df.groupBy(*group).agg(F.count("*").alias("__size"))
+    """n draws from each group: draw i takes the row at a hashed place of the group's hash order.
+
+    Rows are numbered over the whole table, group by group, so that no task has to hold a group; only the draws are joined.
+    """
+    numbered = number_rows(df.withColumn("__rank", hash_rank(seed, key)), [*group, "__rank", key], "__n", 0).drop("__rank")
+    sizes = numbered.groupBy(*group).agg(F.min("__n").alias("__first"), F.count("*").alias("__size"))
     draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), *[F.col(g).cast("string") for g in group]).cast("binary")), 1, 8)
-    draws = draws.withColumn("__place", (F.conv(digits, 16, 10).cast("bigint") % F.col("__size")).cast("int")).drop("__size")
-    return draws.join(ranked, [*group, "__place"]).drop("__place")
+    draws = draws.select("draw", (F.col("__first") + F.conv(digits, 16, 10).cast("bigint") % F.col("__size")).alias("__n"))
+    return draws.join(numbered, "__n").drop("__n")
 
 
 def disjoint_strata(df: DataFrame, strata: list[tuple[str, Column]], key: str = "doc_id") -> DataFrame:
