@@ -157,7 +157,7 @@ def learn(docs: DataFrame, conf: Fit | None = None) -> Model:
     """Fit on a bounded sample of the rows that may be learned from."""
     conf = conf or Fit()
     rows = docs.where((remainder() != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.select("lang", "text", F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))
     # Few rows are ranked: those whose hash is small enough for about twice the sample, given how many there are.
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(conf.languages).collect()
     shares = [(r["lang"], min(1.0, (2.0 * conf.per_language + 100) / r["n"])) for r in counts]
