@@ -211,7 +211,7 @@ def facts_split_plain(spark, sf_dir):
 
 def _decompositions(spark, sf_dir) -> DataFrame:
     d = _docs(spark, sf_dir)
-    return d.select(compose("doc_id", "lang", "source", F.lit("PROMPT1")).alias("uid"), "doc_id", "lang", "source", F.split(F.replace(F.substring("text", 1, 100000), F.lit(". "), F.lit("//")), "//", -1).alias("facts"), F.split("text", "\n").alias("sentences"))
+    return d.select(compose("doc_id", "lang", "source", F.lit("PROMPT1")).alias("uid"), "doc_id", "lang", "source", F.split(F.replace(F.col("text"), F.lit(". "), F.lit("//")), "//", -1).alias("facts"), F.split("text", "\n").alias("sentences"))
 
 
 _UID_SQL = "doc_id || '|' || lang || '|' || source || '|PROMPT1'"
@@ -253,7 +253,7 @@ def all_pairs(spark, sf_dir):
     || chr(10) || 'Hypothesis: ' || p.hypothesis) AS prompt_hash FROM ({_ALL_PAIRS_SQL}) p JOIN documents d USING (doc_id)""")
 def pairs_with_premises(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    decomp = d.select(compose("doc_id", "lang", "source", F.lit("PROMPT1")).alias("uid"), "doc_id", F.replace(F.substring("text", 1, 100000), F.lit(". "), F.lit("//")).alias("fact_decomp"))
+    decomp = d.select(compose("doc_id", "lang", "source", F.lit("PROMPT1")).alias("uid"), "doc_id", F.replace(F.col("text"), F.lit(". "), F.lit("//")).alias("fact_decomp"))
     pairs = pr.all_pairs(_decompositions(spark, sf_dir), F.col("facts"), F.col("sentences"))
     told = pr.with_premises(pairs, d.select("doc_id", F.col("text").alias("note_text")), decomp, "Premise: {premise}\nHypothesis: {hypothesis}")
     return told.select("custom_id", hash_text(F.col("prompt")).alias("prompt_hash"))
