@@ -2,13 +2,14 @@
 
 The vocabulary is a byte-fallback BPE model file; its path is a parameter. Encoding runs SentencePiece's agenda:
 candidate merges leave a priority queue by score, then position. Each candidate is skipped with probability
-`dropout`, decided by a keyed hash of seed, variant, word, position and merged piece, so the same input always
-gives the same ids, while different documents and places cut the same word differently. Without dropout the ids
-equal the library's own.
+`dropout`, decided by a keyed hash of seed, document, place in the document and the candidate's turn, so the same input
+always gives the same ids, while every occurrence of a word draws its own skips. Without dropout the ids equal the
+library's own.
 
 No piece crosses certain boundaries (before a space; between Latin letters and other characters; checked
-against the vocabulary when it is loaded), so words are encoded on their own, and results are kept in a bounded
-two-generation cache. A place in a document draws one of `variants` keys, also by keyed hash.
+against the vocabulary when it is loaded), so words are encoded on their own. A place in a document draws a mask of skips, whose bit i tells whether the word's i-th candidate is skipped.
+A cut is decided by the word and the bits of the candidates it came to, so a bounded two-generation cache keeps cuts by both
+and bounds no word's cuts: a mask without a skip gives the undisturbed cut, others are cut anew if they aren't kept.
 
 Decoding gives back exactly the text: spaces are the pieces' U+2581, characters outside the vocabulary and literal
 U+2581 in a text are byte pieces, and the one space that encoding adds in front is removed.
@@ -48,9 +49,9 @@ _M = (1 << 64) - 1
 class MergeDropout:
     dropout: float = 0.1
     seed: int = 20240229
-    variants: int = 3  # different cuts of one word, at most
+    variants: int = 3  # has no effect: every occurrence draws its own skips
     vocabulary: str = VOCABULARY
-    cache_words: int = 500_000  # of each generation, over all variants
+    cache_words: int = 500_000  # of each generation: words, and their cuts with skips, of which the first counts twice
 
 
 class Codec:
@@ -75,9 +76,10 @@ class Codec:
                 self.raw.append(piece.replace(SPACE, " ").encode())
         self.cut = next(c for c in _CUTS if all(len(c.findall(p.replace(SPACE, " "))) == 1 for p in self.id))
         self.literal_space = array("i", (self.byte[b] for b in SPACE.encode())).tobytes()
-        # The keyed hash's outcomes, drawn once from the seed: whether a candidate of a 16-bit hash is skipped.
-        limit = int(conf.dropout * (1 << 64))
-        self.skip = bytes(_hash(i.to_bytes(2, "little"), conf.seed & _M) < limit for i in range(1 << 16))
+        # Of each 16 bits of a hash, the skips of 8 candidates: a mask has as many of the 2^16 values as its probability.
+        ones = np.array([m.bit_count() for m in range(256)])
+        upto = np.cumsum(conf.dropout**ones * (1 - conf.dropout) ** (8 - ones)) * (1 << 16)
+        self.skips = np.minimum(np.searchsorted(upto, np.arange(1 << 16) + 0.5), 255).astype(np.uint8)
         self.bits = n.bit_length()
         # Merges by the numbers of both sides, and each piece's place in the agenda: lower is earlier, equal scores share one.
         self.merge = {}
@@ -90,14 +92,28 @@ class Codec:
         self.rank = [0] * n
         for piece, i in self.id.items():
             self.rank[i] = ranks[self.score[piece]]
-        self.young: list[dict] = [{} for _ in range(conf.variants)]
-        self.old: list[dict] = [{} for _ in range(conf.variants)]
+        # word -> (undisturbed ids, mask of its candidates, {turns' mask | 1 << turns: ids, 0: numbers of turns})
+        self.young: dict[str, tuple[bytes, int, dict]] = {}
+        self.old: dict[str, tuple[bytes, int, dict]] = {}
         self.held = 0
 
-    def word(self, word: str, variant: int) -> bytes:
-        """The agenda over one word: int32 ids. Entries are rank << 32 | place of the left symbol."""
+    def masks(self, places: np.ndarray) -> np.ndarray:
+        """Skips of the first 32 candidates at each place, by its 64-bit hash."""
+        x = (places ^ (places >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return self.skips[(x ^ (x >> np.uint64(31))).view(np.uint16)].view(np.uint32)
+
+    def word(self, word: str, place: int) -> bytes:
+        """The ids of a word at a place."""
+        place = _hash((place & _M).to_bytes(8, "little"), self.conf.seed & _M)
+        return self.agenda(word, int(self.masks(np.array([place], np.uint64))[0]), place)[0]
+
+    def agenda(self, word: str, mask: int = 0, place: int | None = None) -> tuple[bytes, int]:
+        """The agenda over one word: int32 ids, and how many candidates had their turn. Entries are rank << 32 | place of
+        the left symbol. From the 33rd candidate on, the place's further masks decide; without a place, nothing is skipped there."""
         word = word.replace(" ", SPACE)
-        merge, rank, skip, bits = self.merge, self.rank, self.skip, self.bits
+        merge, rank, bits = self.merge, self.rank, self.bits
+        turn = 0
         n = len(word)
         ids = [self.id.get(c, -1) for c in word]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -107,7 +123,6 @@ class Codec:
             if m is not None:
                 agenda.append(rank[m] << 32 | i)
         if agenda:
-            key = _hash(word.encode(), (self.conf.seed * 0x9E3779B1 + variant) & _M) & 0xFFFF
             heapify(agenda)
         while agenda:
             entry = heappop(agenda)
@@ -118,7 +133,11 @@ class Codec:
             m = merge.get(ids[a] << bits | ids[b])
             if m is None or rank[m] != entry >> 32:
                 continue  # a side has merged with another symbol meanwhile
-            if skip[(key + a * 60493 + m * 40503) & 0xFFFF]:
+            if turn and not turn & 31 and place is not None:
+                mask = int(self.masks(np.array([_hash(turn.to_bytes(8, "little"), place)], np.uint64))[0])
+            skipped = mask >> (turn & 31) & 1
+            turn += 1
+            if skipped:
                 continue
             ids[a], ids[b] = m, -2
             c = after[a] = after[b]
@@ -133,26 +152,50 @@ class Codec:
                 if x is not None:
                     heappush(agenda, rank[x] << 32 | p)
         if -1 not in ids:
-            return array("i", [i for i in ids if i >= 0]).tobytes()
+            return array("i", [i for i in ids if i >= 0]).tobytes(), turn
         out = array("i")
         for i, c in zip(ids, word):
             if i >= 0:
                 out.append(i)
             elif i == -1:
                 out.extend(self.byte[x] for x in c.encode())
-        return out.tobytes()
+        return out.tobytes(), turn
 
-    def _miss(self, word: str, variant: int) -> bytes:
-        found = self.old[variant].get(word)
-        if found is None:
-            found = self.word(word, variant)
+    def _room(self, n: int) -> None:
         if self.held >= self.conf.cache_words:
-            self.old, self.young, self.held = self.young, [{} for _ in self.young], 0
+            self.old, self.young, self.held = self.young, {}, 0
+        self.held += n
+
+    def _plain(self, word: str) -> tuple[bytes, int, dict | None]:
+        """A word's entry, which isn't in the young generation."""
+        found = self.old.get(word)
+        if found is None:
+            ids, turns = self.agenda(word)
+            found = ids, (1 << min(turns, 33)) - 1, None
         if len(word) <= 64:
-            self.young[variant][word] = found
-            self.held += 1
+            self._room(1)
+            self.young[word] = found = (*found[:2], None)
         return found
 
+    def _skipped(self, word: str, mask: int, entry: tuple, place: int) -> bytes:
+        """The cut of a word that skips a candidate, or has more than 32."""
+        kept = entry[2]
+        if kept:
+            for n in kept[0]:
+                ids = kept.get(mask & ((1 << n) - 1) | 1 << n)
+                if ids is not None:
+                    return ids
+        ids, turns = self.agenda(word, mask, place)
+        if turns <= 32 and len(word) <= 64:
+            self._room(1 if kept else 2)
+            if kept is None:
+                kept = {0: ()}
+                self.young[word] = (*entry[:2], kept)
+            kept[mask & ((1 << turns) - 1) | 1 << turns] = ids
+            if turns not in kept[0]:
+                kept[0] += (turns,)
+        return ids
+
     def encode(self, text: str, key: int = 0) -> array:
         found: list[bytes] = []
         if not text:
@@ -162,16 +205,17 @@ class Codec:
             if nth:
                 found.append(self.literal_space)
             words = self.cut.findall(part if nth else " " + part)
-            if self.conf.variants > 1:
-                places = np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(at)
-                places = (places ^ (places >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)
-                which = (places % np.uint64(self.conf.variants)).tolist()
-            else:
-                which = [0] * len(words)
-            at = (at + len(words)) & _M
-            for w, v in zip(words, which):
-                ids = self.young[v].get(w)
-                found.append(ids if ids is not None else self._miss(w, v))
+            places = np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(at)
+            begin = len(found)
+            for w, mask in zip(words, self.masks(places).tolist()):
+                entry = self.young.get(w)
+                if entry is None:
+                    entry = self._plain(w)
+                if entry[1] & (mask | 1 << 32):
+                    found.append(self._skipped(w, mask, entry, int(places[len(found) - begin])))
+                else:
+                    found.append(entry[0])
+            at = (at + len(words) * 0x9E3779B97F4A7C15) & _M
         return array("i", b"".join(found))
 
     def decode(self, ids) -> str:
