@@ -49,29 +49,39 @@ def without_space(text: Column) -> Column:
     return text
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value held by a lambda's variable: an expression inside another lambda is computed at every turn of it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running_totals(lengths: Column, block: int = 256) -> Column:
     """array<bigint> -> the sums of all elements before each element, in time linear in the array.
 
     Sums run inside blocks of a fixed size and then over the blocks' totals, since appending to one long
     array copies it each time.
     """
-    n = F.size(lengths)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / F.lit(block)).cast("int")),
-        lambda b: F.aggregate(
-            F.slice(lengths, b * block + 1, block),
+    nothing = F.array().cast("array<bigint>")
+
+    def within(lengths: Column) -> Column:
+        last = F.floor((F.size(lengths) - 1) / F.lit(block)).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda b: F.aggregate(
+                F.slice(lengths, b * block + 1, block),
+                F.array(F.lit(0).cast("bigint")),
+                lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
+            ),
+        )
+
+    def before(blocks: Column) -> Column:
+        return F.aggregate(
+            blocks,
             F.array(F.lit(0).cast("bigint")),
-            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
-        ),
-    )
-    offsets = F.aggregate(
-        blocks,
-        F.array(F.lit(0).cast("bigint")),
-        lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(b, -1))),
-    )
-    placed = F.zip_with(
-        blocks, offsets, lambda b, o: F.when(b.isNotNull(), F.transform(F.slice(b, 1, F.size(b) - 1), lambda x: x + o))
-    )
-    return F.when(n > 0, F.flatten(F.filter(placed, lambda b: b.isNotNull()))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+            lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(b, -1))),
+        )
+
+    def placed(blocks: Column) -> Column:
+        lifted = F.zip_with(blocks, before(blocks), lambda b, o: F.when(b.isNotNull(), F.transform(F.slice(b, 1, F.size(b) - 1), lambda x: x + o)))
+        return F.flatten(F.filter(lifted, lambda b: b.isNotNull()))
+
+    return bound(lengths, lambda own: F.when(F.size(own) > 0, bound(within(own), placed)).otherwise(nothing))

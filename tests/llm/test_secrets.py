@@ -5,7 +5,7 @@ import math
 import re
 from collections import Counter
 
-from factloom.llm.secrets import ALLOW, EntropyScan, find_secrets, secret_digest
+from factloom.llm.secrets import ALLOW_INSIDE, ALLOW_WHOLE, EntropyScan, find_secrets, secret_digest
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 KINDS = ["assign", "access", "hex", "entropy_b64", "entropy_hex"]
@@ -18,11 +18,22 @@ def brute(text, scan=EntropyScan()):
     base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
     added = []
     w = scan.window
+    inside, allowed = re.compile("|".join(ALLOW_INSIDE), re.I | re.A), re.compile("|".join(ALLOW_WHOLE))
+    looked = []
     for m in re.finditer("[A-Za-z0-9+/_=-]+", t):
-        s = m[0]
-        if len(s) < w or any(re.fullmatch(p, s) for p in ALLOW):
+        if len(m[0]) < w:
+            continue
+        at = 0
+        for cut, end in [x.span() for x in inside.finditer(m[0])] + [(len(m[0]), None)]:
+            if cut - at >= w:
+                part = m[0][at:cut]
+                if not re.fullmatch("[0-9A-Fa-f]+", part):
+                    looked.append((m.start() + at, part, "entropy_b64"))
+                looked += [(m.start() + at + x.start(), x[0], "entropy_hex") for x in re.finditer("[0-9A-Fa-f]+", part) if len(x[0]) >= w]
+            at = end
+    for start, s, kind in looked:
+        if allowed.fullmatch(s):
             continue
-        kind = "entropy_hex" if re.fullmatch("[0-9A-Fa-f]+", s) else "entropy_b64"
         spans = []
         for i in range(len(s) - w + 1):
             h = -sum(c / w * math.log2(c / w) for c in Counter(s[i : i + w]).values())
@@ -31,7 +42,7 @@ def brute(text, scan=EntropyScan()):
                     spans[-1][1] = i + w
                 else:
                     spans.append([i, i + w])
-        added += [(m.start() + a, KINDS.index(kind), m.start() + b) for a, b in spans]
+        added += [(start + a, KINDS.index(kind), start + b) for a, b in spans]
     tell = lambda x: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(x))
     n = Counter(k for _, k, _ in base)
     return (n[0], n[1], n[2], hashlib.sha256(tell(base).encode()).hexdigest(), tell(base + added))
@@ -50,6 +61,12 @@ CASES = [
     "550e8400-e29b-41d4-a716-446655440000 and Donaudampfschifffahrtsgesellschaft",
     "aaaaaaaaaaaaaaaaaaaaaaaaaaaa1aaaaaaaaaaaaaa " + "kQ7zP2mX9vB4nL6cR1tW8yH3" + "a" * 40 + "jF5dG0sK2uE7iO9pA4wZ6x",
     "x" * 3000 + " passwd=abcdefghijklmnop " * 700,
+    "s3/example/wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQk9TzW4vB and /exampleEXAMPLE/kQ7zP2mX9vB4nL6cR1tW8yH3xxxxxxxkQ7zP2mX9vB4nL6cR1tW8yH3",
+    "sig=9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08 KEY=9F86D081884C7D659A2FEAA0C55AD015 id_9F86D081884C7D659A2F",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/ 12345678901234567890123456",
+    "x1-550e8400-e29b-41d4-a716-446655440000-04dbebab91ab85687d33eeaaf9ac699e1188f962",
+    "".join(hashlib.sha256(bytes([i % 256, i // 256])).hexdigest()[:7] + "Q=z"[i % 3] for i in range(2000)),
+    "a" * 4090 + "kQ7zP2mX9vB4nL6cR1tW8yH3" * 400 + "a" * 4100 + "1kQ7zP2mX9vB4nL6cR1tW8yH3",
     "pass\x0bword\nſecret=abcdefghijklmnop toKen=abcdefghijklmnop",
 ]
 
@@ -64,6 +81,16 @@ def test_matches_brute_force(spark, sf_dir):
         assert got[i] == brute(t), (i, t)
 
 
+def test_very_long_runs_do_not_recurse(spark):
+    texts = ["a-" * 500_000, "a/" * 500_000, "A=" * 500_000, "deadbeef" * 20_000, "x" * 1_000_000, "kQ7zP2mX9vB4nL6cR1tW8yH3" * 4_000, "example-" * 100_000]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: tuple(r)[1:] for r in secret_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in (0, 1, 2, 4, 6):
+        assert got[i][4] == ""
+    assert got[3][4] == "hex:0:160000"
+    assert got[5][4] == "entropy_b64:0:96000"
+
+
 def test_nulls_ties_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, None, "a"), (1, "x", "b"), (1, "x", "b")], "doc_id long, text string, spans string")
     assert len(secret_digest(df).collect()) == 3
