@@ -68,6 +68,7 @@ ORACLES: dict[str, str] = {
     "op1_secret_scans": secrets.oracle(),
     "op6_mixing": mixing.oracle(),
     "op8_sharding": sharding.oracle(),
+    "op9_document_fingerprints": imatch.oracle(),
     "op10_chat_rotation": chat.oracle(),
     "op4_exact_dedup": f"""
         WITH d AS (
