@@ -174,16 +174,21 @@ def fingerprint_documents(docs: DataFrame, lex: Lexicon | None = None) -> DataFr
     keys = cut(docs.groupBy("k").agg(F.max(F.length("text")).alias("n_chars"), F.count("*").alias("rows")))
     most = (keys.agg(F.sum("rows")).first()[0] or 0) * HOT_SHARE
     hot = [r.k for r in keys.where((F.col("rows") > most) & (F.col("rows") > 1)).select("k").collect()]  # fewer than 1 / HOT_SHARE
-    salts = lambda k: F.explode(F.when(k.isin(hot), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    # Without a hot id there is no salt, so that both joins find the rows dealt out by id alone.
+    on = ["k", "salt"] if hot else ["k"]
+
+    def salted(df: DataFrame) -> DataFrame:
+        every = F.when(F.col("k").isin(hot), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
+        return df.withColumn("salt", F.explode(every)) if hot else df
+
     # A subquery may not stand inside a higher-order function, but a column that holds it may.
     printed = docs.withColumn("bits", bits).select("k", "text", fingerprint(F.col("text"), F.col("bits"), size, lex).alias("fp"))
     salt = F.when(F.col("k").isin(hot), F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")).otherwise(F.lit(0))
-    rows = printed.withColumn("salt", salt).repartition(n, "k", "salt")
-    wanted = _next_ids(keys.select("k", "n_chars"), n)
-    wanted = wanted.select("of", F.col("next_k").alias("k"), "need", salts(F.col("next_k")))
-    heads = rows.join(wanted, ["k", "salt"]).select("of", F.struct(F.left("text", F.col("need")).alias("head"), F.col("fp").alias("fp")).alias("next"))
-    heads = heads.groupBy("of").agg(F.min("next").alias("next")).select(F.col("of").alias("k"), "next", salts(F.col("of")))
-    joined = rows.join(heads, ["k", "salt"])
+    rows = (printed.withColumn("salt", salt) if hot else printed).repartition(n, *on)
+    wanted = salted(_next_ids(keys.select("k", "n_chars"), n).withColumnRenamed("next_k", "k"))
+    heads = rows.join(wanted, on).select("of", F.struct(F.left("text", F.col("need")).alias("head"), F.col("fp").alias("fp")).alias("next"))
+    heads = salted(heads.groupBy("of").agg(F.min("next").alias("next")).withColumnRenamed("of", "k"))
+    joined = rows.join(heads, on)
     n_chars = F.length("text")
     cut_off = F.floor(n_chars / 3).cast("int")
     edited = joined.select("k", "text", "fp", "next", F.concat(F.left("text", n_chars - cut_off), F.left("next.head", cut_off)).alias("edited"))
