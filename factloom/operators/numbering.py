@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage in the session's shared checkpoint folder (a temporary one only where none is set, as in tests)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+    """Cut lineage in the session's shared checkpoint folder. Only a local session may go without one; it gets a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set, and executors share no other folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-"))
     return df.checkpoint(eager=True)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A side may be broadcast below this many rows of narrow keys; above it, the join shuffles.
 MOST_BROADCAST_ROWS = 1_000_000
+MOST_TEMPLATES = 1_000
+MOST_TEMPLATE_BYTES = 32 << 20
 
 
 def keep_first(df: DataFrame, keys: list[str | Column], order: list[Column]) -> DataFrame:
@@ -63,7 +65,15 @@ def natural_join_renamed(a: DataFrame, b: DataFrame, on: dict[str, str]) -> Data
 
 
 def cross_templates(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """Every document with every template: the templates are a handful of files, and the documents aren't shuffled."""
+    """Every document with every template: the templates are a handful of files, and the documents aren't shuffled.
+
+    More than MOST_TEMPLATES templates, or templates of more than MOST_TEMPLATE_BYTES, raise ValueError before any is sent.
+    """
+    few = templates.limit(MOST_TEMPLATES + 1)
+    size = F.sum(F.length(F.to_json(F.struct(*templates.columns))))
+    n, length = few.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    if n > MOST_TEMPLATES or length > MOST_TEMPLATE_BYTES:
+        raise ValueError("too many templates to broadcast")
     return docs.crossJoin(F.broadcast(templates))
 
 

@@ -9,6 +9,10 @@ from factloom.functions.text import token_estimate
 from factloom.operators.numbering import number_rows
 
 
+#: A sample of as many rows is taken by ordered limits of each task; a larger one by a cut of the hash.
+MOST_TAKEN = 10_000
+
+
 def hash_rank(seed: int | str, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
 
@@ -34,7 +38,13 @@ def global_sample(df: DataFrame, n: int | None = None, fraction: float | None =
         n = int(fraction * df.count())
     elif df.limit(n).count() < n:
         raise ValueError("the sample is larger than the table")
-    return df.orderBy(hash_rank(seed, key), F.col(key)).limit(n)
+    if n <= MOST_TAKEN:
+        return df.orderBy(hash_rank(seed, key), F.col(key)).limit(n)
+    # Beyond that, no task may hold the sample: the n-th rank is found by numbering the ranks alone, and cuts the table.
+    ranked = df.withColumn("__rank", hash_rank(seed, key))
+    last = number_rows(ranked.select("__rank"), ["__rank"]).where(F.col("rn") == n).first()["__rank"]
+    # Repeated keys share a rank, so that a few rows too many can be left.
+    return number_rows(ranked.where(F.col("__rank") <= last), ["__rank", key], "__rn").where(F.col("__rn") <= n).drop("__rank", "__rn")
 
 
 def cap_rows(df: DataFrame, n: int | None, order: str) -> DataFrame:

@@ -218,7 +218,7 @@ _UID_SQL = "doc_id || '|' || lang || '|' || source || '|PROMPT1'"
 
 
 def _pairs_sql(kind: str) -> str:
-    parts = "string_split(replace(substr(text, 1, 100000), '. ', '//'), '//')" if kind == "precision" else "string_split(text, chr(10))"
+    parts = "string_split(replace(text, '. ', '//'), '//')" if kind == "precision" else "string_split(text, chr(10))"
     return f"""SELECT uid || '|' || (i - 1) || '|{kind}' AS custom_id, doc_id, lang, source, (i - 1)::INTEGER AS index, '{kind}' AS entailment_type,
         replace({_STRIP.format('parts[i]')}, chr(10), ' ') AS hypothesis
         FROM (SELECT {_UID_SQL} AS uid, doc_id, lang, source, {parts} AS parts FROM documents) d, LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) u"""
@@ -249,7 +249,7 @@ def all_pairs(spark, sf_dir):
     return _all_pairs(spark, sf_dir)
 
 
-@register("pairs_with_premises", f"""SELECT p.custom_id, md5('Premise: ' || CASE p.entailment_type WHEN 'precision' THEN d.text ELSE replace(substr(d.text, 1, 100000), '. ', '//') END
+@register("pairs_with_premises", f"""SELECT p.custom_id, md5('Premise: ' || CASE p.entailment_type WHEN 'precision' THEN d.text ELSE replace(d.text, '. ', '//') END
     || chr(10) || 'Hypothesis: ' || p.hypothesis) AS prompt_hash FROM ({_ALL_PAIRS_SQL}) p JOIN documents d USING (doc_id)""")
 def pairs_with_premises(spark, sf_dir):
     d = _docs(spark, sf_dir)
@@ -305,11 +305,11 @@ def nli_labels(spark, sf_dir):
 
 def _labelled(spark, sf_dir) -> DataFrame:
     rows = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").withColumn("answer", _judge(F.col("text")))
-    split = F.when(F.col("doc_id") % 11 != 0, F.concat(F.lit("part"), (F.col("doc_id") % 2).cast("string")))
+    split = F.when(F.col("lang") != "de", F.concat(F.lit("part"), (F.col("doc_id") % 2).cast("string")))
     return rows.select("doc_id", "lang", "source", "quality", "toxic", split.alias("split"), *[c.alias(n) for n, c in verdict(F.col("answer")).items()])
 
 
-_LABELLED_SQL = f"""WITH a AS (SELECT d.doc_id, lang, source, quality, toxic, CASE WHEN d.doc_id % 11 <> 0 THEN 'part' || (d.doc_id % 2) END AS split,
+_LABELLED_SQL = f"""WITH a AS (SELECT d.doc_id, lang, source, quality, toxic, CASE WHEN lang <> 'de' THEN 'part' || (d.doc_id % 2) END AS split,
     {_judge_sql('text').replace('doc_id', 'd.doc_id')} AS answer FROM documents d JOIN labels l ON l.doc_id = d.doc_id), {_verdict_sql('answer')}"""
 
 
@@ -350,8 +350,7 @@ def weighted_proportion(spark, sf_dir):
 
 
 def _judged_pairs(spark, sf_dir, to: int | None = None) -> DataFrame:
-    rows = _all_pairs(spark, sf_dir).where((F.col("entailment_type") == "precision") | (F.col("doc_id") % 7 != 0))
-    rows = rows.withColumn("answer", _judge(F.col("hypothesis"), F.col("index")))
+    rows = _all_pairs(spark, sf_dir).withColumn("answer", _judge(F.col("hypothesis"), F.col("index")))
     rows = rows.select("doc_id", "lang", "source", "entailment_type", *[c.alias(n) for n, c in verdict(F.col("answer")).items()])
     pred = F.col("prediction")
     if to is not None:
@@ -363,7 +362,7 @@ def _judged_pairs(spark, sf_dir, to: int | None = None) -> DataFrame:
 
 def _judged_pairs_sql(to: str | None = None) -> str:
     pred = "prediction" if to is None else f"CASE WHEN not_parseable THEN {to} ELSE prediction END"
-    return f"""WITH a AS (SELECT *, {_judge_sql('hypothesis', 'index')} AS answer FROM ({_ALL_PAIRS_SQL}) WHERE entailment_type = 'precision' OR doc_id % 7 <> 0), {_verdict_sql('answer')},
+    return f"""WITH a AS (SELECT *, {_judge_sql('hypothesis', 'index')} AS answer FROM ({_ALL_PAIRS_SQL})), {_verdict_sql('answer')},
         judged AS (SELECT doc_id, lang, source, entailment_type, {pred} AS entailment_pred FROM verdicts)"""
 
 
@@ -447,36 +446,36 @@ def majority_label(spark, sf_dir):
     return rel.majority(rows, "conv_id", "label", "ord")
 
 
-@register("fleiss_kappa", """WITH r AS (SELECT doc_id, unnest([0, 1, 2]) AS rater, unnest([(n_chars % 3 = 0)::INTEGER, (n_chars % 3 = 0 OR doc_id % 5 = 0)::INTEGER, CASE WHEN doc_id % 13 <> 0 THEN (length(text) % 2)::INTEGER END]) AS label FROM documents),
+@register("fleiss_kappa", """WITH r AS (SELECT doc_id, unnest([0, 1, 2]) AS rater, unnest([(n_chars % 3 = 0)::INTEGER, (n_chars % 3 = 0 OR doc_id % 5 = 0)::INTEGER, CASE WHEN lang <> 'de' THEN (length(text) % 2)::INTEGER END]) AS label FROM documents),
     u AS (SELECT doc_id, count(*) AS m, count(*) FILTER (label = 1) AS k1, count(*) FILTER (label = 0) AS k0 FROM r WHERE label IS NOT NULL GROUP BY doc_id HAVING count(*) = 3),
     s AS (SELECT count(*) AS n_units, avg((k1 * (k1 - 1) + k0 * (k0 - 1)) / 6.0) AS p, sum(k1) / (count(*) * 3.0) AS p1, sum(k0) / (count(*) * 3.0) AS p0 FROM u)
     SELECT n_units, round((p - (p1 * p1 + p0 * p0)) / (1 - (p1 * p1 + p0 * p0)), 9) AS kappa FROM s""")
 def fleiss_kappa(spark, sf_dir):
     a, b = (F.col("n_chars") % 3 == 0).cast("int"), ((F.col("n_chars") % 3 == 0) | (F.col("doc_id") % 5 == 0)).cast("int")
-    c = F.when(F.col("doc_id") % 13 != 0, (F.length("text") % 2).cast("int"))
+    c = F.when(F.col("lang") != "de", (F.length("text") % 2).cast("int"))
     long = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.array(a, b, c)).alias("rater", "label"))
     return mt.fleiss_kappa(long, "doc_id", "rater", "label", 3)
 
 
 @register("missing_pairs", """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'b' ELSE 'a' END AS side
-    FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL""")
+    FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL""")
 def missing_pairs(spark, sf_dir):
-    return rel.missing_ids(_docs(spark, sf_dir).where("doc_id % 3 <> 0"), table(spark, sf_dir, "labels"), "doc_id")
+    return rel.missing_ids(_docs(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@register("missing_rate", """WITH d AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 <> 0), l AS (SELECT DISTINCT doc_id FROM labels)
+@register("missing_rate", """WITH d AS (SELECT DISTINCT doc_id FROM documents), l AS (SELECT DISTINCT doc_id FROM labels)
     SELECT count(*) FILTER (d.doc_id IS NULL OR l.doc_id IS NULL) AS n_missing, count(*) AS n_ids, round(count(*) FILTER (d.doc_id IS NULL OR l.doc_id IS NULL)::DOUBLE / nullif(count(*), 0), 9) AS rate FROM d FULL JOIN l ON d.doc_id = l.doc_id""")
 def missing_rate(spark, sf_dir):
-    a, b = (x.select("doc_id").distinct() for x in (_docs(spark, sf_dir).where("doc_id % 3 <> 0"), table(spark, sf_dir, "labels")))
+    a, b = (x.select("doc_id").distinct() for x in (_docs(spark, sf_dir), table(spark, sf_dir, "labels")))
     n = rel.missing_ids(a, b, "doc_id").agg(F.count("*").alias("n_missing"))
     ids = a.union(b).distinct().agg(F.count("*")).scalar()
     return n.select("n_missing", ids.alias("n_ids")).select("n_missing", "n_ids", F.round(F.try_divide(F.col("n_missing").cast("double"), F.col("n_ids")), 9).alias("rate"))
 
 
-@register("hash_semi_join", "SELECT doc_id, lang FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 10 = 3)")
+@register("hash_semi_join", "SELECT doc_id, lang FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE source = 'src2')")
 def hash_semi_join(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return rel.semi_join_by_hash(d, "text", d.where("doc_id % 10 = 3").select(hash_text(F.col("text")).alias("h")), "h").select("doc_id", "lang")
+    return rel.semi_join_by_hash(d, "text", d.where("source = 'src2'").select(hash_text(F.col("text")).alias("h")), "h").select("doc_id", "lang")
 
 
 @register("resume_anti_join", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -484,9 +483,9 @@ def resume_anti_join(spark, sf_dir):
     return rel.not_done(_docs(spark, sf_dir).select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@register("lookup_join", """SELECT l.doc_id, l.quality, d.lang, d.n_chars FROM labels l LEFT JOIN (SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 4 <> 0) d ON l.doc_id = d.doc_id""")
+@register("lookup_join", """SELECT l.doc_id, l.quality, d.lang, d.n_chars FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id""")
 def lookup_join(spark, sf_dir):
-    notes = _docs(spark, sf_dir).where("doc_id % 4 <> 0").select("doc_id", "lang", "n_chars")
+    notes = _docs(spark, sf_dir).select("doc_id", "lang", "n_chars")
     return rel.lookup(table(spark, sf_dir, "labels").select("doc_id", "quality"), notes.unionAll(notes.limit(0)), "doc_id")
 
 
@@ -500,12 +499,13 @@ def natural_left_join_nullsafe(spark, sf_dir):
     return rel.natural_left_join(d.select("doc_id", lang, "n_chars"), b)
 
 
-@register("annotation_join_chain", """WITH p AS (SELECT doc_id, idx, hyp FROM (SELECT doc_id, 0 AS idx, substr(text, 1, 20) AS hyp FROM documents WHERE doc_id % 2 = 0)), r AS (SELECT doc_id, 0 AS idx, substr(text, 1, 10) AS hyp FROM documents)
+@register("annotation_join_chain", """WITH p AS (SELECT doc_id, md5(text) AS hyp FROM documents WHERE lang <> 'de'), r AS (SELECT doc_id, md5(lang || '|' || text) AS hyp FROM documents)
     SELECT DISTINCT l.doc_id, coalesce(p.hyp, r.hyp) AS hypothesis, d.source FROM labels l LEFT JOIN p ON p.doc_id = l.doc_id LEFT JOIN r ON r.doc_id = l.doc_id LEFT JOIN documents d ON d.doc_id = l.doc_id""")
 def annotation_join_chain(spark, sf_dir):
+    """Two hypothesis tables, of which the first has gaps, and the notes; hypotheses are told as hashes of whole texts."""
     d = _docs(spark, sf_dir)
-    p = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.substring("text", 1, 20).alias("hyp_p"))
-    r = d.select(F.col("doc_id").alias("id"), F.substring("text", 1, 10).alias("hyp_r"))
+    p = d.where("lang <> 'de'").select(F.col("doc_id").alias("id"), hash_text(F.col("text")).alias("hyp_p"))
+    r = d.select(F.col("doc_id").alias("id"), hash_text(compose("lang", "text")).alias("hyp_r"))
     out = table(spark, sf_dir, "labels").select("doc_id")
     for other in (p, r, d.select(F.col("doc_id").alias("id"), "source")):
         out = rel.natural_join_renamed(out, other, {"doc_id": "id"})
@@ -564,16 +564,16 @@ def annotator_assignment(spark, sf_dir):
 
 
 @register("human_label_merge", """WITH r AS (SELECT doc_id AS unique_id, i AS ord, CASE i WHEN 0 THEN quality WHEN 1 THEN toxic ELSE CASE WHEN doc_id % 4 = 0 THEN 1 END END AS x FROM labels, (VALUES (0), (1), (2)) t(i)),
-    c AS (SELECT unique_id, coalesce(x, 0) AS y, count(*) AS n, min(ord) AS seen FROM r WHERE unique_id % 2 = 0 GROUP BY ALL),
+    c AS (SELECT unique_id, coalesce(x, 0) AS y, count(*) AS n, min(ord) AS seen FROM r JOIN labels l ON l.doc_id = unique_id WHERE l.toxic = 0 GROUP BY ALL),
     m AS (SELECT unique_id, y AS human_label FROM (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY n DESC, seen, y) AS rn FROM c) WHERE rn = 1
-        UNION ALL SELECT doc_id, coalesce(quality, 0) FROM labels WHERE doc_id % 2 = 1)
-    SELECT m.unique_id, m.human_label, (d.n_chars % 2)::INTEGER AS entailment_pred FROM m JOIN documents d ON d.doc_id = m.unique_id WHERE d.doc_id % 5 <> 0""")
+        UNION ALL SELECT doc_id, coalesce(quality, 0) FROM labels WHERE toxic <> 0)
+    SELECT m.unique_id, m.human_label, (d.n_chars % 2)::INTEGER AS entailment_pred FROM m JOIN documents d ON d.doc_id = m.unique_id""")
 def human_label_merge(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     third = F.when(F.col("doc_id") % 4 == 0, 1)
-    shared = labels.where("doc_id % 2 = 0").select(F.col("doc_id").alias("unique_id"), F.posexplode(F.array("quality", "toxic", third)).alias("ord", "inferrable"))
-    single = labels.where("doc_id % 2 = 1").select(F.col("doc_id").alias("unique_id"), F.col("quality").alias("inferrable"))
-    verdicts = _docs(spark, sf_dir).where("doc_id % 5 <> 0").select(F.col("doc_id").alias("unique_id"), (F.col("n_chars") % 2).cast("int").alias("entailment_pred"))
+    shared = labels.where("toxic = 0").select(F.col("doc_id").alias("unique_id"), F.posexplode(F.array("quality", "toxic", third)).alias("ord", "inferrable"))
+    single = labels.where("toxic <> 0").select(F.col("doc_id").alias("unique_id"), F.col("quality").alias("inferrable"))
+    verdicts = _docs(spark, sf_dir).select(F.col("doc_id").alias("unique_id"), (F.col("n_chars") % 2).cast("int").alias("entailment_pred"))
     return an.human_labels(shared, single, verdicts)
 
 
@@ -638,9 +638,10 @@ def path_metadata_query(spark, sf_dir):
     return rows.select("doc_id", *[c.alias(n) for n, c in path_metadata(F.col("path")).items() if n != "key"])
 
 
-@register("paired_files", """SELECT lang || '|' || source AS key FROM documents WHERE doc_id % 7 < 2 GROUP BY 1 HAVING count(DISTINCT doc_id % 7) = 2""")
+@register("paired_files", "SELECT md5(text) AS key FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) = 2")
 def paired_files(spark, sf_dir):
-    rows = _docs(spark, sf_dir).where("doc_id % 7 < 2").select(compose("lang", "source").alias("key"), (F.col("doc_id") % 7).alias("file"))
+    """Documents are the files, and those of one text belong together."""
+    rows = _docs(spark, sf_dir).select(hash_text(F.col("text")).alias("key"), F.col("doc_id").alias("file"))
     return rel.paired_files(rows, "key", "file")
 
 
@@ -700,10 +701,10 @@ def provenance(spark, sf_dir):
 
 
 @register("nli_results_keep_last", f"""WITH a AS (SELECT c.conv_id, c.turn, 'snli|test|' || c.conv_id || '|P1' AS custom_id, c.role AS model, {_judge_sql('text').replace('doc_id', 'c.conv_id')} AS answer FROM conversations c), {_verdict_sql('answer')}
-    SELECT custom_id, model, turn, conv_id AS uid, not_parseable, prediction AS entailment_pred FROM (SELECT *, row_number() OVER (PARTITION BY custom_id, model ORDER BY turn DESC) AS rn FROM verdicts) WHERE rn = 1 AND conv_id % 3 <> 0""")
+    SELECT custom_id, model, turn, conv_id AS uid, not_parseable, prediction AS entailment_pred FROM (SELECT *, row_number() OVER (PARTITION BY custom_id, model ORDER BY turn DESC) AS rn FROM verdicts) WHERE rn = 1 AND model <> 'system'""")
 def nli_results_keep_last(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id"))
-    rows = c.select("turn", compose(F.lit("snli"), F.lit("test"), "conv_id", F.lit("P1")).alias("custom_id"), F.col("role").alias("model"), _judge(F.col("text")).alias("model_output"), F.when(F.col("conv_id") % 3 != 0, 1).alias("label"))
+    rows = c.select("turn", compose(F.lit("snli"), F.lit("test"), "conv_id", F.lit("P1")).alias("custom_id"), F.col("role").alias("model"), _judge(F.col("text")).alias("model_output"), F.when(F.col("role") != "system", 1).alias("label"))
     good, _ = bd.nli_table(rows, [F.col("turn")])
     return good.select("custom_id", "model", "turn", "uid", "not_parseable", "entailment_pred")
 
