@@ -3,17 +3,22 @@
 A text becomes a TF-IDF vector of hashed character 1- to 3-grams over its letters (lower-cased; every run of other
 characters is one space), with weights (1 + ln tf) * idf, normalised to length 1. Each learned language has
 several centroids, from spherical k-means over its training vectors (clusters of a few outliers are given up, as they hold
-mislabelled texts), and a prediction is the language of the
-centroid with the largest cosine. A text is rejected when its cosine distance to that centroid is larger than
-`slack` times the largest such distance among the centroid's own training texts allows (see Model.reject).
-
-The model is fitted on a bounded sample, which is a parameter: at most `per_language` labelled texts of each language,
-those with the smallest hashes of their ids among a thinned draw by hash, out of the rows that may be learned from, and
-for the `languages` labels with the most of them. It has a fixed size
-(languages * clusters * DIMENSIONS), is learned on the driver and goes to tasks with the function.
-
-Null text, and text without letters: `und`, score 0, rejected. With no labelled row at all, everything is `und`. A null
-doc_id is not held out and not learned from. Text, and nothing else, decides a prediction.
+mislabelled texts), and a prediction is the language of the centroid with the largest cosine.
+
+Rejection is by cosine distance, 1 - cosine. Every third sampled text of a language is held back from its centroids; the distances
+of these to their language's nearest centroid tell how far a text of a learned language lies from it, which depends on its length. So
+for each doubling of the number of grams there is a limit: the distance that only `reject_share` of the held-back texts of that length
+and its neighbours exceed, given `slack` of room. A text beyond its limit is rejected: it is like none of the learned languages.
+
+The model is fitted on a bounded sample, which is a parameter: at most `per_language` labelled texts of each label,
+those with the smallest hashes of their ids among a thinned draw by hash, out of the rows that may be learned from. Every label is
+learned. The sample becomes counts of at most DIMENSIONS grams a text in tasks, and each language is fitted in a task of its own; the
+driver holds the model alone, of clusters * DIMENSIONS numbers a label, which goes to tasks with the function.
+
+Defined results: a null text, and a text without letters: `und`, score 0, rejected. With no labelled row at all, everything is `und`. A
+null doc_id is not held out and not learned from. Text, and nothing else, decides a prediction, so that repeated rows get equal results;
+of centroids at equal cosine, that of the label that sorts first counts. Very long texts are read whole, in pieces of bounded memory. An
+empty table gives no rows. `identify` ignores other columns, whatever their names; `keep_identified` returns them as they are.
 """
 
 from __future__ import annotations
@@ -22,10 +27,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.common import cut
+
 DIMENSIONS = 1 << 14
 UNDETERMINED = "und"
 
@@ -33,11 +41,11 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class Fit:
     per_language: int = 300
-    languages: int = 200
     clusters: int = 4
     rounds: int = 10
-    slack: float = 0.4
     least_share: float = 0.08  # of a language's sample that a cluster must hold; smaller ones are mostly wrong labels
+    reject_share: float = 0.002
+    slack: float = 0.75  # of the cosine at the limit
 
 
 def _letters_table() -> np.ndarray:
@@ -51,57 +59,83 @@ def _letters_table() -> np.ndarray:
 _table: np.ndarray | None = None
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """Hashed n-grams of a text and how often each occurs; None if it has no letter."""
+#: Characters that are looked at together, which bounds memory for texts of any length.
+_AT_ONCE = 1 << 18
+
+
+def _normalised(part: str) -> np.ndarray:
+    """Code points, with 32 for all that aren't letters."""
     global _table
     if _table is None:
         _table = _letters_table()
+    codes = np.frombuffer(part.lower().encode("utf-32-le", "replace"), np.uint32)
+    high = codes > 0xFFFF
+    if not high.any():
+        return _table[codes]
+    codes = codes.copy()  # letters outside the basic plane: by Python's own table
+    codes[high] = [c if chr(c).isalpha() else 32 for c in codes[high].tolist()]
+    codes[~high] = _table[codes[~high]]
+    return codes
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Hashed n-grams of a text and how often each occurs; None if it has no letter."""
     if not text:
         return None
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    high = codes > 0xFFFF
-    if high.any():  # letters outside the basic plane: by Python's own table
-        codes = codes.copy()
-        codes[high] = [c if chr(c).isalpha() else 32 for c in codes[high].tolist()]
-        low = codes <= 0xFFFF
-        codes[low] = _table[codes[low]]
-    else:
-        codes = _table[codes]
-    space = codes == 32
-    keep = ~space
-    keep[1:] |= ~space[:-1]
-    codes = codes[keep]
-    if not (codes != 32).any():
+    counts = np.zeros(DIMENSIONS, np.int64)
+    mix, letters = np.uint64(0x9E3779B97F4A7C15), False
+    tail = np.array([32], np.uint64)  # what comes before: a space at first, then the last two codes
+    for at in range(0, len(text) + 1, _AT_ONCE):
+        codes = _normalised(text[at : at + _AT_ONCE])
+        if at + _AT_ONCE > len(text):
+            codes = np.append(codes, np.uint32(32))
+        space = codes == 32
+        keep = ~space
+        keep[1:] |= ~space[:-1]
+        keep[0] |= tail[-1] != 32
+        codes = codes[keep]
+        if not len(codes):
+            continue
+        letters = letters or bool((codes != 32).any())
+        c, k = np.concatenate((tail, codes.astype(np.uint64))), len(tail)
+        two = c[k - 1 : -1] * np.uint64(0x10001) + c[k:] + np.uint64(7 << 50)
+        three = (c[:-2] * np.uint64(0x10001) + c[1:-1] + np.uint64(7 << 50)) * np.uint64(0x10001) + c[2:] + np.uint64(11 << 50)
+        counts += np.bincount((np.concatenate((c[k:], two, three)) * mix >> np.uint64(50)).astype(np.int64), minlength=DIMENSIONS)
+        tail = c[-2:]
+    if not letters:
         return None
-    c = np.concatenate(([32], codes[int(codes[0] == 32) :], [32] * int(codes[-1] != 32))).astype(np.uint64)
-    two = c[:-1] * np.uint64(0x10001) + c[1:] + np.uint64(7 << 50)
-    three = two[:-1] * np.uint64(0x10001) + c[2:] + np.uint64(11 << 50)
-    grams = np.concatenate((c[1:-1], two, three)) * np.uint64(0x9E3779B97F4A7C15)
-    counts = np.bincount((grams >> np.uint64(50)).astype(np.int64), minlength=DIMENSIONS)
+    counts[(np.array([32], np.uint64) * mix >> np.uint64(50)).astype(np.int64)] -= 1  # the space after the last letter is no gram of its own
     ids = np.flatnonzero(counts)
     return ids, counts[ids]
 
 
+def _vector(found: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(found[1])) * idf[found[0]]
+    return (w / (np.linalg.norm(w) or 1.0)).astype(np.float32)
+
+
+def _length(counts: np.ndarray) -> int:
+    """A text's class of length: doublings of its number of grams."""
+    return int(counts.sum()).bit_length()
+
+
 @dataclass
 class Model:
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray  # (centroid, dimension), of length 1
     language_of: np.ndarray
-    reject: np.ndarray  # a text under this cosine is rejected
-
-    def vector(self, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        w = (1 + np.log(found[1])) * self.idf[found[0]]
-        return (w / (np.linalg.norm(w) or 1.0)).astype(np.float32)
+    reject: np.ndarray  # by class of length: a text under this cosine is rejected
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         found = features(text)
         if found is None or not self.languages:
             return UNDETERMINED, 0.0, True
-        cosines = self.centroids[:, found[0]] @ self.vector(found)
+        cosines = self.centroids[:, found[0]] @ _vector(found, self.idf)
         k = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, round(float(cosines[k]), 6))))
-        return self.languages[self.language_of[k]], score, bool(cosines[k] < self.reject[k])
+        limit = self.reject[min(_length(found[1]), len(self.reject) - 1)]
+        return self.languages[self.language_of[k]], score, bool(cosines[k] < limit)
 
 
 def _clusters(x: np.ndarray, k: int, rounds: int, least: float) -> np.ndarray:
@@ -118,56 +152,97 @@ def _clusters(x: np.ndarray, k: int, rounds: int, least: float) -> np.ndarray:
     return c[(held >= least * len(x)) | (held == held.max())]
 
 
+def fit_language(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, conf: Fit) -> tuple[np.ndarray, np.ndarray]:
+    """Of one language's texts, in a fixed order: centroids, and (class of length, cosine) of those that are held back."""
+    x = np.zeros((len(found), DIMENSIONS), np.float32)
+    for row, f in enumerate(found):
+        x[row, f[0]] = _vector(f, idf)
+    back = np.arange(len(found)) % 3 == 2
+    centroids = _clusters(x[~back], conf.clusters, conf.rounds, conf.least_share).astype(np.float32)
+    # A language of one or two texts has none to hold back.
+    told = back if back.any() else ~back
+    return centroids, np.array([(_length(f[1]), c) for f, c, b in zip(found, (x @ centroids.T).max(axis=1), told) if b])
+
+
+def limits(held: np.ndarray, conf: Fit) -> np.ndarray:
+    """By class of length: the least cosine that isn't rejected. Classes without a text near take the nearest one's, with the slack twice."""
+    if not len(held):
+        return np.zeros(1)
+    out = []
+    for k in range(64):
+        apart = np.abs(held[:, 0] - k)
+        far = apart.min() > 1
+        out.append(conf.slack ** (2 if far else 1) * np.quantile(held[apart <= max(1, apart.min()), 1], conf.reject_share, method="lower"))
+    return np.array(out)
+
+
+def _model(idf: np.ndarray, fitted: list[tuple[str, np.ndarray, np.ndarray]], conf: Fit) -> Model:
+    if not fitted:
+        return Model([], idf, np.empty((0, DIMENSIONS), np.float32), np.empty(0, int), np.zeros(1))
+    owner = np.concatenate([np.full(len(c), i) for i, (_, c, _) in enumerate(fitted)])
+    reject = limits(np.concatenate([h for _, _, h in fitted]), conf)
+    return Model([name for name, _, _ in fitted], idf, np.concatenate([c for _, c, _ in fitted]), owner, reject)
+
+
+def _idf(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log((1 + n) / (1 + df)) + 1
+
+
 def fit(texts: list[tuple[str, str]], conf: Fit | None = None) -> Model:
-    """texts: (language, text), in a fixed order."""
+    """texts: (language, text), in a fixed order; what learn() does in tasks, for a sample at hand."""
     conf = conf or Fit()
     found = [(lang, f) for lang, t in texts if (f := features(t)) is not None]
-    languages = sorted({lang for lang, _ in found})
     df = np.zeros(DIMENSIONS)
     for _, (ids, _) in found:
         df[ids] += 1
-    model = Model(languages, np.log((1 + len(found)) / (1 + df)) + 1, np.empty((0, DIMENSIONS), np.float32), np.empty(0, int), np.empty(0))
-    centroids, owner, reject = [], [], []
-    for i, lang in enumerate(languages):
-        own = [f for name, f in found if name == lang]
-        x = np.zeros((len(own), DIMENSIONS), np.float32)
-        for row, f in enumerate(own):
-            x[row, f[0]] = model.vector(f)
-        c = _clusters(x, conf.clusters, conf.rounds, conf.least_share).astype(np.float32)
-        cosines = x @ c.T
-        nearest = np.argmax(cosines, axis=1)
-        for k in range(len(c)):
-            mine = cosines[nearest == k, k]
-            centroids.append(c[k])
-            owner.append(i)
-            reject.append(conf.slack * float(mine.min() if len(mine) else cosines[:, k].min()))
-    if centroids:
-        # A rare outlier may have a centroid of its own, which would be stricter than the language is: the loosest counts.
-        least = {i: min(r for o, r in zip(owner, reject) if o == i) for i in owner}
-        model.centroids, model.language_of = np.array(centroids), np.array(owner)
-        model.reject = np.array([least[o] for o in owner])
-    return model
+    idf = _idf(df, len(found))
+    return _model(idf, [(name, *fit_language([f for lang, f in found if lang == name], idf, conf)) for name in sorted({lang for lang, _ in found})], conf)
 
 
 def remainder(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3))
 
 
-def learn(docs: DataFrame, conf: Fit | None = None) -> Model:
-    """Fit on a bounded sample of the rows that may be learned from."""
-    conf = conf or Fit()
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(b.num_rows):
+            found = features(b.column("text")[at].as_py())
+            if found is not None:
+                lists = [pa.array([x.astype(np.int64)], pa.list_(pa.int64())) for x in found]
+                yield pa.RecordBatch.from_arrays([b.column(n).slice(at, 1) for n in ("lang", "h", "d")] + lists, names=["lang", "h", "d", "ids", "counts"])
+
+
+def sample(docs: DataFrame, conf: Fit) -> DataFrame:
+    """lang, text, h, d (the id) of the rows to learn from: at most per_language of each label."""
     rows = docs.where((remainder() != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("bigint").alias("d"))
     # Few rows are ranked: those whose hash is small enough for about twice the sample, given how many there are.
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(conf.languages).collect()
-    shares = [(r["lang"], min(1.0, (2.0 * conf.per_language + 100) / r["n"])) for r in counts]
-    share = docs.sparkSession.createDataFrame(shares, "lang string, share double")  # at most `languages` rows
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * conf.per_language + 100) / F.col("n")).alias("share"))  # one row a label
     uniform = F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    thin = rows.join(F.broadcast(share), "lang").where(uniform < F.col("share"))
+    thin = rows.join(share, "lang").where(uniform < F.col("share"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "d"))
-    sample = thin.withColumn("nth", nth).where(F.col("nth") <= conf.per_language).select("lang", "text", "h", "d").collect()
-    sample.sort(key=lambda r: (r.lang, r.h, r.d, r.text))
-    return fit([(r.lang, r.text) for r in sample], conf)
+    return thin.withColumn("nth", nth).where(F.col("nth") <= conf.per_language).drop("nth", "share")
+
+
+def learn(docs: DataFrame, conf: Fit | None = None) -> Model:
+    """Fit on a bounded sample of the rows that may be learned from."""
+    conf = conf or Fit()
+    schema = "lang string, h bigint, d bigint, ids array<bigint>, counts array<bigint>"
+    found = cut(sample(docs, conf).select("lang", "h", "d", "text").mapInArrow(_counted, schema))
+    df = np.zeros(DIMENSIONS)
+    for r in found.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).collect():  # at most DIMENSIONS rows
+        df[r["id"]] = r["n"]
+    idf = _idf(df, found.count())
+
+    def of_language(key, rows):
+        rows = rows.sort_values(["h", "d"], kind="stable")
+        centroids, held = fit_language(list(zip(rows["ids"], rows["counts"])), idf, conf)
+        return pd.DataFrame({"lang": [key[0]], "centroids": [centroids.tobytes()], "held": [held.tobytes()]})
+
+    told = found.groupBy("lang").applyInPandas(of_language, "lang string, centroids binary, held binary").collect()
+    fitted = [(r["lang"], np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMENSIONS), np.frombuffer(r["held"], np.float64).reshape(-1, 2)) for r in told]
+    return _model(idf, sorted(fitted, key=lambda x: x[0]), conf)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
