@@ -165,14 +165,13 @@ def fit_language(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, co
 
 
 def limits(held: np.ndarray, conf: Fit) -> np.ndarray:
-    """By class of length: the least cosine that isn't rejected. Classes without a text near take the nearest one's, with the slack twice."""
+    """By class of length: the least cosine that isn't rejected. Classes without a text near take half of the nearest one's."""
     if not len(held):
         return np.zeros(1)
     out = []
     for k in range(64):
         apart = np.abs(held[:, 0] - k)
-        far = apart.min() > 1
-        out.append(conf.slack ** (2 if far else 1) * np.quantile(held[apart <= max(1, apart.min()), 1], conf.reject_share, method="lower"))
+        out.append((conf.slack if apart.min() <= 1 else 0.5) * np.quantile(held[apart <= max(1, apart.min()), 1], conf.reject_share, method="lower"))
     return np.array(out)
 
 
