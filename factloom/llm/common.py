@@ -29,10 +29,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one is made only where spark.checkpoint.dir is unset (local tests)."""
+    """The session's shared checkpoint folder. Only a local session may go without one; it gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set, and executors share no other folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-"))
     return context.getCheckpointDir()
 
 
@@ -42,6 +45,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is hot if more than this share of all rows have it; so there are fewer hot keys than its inverse.
+HOT_SHARE = 0.001
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of `rows` with a materialised table of one row a key, where `n` counts the rows of `rows` with that key.
+
+    Hot keys, of which there are under 1 / HOT_SHARE, go to the rows by a broadcast, so that no task has to hold one's rows;
+    all others by a shuffle. `rows` is read twice if there are any. `n` isn't in the result.
+    """
+    most = (table.agg(F.sum(n)).first()[0] or 0) * HOT_SHARE
+    hot = table.where(F.col(n) > F.lit(most))
+    if hot.isEmpty():
+        return rows.join(table.drop(n), key)
+    cold = table.where(F.col(n) <= F.lit(most)).drop(n)
+    by_broadcast = rows.join(F.broadcast(hot.drop(n)), key)
+    return by_broadcast.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def without_space(text: Column) -> Column:
     """Delete every character of SPACE; plain byte searches are much cheaper here than a regular expression."""
     for c in "\x20\x09\x0a\x0b\x0c\x0d":

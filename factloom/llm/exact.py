@@ -12,19 +12,21 @@ The winner is the row with the most code points in its original text, then the s
 is last). Decisions go back to narrow rows by the digest. That is sound because stage 3 counts the different
 texts per digest and the query fails, rather than merge them, if two texts share one; a collision of SHA-256
 isn't known. Groups of over a thousandth of all rows, of which there are under a thousand, go back by a broadcast, so that no
-task has to hold the rows of one; all others by a shuffle. Both sides are narrow tables, checkpointed. Of repeated rows (same doc_id, same text), exactly one is kept. An empty table gives no rows.
+task has to hold the rows of one; all others by a shuffle. Both sides are narrow tables, checkpointed.
+
+Defined results: of repeated rows (same doc_id, same text), exactly one is kept; they are told apart by numbers that the checkpointed
+rows carry, whose minimum is taken with map-side combining. Very long texts are compared whole. An empty table gives no rows. Other columns
+are ignored by `exact_dedup` and returned as they are by `drop_copies`, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, text_or_empty, without_space
+from factloom.llm.common import cut, join_hot, text_or_empty, without_space
 
 SALTS = 16
-#: A group is hot if it has more than this share of all rows; so there are fewer hot groups than its inverse.
-HOT_SHARE = 0.001
 _HALF, _SPAN = 1 << 63, 1 << 65
 _dec = lambda x: F.lit(str(x)).cast("decimal(20,0)")
 
@@ -70,19 +72,17 @@ def decide(docs: DataFrame, digest=None, salts: int = SALTS) -> DataFrame:
             .alias("group_size"),
         )
     )
-    hot_size = (by_digest.agg(F.sum("group_size")).first()[0] or 0) * HOT_SHARE
-    # Repeated rows of one id and text: number them, so that one of them is kept. Copies have different ids and spread.
-    same = Window.partitionBy("doc_id", "digest").orderBy(F.desc("n_chars"))
-    rows = cut(base.select("doc_id", "n_chars", "digest").withColumn("__nth", F.row_number().over(same)))
-    hot = F.broadcast(by_digest.where(F.col("group_size") > hot_size))
-    rest = by_digest.where(F.col("group_size") <= hot_size)
-    on = F.col("digest") == F.col("__digest")
-    out = rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(rest, on))
+    rows = cut(base.select("doc_id", "n_chars", "digest").withColumn("__row", F.monotonically_increasing_id()))
+    rank = _rank(F.col("n_chars"), F.col("doc_id"))
+    # Repeated rows share the best rank: the first of them is kept. Numbers are part of the checkpoint, so they don't change.
+    first = rows.groupBy(F.col("digest").alias("__digest")).agg(F.max_by(F.col("__row"), F.struct(rank, -F.col("__row"))).alias("__first"))
+    decided = cut(by_digest.join(first, "__digest").withColumnRenamed("__digest", "digest").withColumn("__n", F.col("group_size")))
+    out = join_hot(rows, decided, "digest", "__n")
     return out.select(
         "doc_id",
         _id_of(F.col("__best")).alias("keep_id"),
         F.col("group_size").cast("bigint").alias("group_size"),
-        ((_rank(F.col("n_chars"), F.col("doc_id")) == F.col("__best")) & (F.col("__nth") == 1)).alias("kept"),
+        (F.col("__row") == F.col("__first")).alias("kept"),
         F.col("digest").alias("text_sha256"),
         F.col("n_chars").cast("bigint").alias("n_code_points"),
     )
@@ -102,6 +102,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     rows = docs.withColumns({
         "__id": id_, "__sha": F.sha2(without_space(text_or_empty()).cast("binary"), 256), "__len": F.length(text_or_empty()).cast("bigint"),
     })
-    one = Window.partitionBy(*keys).orderBy("text")
-    hit = rows.join(winners, keys, "left_semi")
-    return hit.withColumn("__nth", F.row_number().over(one)).where("__nth = 1").select(*docs.columns)
+    # Repeated rows meet in every task before they are shuffled.
+    order = F.struct(F.col("text").isNull().alias("none"), "text")
+    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return one.join(winners, keys, "left_semi").select("row.*")

@@ -63,3 +63,7 @@ def test_colliding_digests_fail_rather_than_merge(spark):
 def test_clashing_columns_stay(spark):
     df = spark.createDataFrame([(1, "a", "k", 3)], "doc_id long, text string, kept string, digest int")
     assert drop_copies(df).collect()[0].asDict() == {"doc_id": 1, "text": "a", "kept": "k", "digest": 3}
+
+
+def test_half_of_the_ids_null(spark):
+    check(spark, [(i if i % 2 else None, ("copy", f"t{i % 40}")[i % 3 > 0]) for i in range(2000)], 12)
