@@ -31,10 +31,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, partitions
+from factloom.llm.common import cut, join_hot, partitions
 
 BITS = 64
 DISTANCE = 4
@@ -291,10 +291,11 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     for _ in range(rounds):
         # large-star: each node sends its larger neighbours to its smallest neighbour, or to itself
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = join_hot(both, least, "u", "n").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        large = cut(large)
         # small-star: each node sends its smaller neighbours, and itself, to the smallest of them
-        sent = large.join(large.groupBy("b").agg(F.min("a").alias("m")), "b")
+        sent = join_hot(large, cut(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))), "b", "n")
         small = sent.select(F.col("m").alias("a"), F.col("a").alias("b")).union(sent.select(F.col("m").alias("a"), "b"))
         edges = cut(small.where("a <> b").distinct())
         if (after := told(edges)) == before:
@@ -305,12 +306,12 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 def with_components(prints: DataFrame) -> DataFrame:
     """(doc_id, mark, fp) -> the same with root (a fingerprint) and component_id. `prints` is read several times."""
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     roots = components(links(distinct.select("fp"), distinct.count()))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select(F.col("fp").alias("__fp"), "root", "component_id")
-    return prints.join(by_fp, prints["fp"] == by_fp["__fp"]).select("doc_id", "mark", "fp", "root", "component_id")
+    rooted = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")))
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints")))
+    by_fp = cut(join_hot(rooted.select("fp", "rows", "root"), named, "root", "prints"))
+    return join_hot(prints, by_fp, "fp", "rows").select("doc_id", "mark", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -326,6 +327,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     keep = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "mark")).alias("k"))
     keep = keep.select(F.col("k.id").alias("__id"), F.col("k.mark").alias("__mark")).distinct()
     rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), last), "__mark": F.xxhash64("text")})
-    one = Window.partitionBy("__id", "__mark").orderBy("text")
-    hit = rows.join(keep, ["__id", "__mark"], "left_semi")
-    return hit.withColumn("__nth", F.row_number().over(one)).where("__nth = 1").select(*docs.columns)
+    # Repeated rows meet in every task before they are shuffled.
+    order = F.struct(F.col("text").isNull().alias("none"), "text")
+    one = rows.groupBy("__id", "__mark").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return one.join(keep, ["__id", "__mark"], "left_semi").select("row.*")
