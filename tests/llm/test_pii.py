@@ -8,6 +8,7 @@ from factloom.llm import pii
 from factloom.llm.pii import Surrogates, collisions, detect, entities, permute, pseudonymise, pseudonymised_documents, replace
 
 KEY = b"test key"
+CONF = Surrogates(key=KEY)
 
 
 def kinds(text):
@@ -26,7 +27,7 @@ def test_detection():
 
 def test_people_gender_script_and_coreference():
     t = "Mr Smith and Mrs. Anna Smith met John Smith. SMITH? Smith left; г-жа Иванова, my name is Peter Müller"
-    new, n = replace(t, KEY, {})
+    new, n = replace(t, CONF, {})
     assert "Smith" not in new and "Anna" not in new and "Müller" not in new and "Иванова" not in new
     surname = re.search(r"Mr (\w+) and Mrs\. (\w+) (\w+) met (\w+) (\w+)\. SMITH\? (\w+) left; г-жа ([А-я]+), my name is (\w+) (\w+)$", new).groups()
     assert surname[0] == surname[2] == surname[4] == surname[5]
@@ -35,13 +36,13 @@ def test_people_gender_script_and_coreference():
 
 def test_types_and_formats_stay():
     for shown, kind in kinds("Und.34@Mail7.example.com +1 (017) 555-7713 97.51.17.173 4845-1681-1440-7329 123-45-6789 GB82 WEST 1234 5698 7654 32"):
-        new, n = replace(shown, KEY, {})
+        new, n = replace(shown, CONF, {})
         assert n == 1 and new != shown
         assert kinds(new) == [(new, kind)]
         if kind != "ipv4":
             shape = lambda s: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", s)))
             assert shape(new) == shape(shown)
-        assert replace(shown, KEY, {})[0] == new != replace(shown, b"other", {})[0]
+        assert replace(shown, CONF, {})[0] == new != replace(shown, Surrogates(key=b"other"), {})[0]
 
 
 def test_permutation():
@@ -84,3 +85,72 @@ def test_odd_rows(spark):
     out = pseudonymise(df).collect()
     assert len(out) == 5 and {r.n_entities for r in out} == {0, 20000} and "a.b@c.org" not in "".join(r.text or "" for r in out)
     assert pseudonymised_documents(df.limit(0)).collect() == []
+
+
+def run(spark, texts, **conf):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pseudonymise(df, Surrogates(**conf)).orderBy("doc_id").collect()]
+
+
+def test_one_person_whatever_the_context(spark):
+    new = run(spark, ["Mr Alex Smith wrote. My name is Alex Smith.", "Mary Smith came. Mary said hello.", "MR JOHN SMITH and Sarah O’Neil, then Sarah O'Neil.", "Priya Patel, κυρία Ελένη Παππά; 王伟先生来了,王伟走了,王女士。", "call +1 (017) 555-7713 or 017-555-7713"])
+    a, b = re.fullmatch(r"Mr (\w+ \w+) wrote\. My name is (\w+ \w+)\.", new[0]).groups()
+    assert a == b and "Alex" not in new[0] and a.split()[0].endswith(("ton", "rick", "las", "ner"))
+    first, second = re.fullmatch(r"(\w+) \w+ came\. (\w+) said hello\.", new[1]).groups()
+    assert first == second != "Mary" and new[1].split()[1] == a.split()[1]
+    x = re.fullmatch(r"MR ([A-Z]+) ([A-Z]+) and (\w+ \w+), then (\w+ \w+)\.", new[2]).groups()
+    assert x[1] == a.split()[1].upper() and x[2] == x[3] and "Neil" not in new[2]
+    assert not re.search("Priya|Patel|Ελένη|Παππά|王伟", new[3]) and re.search("[α-ω]", new[3])
+    han = re.search(r"; (.)(.)先生来了,(.)(.)走了,(.)女士", new[3]).groups()
+    assert han[0] == han[2] == han[4] and han[1] == han[3]
+    p, q = re.fullmatch(r"call \+1 \((\d{3})\) (\d{3}-\d{4}) or (\d{3}-\d{3}-\d{4})", new[4]).group(1, 2), new[4][-12:]
+    assert f"{p[0]}-{p[1]}" == q != "017-555-7713"
+
+
+def test_usual_phone_forms():
+    for t in ("+33 6 12 34 56 78", "06 12 34 56 78", "030 12345678", "0171 2345678", "(555)123-4567", "+442079460958"):
+        assert kinds(f"at {t}.") == [(t, "phone")], t
+        assert kinds(replace(t, CONF, {})[0])[0][1] == "phone"
+    assert kinds("call 5551234567 now") == [("5551234567", "phone")]
+    for clean in ("2024-01-02 10 20 30", "1700000000", "0.12 34 56", "12 34 56 78 90", "page 030 of 12345678901"):
+        assert kinds(clean) == [], clean
+
+
+def test_given_names_are_a_parameter(spark):
+    assert run(spark, ["then Zorblax Quux spoke"]) == ["then Zorblax Quux spoke"]
+    assert "Zorblax" not in run(spark, ["then Zorblax Quux spoke"], names=(("Zorblax", "f"),))[0]
+
+
+def test_whole_query_by_brute_force(spark, sf_dir):
+    """Votes, draws and redraws over all texts in plain Python."""
+    conf = Surrogates()
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(10_000 + i, f"{t} {g} {x}{y}.") for i, (t, g, x, y) in enumerate((t, g, x, y) for t in ("Mr", "Ms", "Dr") for g in ("Alex", "Kim") for x in ("Bal", "Ker", "Lin", "Mok", "Nud") for y in "abcdefghijklmnopqrstuvwxyz")]
+    votes = {}
+    for _, t in rows:
+        for *_, kind, canonical, gender in detect(t or ""):
+            votes.setdefault((kind, canonical), {"f": 0, "m": 0, "n": 0})[gender] += 1
+    listed = {n.lower(): g for g, names in pii.GIVEN.items() for n in names}
+    gender = {e: "f" if v["f"] > v["m"] else "m" if v["m"] > v["f"] else listed.get(e[1], "n") if e[0] == "given" else "n" for e, v in votes.items()}
+    attempt = dict.fromkeys(gender, 0)
+    real = {c.lower() for _, c in gender}
+    while True:
+        drawn = {}
+        for e, k in attempt.items():
+            drawn.setdefault(pii.surrogate(*e, gender[e], conf.key, k).lower(), []).append((k, e[1], e[0]))
+        again = [(x[2], x[1]) for new, own in drawn.items() for i, x in enumerate(sorted(own)) if i or new in real]
+        if not again:
+            break
+        for e in again:
+            attempt[e] += 1
+    want = {}
+    for d, t in rows:
+        out, at = [], 0
+        for a, b, kind, canonical, _ in detect(t or ""):
+            new = pii.surrogate(kind, canonical, gender[kind, canonical], conf.key, attempt[kind, canonical])
+            out += [t[at:a], pii.formatted(t[a:b], kind, new)]
+            at = b
+        want[d] = None if t is None else "".join(out) + t[at:]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.text for r in pseudonymised_documents(df).collect()} == want
+    assert max(attempt.values()) > 0
