@@ -2,54 +2,62 @@
 
 Every document has a source, a language and a topic; the token totals of their combinations are the cells. Raking
 scales the cells' totals, factor by factor, until each marginal (source, language, topic) has its target shares.
-A document's probability is its cell's raked total over its cell's actual total, scaled so that the largest is 1; a
-keyed hash of its id draws against it. So expected token totals meet all three sets of targets, and no cell is
-upsampled.
+A document's probability is its cell's raked total over its cell's actual total; a keyed hash of its id draws against it. Raking starts
+from the share `keep` of all tokens and never lets a cell have more than it holds, so the expected number of tokens is `keep` of the
+corpus whatever the smallest cell is, no cell is upsampled, and the others make up for those that are used up. Where cells are used
+up or missing, targets can be out of reach: `Plan.gap` tells by how much of all tokens the worst category misses its target, and a warning
+is given above `most_gap`.
 
 Targets are given as shares by category, or as a power: shares in proportion to (actual total)**power, where 1 keeps
-the mix and 0 makes categories even. At most `categories` values of a factor are told apart, the heaviest; the rest
-share the cell "(rest)", so that there are at most (categories + 1)**3 cells, which are raked on the driver and broadcast,
-whatever the corpus.
-Documents of the rest are mixed and drawn as all others are. Categories with a target share of 0 draw nothing;
-targets of categories that have no tokens go to the others in proportion.
+the mix and 0 makes categories even. Every value of a factor is a category. Up to `driver_cells` cells are raked on the driver
+and broadcast; beyond that the cells stay a table, raked by grouped sums and joins that are checkpointed, and are joined to the
+documents by a shuffle but for the hot ones. Categories with a target share of 0 draw nothing; targets of categories that
+have no tokens go to the others in proportion.
 
-Topics are rules over the whole text, first match: `licence`, `table`, `symbols`, `prose`; another column can be named.
+The topic is a column (`topic_column`) or, without one, the form of the whole text: `figures` if a tenth or more of its characters that
+aren't white space are digits, else `markup` if as many are ASCII signs, else `prose`.
 
-A null source or language is the category "(none)". A null or empty text has 0 tokens: such a document doesn't weigh,
+Defined results: a null source, language or topic is the category "(none)"; real values that begin like it, after any number of "=",
+get one more "=" in front. A null or empty text has 0 tokens: such a document doesn't weigh,
 and is drawn with its cell's probability (1 if its whole cell has no token). A null doc_id draws by its text.
-Repeated rows draw alike. An empty table gives no rows.
+Repeated rows draw alike. Very long texts are counted whole. An empty table gives no rows. Other columns are ignored by `mix_documents` and
+returned as they are by `keep_mixed`, whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import NOT_SPACE, SPACE, cut, text_or_empty
+from factloom.llm.common import NOT_SPACE, cut, join_hot, text_or_empty
 
 FACTORS = ("source", "lang", "topic")
-REST, NONE = "(rest)", "(none)"
+NONE = "(none)"
+_NONE_LIKE = r"^=*\(none\)"
+DIGITS, SPACES = "0123456789", "\x20\x09\x0a\x0b\x0c\x0d"
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass(frozen=True)
 class Mix:
     targets: dict = field(default_factory=lambda: {"source": 0.7, "lang": 0.7, "topic": 0.9})
+    keep: float = 0.5  # share of all tokens that is drawn
     seed: str = "mix-1"
-    categories: int = 64
-    rounds: int = 500
-    tolerance: float = 1e-10
+    topic_column: str | None = None
+    driver_cells: int = 100_000
+    rounds: int = 100
+    tolerance: float = 1e-12  # change in a round, as a share of all tokens, at which raking ends
+    most_gap: float = 0.01
 
 
 def topic(text: Column) -> Column:
-    return (
-        F.when(text.contains("Licensed under") | text.contains("All rights reserved") | text.contains("Copyright"), "licence")
-        .when(text.contains(" | "), "table")
-        .when(text.contains("***") | text.contains("###") | text.contains("$$$") | text.contains("&&&"), "symbols")
-        .otherwise("prose")
-    )
+    without = lambda signs: F.length(F.translate(text, signs, ""))
+    solid = without(SPACES)
+    return F.when((solid > 0) & ((F.length(text) - without(DIGITS)) * 10 >= solid), "figures").when((solid > 0) & ((F.length(text) - without(SIGNS)) * 10 >= solid), "markup").otherwise("prose")
 
 
 def token_count(text: Column) -> Column:
@@ -63,34 +71,47 @@ def draw(key: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def rake(totals: np.ndarray, targets: list[np.ndarray], rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
-    """Scale `totals` (one axis per factor) until its marginals are the targets' shares of the grand total."""
-    x = totals.astype(float).copy()
+def _goals(totals: np.ndarray, targets: list[np.ndarray], whole: float) -> list[np.ndarray | None]:
+    goals = []
+    for axis, t in enumerate(targets):
+        has = totals.sum(axis=tuple(k for k in range(totals.ndim) if k != axis)) > 0
+        t = np.where(has, t, 0.0)
+        goals.append(t / t.sum() * whole if t.sum() else None)
+    return goals
+
+
+def rake(totals: np.ndarray, targets: list[np.ndarray], rounds: int = 500, tolerance: float = 1e-12, keep: float | None = None) -> np.ndarray:
+    """Scale `totals` (one axis per factor) until its marginals are the targets' shares of the grand total, or of `keep` of it, where
+    no cell may have more than its total."""
+    x = totals * (1.0 if keep is None else keep)
     whole = x.sum()
     if not whole:
         return x
-    wanted = []
-    for axis, t in enumerate(targets):
-        has = x.sum(axis=tuple(k for k in range(x.ndim) if k != axis)) > 0
-        t = np.where(has, t, 0.0)
-        wanted.append(t / t.sum() * whole if t.sum() else None)
+    goals = _goals(totals, targets, whole)
     for _ in range(rounds):
-        worst = 0.0
-        for axis, t in enumerate(wanted):
+        before = x
+        for axis, t in enumerate(goals):
             if t is None:
                 continue
-            other = tuple(k for k in range(x.ndim) if k != axis)
-            now = x.sum(axis=other)
-            worst = max(worst, float(np.abs(now - t).max()) / whole)
+            now = x.sum(axis=tuple(k for k in range(x.ndim) if k != axis))
             scale = np.divide(t, now, out=np.zeros_like(t), where=now > 0)
-            x *= scale.reshape([-1 if k == axis else 1 for k in range(x.ndim)])
-        if worst < tolerance:
+            x = x * scale.reshape([-1 if k == axis else 1 for k in range(x.ndim)])
+            x = x if keep is None else np.minimum(x, totals)
+        if np.abs(x - before).max() <= tolerance * whole:
             break
     return x
 
 
-def calibrate(cells: list[tuple], mix: Mix) -> list[tuple]:
-    """(source, lang, topic, tokens) -> (source, lang, topic, probability)."""
+def gap(x: np.ndarray, totals: np.ndarray, targets: list[np.ndarray], whole: float) -> float:
+    """By how much of all drawn tokens the worst category misses its target."""
+    sums = [x.sum(axis=tuple(k for k in range(x.ndim) if k != axis)) for axis in range(x.ndim)]
+    return max((float(np.abs(s - t).max()) / whole for s, t in zip(sums, _goals(totals, targets, whole)) if t is not None), default=0.0) if whole else 0.0
+
+
+def calibrate(cells: list[tuple], mix: Mix) -> tuple[list[tuple], float]:
+    """(source, lang, topic, tokens) -> (source, lang, topic, probability), and the gap."""
+    if not cells:
+        return [], 0.0
     values = [sorted({c[k] for c in cells}) for k in range(3)]
     place = [{v: i for i, v in enumerate(vs)} for vs in values]
     totals = np.zeros([len(v) for v in values])
@@ -104,22 +125,52 @@ def calibrate(cells: list[tuple], mix: Mix) -> list[tuple]:
         else:
             sums = totals.sum(axis=tuple(j for j in range(3) if j != k))
             targets.append(np.where(sums > 0, sums, 1.0) ** given * (sums > 0))
-    raked = rake(totals, targets, mix.rounds, mix.tolerance)
-    ratio = np.divide(raked, totals, out=np.zeros_like(totals), where=totals > 0)
-    top = ratio.max() if ratio.size else 0.0
+    raked = rake(totals, targets, mix.rounds, mix.tolerance, mix.keep)
     told = []
     for c in cells:
         at = tuple(place[k][c[k]] for k in range(3))
-        told.append((c[0], c[1], c[2], float(ratio[at] / top) if totals[at] and top else 1.0))
-    return told
+        told.append((c[0], c[1], c[2], float(raked[at] / totals[at]) if totals[at] else 1.0))
+    return told, gap(raked, totals, targets, totals.sum() * mix.keep)
+
+
+def calibrate_frame(cells: DataFrame, mix: Mix, tolerance: float = 1e-7) -> tuple[DataFrame, float]:
+    """calibrate() for more cells than the driver should hold. cells: the factors, n_tokens; materialised."""
+    whole = (cells.agg(F.sum("n_tokens")).first()[0] or 0) * mix.keep
+    x = cells.withColumn("x", F.col("n_tokens") * F.lit(mix.keep))
+    if not whole:
+        return cells.withColumn("probability", F.lit(1.0)), 0.0
+    goals = {}
+    for f in FACTORS:
+        given = mix.targets.get(f, 1.0)
+        sums = cells.groupBy(f).agg(F.sum("n_tokens").cast("double").alias("g")).where("g > 0")
+        if isinstance(given, dict):
+            told = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"{f} string, t double")
+            wanted = sums.select(f).join(told, f, "left").select(f, F.coalesce("t", F.lit(0.0)).alias("t"))
+        else:
+            wanted = sums.select(f, F.pow("g", F.lit(float(given))).alias("t"))
+        wanted = cut(wanted)
+        total = wanted.agg(F.sum("t")).first()[0]
+        if total:
+            goals[f] = wanted.withColumn("t", F.col("t") * F.lit(whole / total))
+    scales = lambda x, f: x.groupBy(f).agg(F.sum("x").alias("now"), F.count("*").alias("n")).join(goals[f], f, "left")
+    for _ in range(mix.rounds):
+        x = x.withColumn("before", F.col("x"))
+        for f in goals:
+            scale = cut(scales(x, f).select(f, "n", F.coalesce(F.when(F.col("now") > 0, F.col("t") / F.col("now")), F.lit(0.0)).alias("scale")))
+            x = join_hot(x, scale, f, "n")
+            x = cut(x.withColumn("x", F.least(F.col("x") * F.col("scale"), F.col("n_tokens").cast("double"))).drop("scale"))
+        if x.agg(F.max(F.abs(F.col("x") - F.col("before")))).first()[0] <= tolerance * whole:
+            break
+    missed = max((scales(x, f).agg(F.max(F.abs(F.col("now") - F.coalesce("t", F.lit(0.0))))).first()[0] / whole for f in goals), default=0.0)
+    return cut(x.select(*FACTORS, F.when(F.col("n_tokens") > 0, F.col("x") / F.col("n_tokens")).otherwise(1.0).alias("probability"), "rows")), missed
 
 
 def factors(topic_column: str | None = None) -> dict[str, Column]:
-    return {
-        "source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)),
-        "lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)),
-        "topic": F.coalesce(F.col(topic_column).cast("string"), F.lit(NONE)) if topic_column else topic(text_or_empty()),
-    }
+    def category(name: str) -> Column:
+        value = F.col(name).cast("string")
+        return F.coalesce(F.when(value.rlike(_NONE_LIKE), F.concat(F.lit("="), value)).otherwise(value), F.lit(NONE))
+
+    return {"source": category("source"), "lang": category("lang"), "topic": category(topic_column) if topic_column else topic(text_or_empty())}
 
 
 def draw_key() -> Column:
@@ -127,34 +178,34 @@ def draw_key() -> Column:
 
 
 class Plan:
-    """What a corpus and a Mix come to: which values of each factor are told apart, and each cell's probability."""
+    """What a corpus and a Mix come to: each cell's probability, and the gap that is left."""
 
     def __init__(self, weighed: DataFrame, mix: Mix):
         """weighed: source, lang, topic, n_tokens; read once."""
-        cells = cut(weighed.groupBy(*FACTORS).agg(F.sum("n_tokens").alias("n_tokens")))
-        self.heavy = {n: self._heaviest(cells, n, mix.categories) for n in FACTORS}
-        sums = cells.select(*[self.folded(n, F.col(n)).alias(n) for n in FACTORS], "n_tokens").groupBy(*FACTORS).agg(F.sum("n_tokens"))
-        told = calibrate(sorted(tuple(r) for r in sums.collect()), mix)
-        self.table = weighed.sparkSession.createDataFrame(told, "__source string, __lang string, __topic string, __probability double")
-
-    @staticmethod
-    def _heaviest(cells: DataFrame, name: str, most: int) -> list[str] | None:
-        found = cells.groupBy(name).agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), name).limit(most + 1).collect()
-        return [r[name] for r in found[:most]] if len(found) > most else None
-
-    def folded(self, name: str, value: Column) -> Column:
-        return value if self.heavy[name] is None else F.when(value.isin(self.heavy[name]), value).otherwise(REST)
+        cells = cut(weighed.groupBy(*FACTORS).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("rows")))
+        self.small = cells.count() <= mix.driver_cells
+        if self.small:
+            told, self.gap = calibrate(sorted(tuple(r)[:4] for r in cells.collect()), mix)
+            self.table = weighed.sparkSession.createDataFrame(told, "source string, lang string, topic string, probability double")
+        else:
+            self.table, self.gap = calibrate_frame(cells, mix)
+        if self.gap > mix.most_gap:
+            warnings.warn(f"a category misses its target by {self.gap:.3f} of all drawn tokens", stacklevel=3)
 
     def applied(self, rows: DataFrame, values: dict[str, Column]) -> DataFrame:
         """`rows` with __probability; `values` gives the factors."""
-        keyed = rows.withColumns({f"__{n}": self.folded(n, values[n]) for n in FACTORS})
-        return keyed.join(F.broadcast(self.table), [f"__{n}" for n in FACTORS])
+        cell = lambda columns: F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()]))
+        keyed = rows.withColumn("__cell", cell(values))
+        own = {n: F.col(n) for n in FACTORS}
+        if self.small:
+            return keyed.join(F.broadcast(self.table.select(cell(own).alias("__cell"), F.col("probability").alias("__probability"))), "__cell")
+        return join_hot(keyed, self.table.select(cell(own).alias("__cell"), F.col("probability").alias("__probability"), F.col("rows").alias("__rows")), "__cell", "__rows")
 
 
 def mix_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """One row per row: doc_id, source, lang, topic, n_tokens, probability, selected."""
     mix = mix or Mix()
-    named = {n: c.alias(n) for n, c in factors().items()}
+    named = {n: c.alias(n) for n, c in factors(mix.topic_column).items()}
     rows = cut(docs.select("doc_id", *named.values(), token_count(text_or_empty()).alias("n_tokens"), draw_key().alias("draw_key")))
     out = Plan(rows, mix).applied(rows, {n: F.col(n) for n in FACTORS})
     drawn = draw(F.col("draw_key"), mix.seed) < F.col("__probability")
@@ -162,36 +213,41 @@ def mix_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
 
 
 def keep_mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
-    """The rows of `docs` that are drawn, with their columns. The text isn't shuffled."""
+    """The rows of `docs` that are drawn, with their columns. The text isn't shuffled while the cells are few."""
     mix = mix or Mix()
-    weighed = docs.select(*[c.alias(n) for n, c in factors().items()], token_count(text_or_empty()).alias("n_tokens"))
-    rows = Plan(weighed, mix).applied(docs.withColumn("__draw", draw(draw_key(), mix.seed)), factors())
+    values = factors(mix.topic_column)
+    weighed = docs.select(*[c.alias(n) for n, c in values.items()], token_count(text_or_empty()).alias("n_tokens"))
+    rows = Plan(weighed, mix).applied(docs.withColumn("__draw", draw(draw_key(), mix.seed)), values)
     return rows.where("__draw < __probability").select(*docs.columns)
 
 
-def oracle(mix: Mix | None = None, steps: int = 300) -> str:
+def oracle(mix: Mix | None = None) -> str:
     """DuckDB SQL for mix_documents with powers as targets: raking is a recursive query, one factor a step."""
     mix = mix or Mix()
     t = "coalesce(text, '')"
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    solid = f"length(regexp_replace({t}, '[\\x20\\x09-\\x0D]', '', 'g'))"
+    lost = lambda signs: f"(length({t}) - length(translate({t}, {quoted(signs)}, ''))) * 10 >= {solid} AND {solid} > 0"
+    category = lambda c: f"coalesce(CASE WHEN regexp_matches({c}, {quoted(_NONE_LIKE)}) THEN '=' || {c} ELSE {c} END, '{NONE}')"
     factor = "CASE step % 3 WHEN 0 THEN ts / ss WHEN 1 THEN tl / sl ELSE tt / st END"
     goals = ", ".join(f"g{n[0]} AS (SELECT {n}, pow(sum(n), {mix.targets[n]}) AS g FROM cells GROUP BY {n} HAVING sum(n) > 0)" for n in FACTORS)
+    whole = f"(SELECT sum(n) * {mix.keep} FROM cells)"
     return f"""
         WITH RECURSIVE d AS (
-            SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
-                   CASE WHEN contains({t}, 'Licensed under') OR contains({t}, 'All rights reserved') OR contains({t}, 'Copyright') THEN 'licence' WHEN contains({t}, ' | ') THEN 'table'
-                        WHEN contains({t}, '***') OR contains({t}, '###') OR contains({t}, '$$$') OR contains({t}, '&&&') THEN 'symbols' ELSE 'prose' END AS topic,
+            SELECT doc_id, {category("source")} AS source, {category("lang")} AS lang,
+                   CASE WHEN {lost(DIGITS)} THEN 'figures' WHEN {lost(SIGNS)} THEN 'markup' ELSE 'prose' END AS topic,
                    len(regexp_extract_all({t}, '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
                    ('0x' || substr(md5('{mix.seed}:' || coalesce(doc_id::VARCHAR, 'text:' || md5({t}))), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE AS u
             FROM documents
         ), cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n FROM d GROUP BY ALL), {goals},
         start AS (
-            SELECT c.*, gs.g / (SELECT sum(g) FROM gs) * (SELECT sum(n) FROM cells) AS ts, gl.g / (SELECT sum(g) FROM gl) * (SELECT sum(n) FROM cells) AS tl, gt.g / (SELECT sum(g) FROM gt) * (SELECT sum(n) FROM cells) AS tt
+            SELECT c.*, gs.g / (SELECT sum(g) FROM gs) * {whole} AS ts, gl.g / (SELECT sum(g) FROM gl) * {whole} AS tl, gt.g / (SELECT sum(g) FROM gt) * {whole} AS tt
             FROM cells c JOIN gs USING (source) JOIN gl USING (lang) JOIN gt USING (topic) WHERE c.n > 0
         ), r AS (
-            SELECT source, lang, topic, n, n AS x, ts, tl, tt, 0 AS step FROM start
+            SELECT source, lang, topic, n, n * {mix.keep}::DOUBLE AS x, ts, tl, tt, 0 AS step FROM start
             UNION ALL
-            SELECT source, lang, topic, n, x * {factor}, ts, tl, tt, step + 1 FROM (
-                SELECT *, sum(x) OVER (PARTITION BY source) AS ss, sum(x) OVER (PARTITION BY lang) AS sl, sum(x) OVER (PARTITION BY topic) AS st FROM r WHERE step < {steps})
-        ), p AS (SELECT source, lang, topic, (x / n) / max(x / n) OVER () AS probability FROM r WHERE step = {steps})
+            SELECT source, lang, topic, n, least(x * {factor}, n), ts, tl, tt, step + 1 FROM (
+                SELECT *, sum(x) OVER (PARTITION BY source) AS ss, sum(x) OVER (PARTITION BY lang) AS sl, sum(x) OVER (PARTITION BY topic) AS st FROM r WHERE step < {3 * mix.rounds})
+        ), p AS (SELECT source, lang, topic, x / n AS probability FROM r WHERE step = {3 * mix.rounds})
         SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(coalesce(p.probability, 1.0), 6) AS probability, d.u < coalesce(p.probability, 1.0) AS selected
         FROM d LEFT JOIN p ON p.source = d.source AND p.lang = d.lang AND p.topic = d.topic"""

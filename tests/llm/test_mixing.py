@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import string
 
 import numpy as np
+import pytest
 
 from factloom.llm import mixing
 from factloom.llm.mixing import Mix, calibrate, keep_mixed, mix_documents, rake
@@ -14,32 +16,30 @@ def brute(rows, mix):
     told = []
     for d, t, lang, source in rows:
         t = t or ""
-        topic = (
-            "licence" if any(x in t for x in ("Licensed under", "All rights reserved", "Copyright"))
-            else "table" if " | " in t else "symbols" if any(x in t for x in ("***", "###", "$$$", "&&&")) else "prose"
-        )
+        solid = len(re.sub(r"[\x20\x09-\x0D]", "", t))
+        figures, signs = sum(c in string.digits for c in t), sum(c in string.punctuation for c in t)
+        topic = "figures" if solid and figures * 10 >= solid else "markup" if solid and signs * 10 >= solid else "prose"
         told.append((d, source or "(none)", lang or "(none)", topic, len(re.findall(r"[^\x20\x09-\x0D]+", t))))
     cells = {}
     for r in told:
         cells[r[1:4]] = cells.get(r[1:4], 0) + r[4]
-    w = {k: float(v) for k, v in cells.items()}
+    w = {k: v * mix.keep for k, v in cells.items()}
     total = sum(w.values())
     sums = [{}, {}, {}]
     for k, v in cells.items():
         for a in range(3):
             sums[a][k[a]] = sums[a].get(k[a], 0) + v
     goal = [{c: v**mix.targets[n] if v else 0 for c, v in s.items()} for n, s in zip(mixing.FACTORS, sums)]
-    for _ in range(300):
+    for _ in range(mix.rounds):
         for a in range(3):
             g = sum(goal[a].values())
             now = {}
             for k, v in w.items():
                 now[k[a]] = now.get(k[a], 0) + v
-            w = {k: v * (goal[a][k[a]] / g * total / now[k[a]] if now[k[a]] else 0) for k, v in w.items()}
-    top = max(w[k] / cells[k] for k in w if cells[k])
+            w = {k: min(cells[k], v * (goal[a][k[a]] / g * total / now[k[a]] if now[k[a]] else 0)) for k, v in w.items()}
     out = {}
     for r in told:
-        p = w[r[1:4]] / cells[r[1:4]] / top if cells[r[1:4]] else 1.0
+        p = w[r[1:4]] / cells[r[1:4]] if cells[r[1:4]] else 1.0
         u = int(hashlib.md5(f"{mix.seed}:{r[0]}".encode()).hexdigest()[:13], 16) / 2**52
         out[r[0]] = (*r[1:], p, u < p)
     return out
@@ -69,12 +69,48 @@ def test_marginals_meet_targets():
 
 def test_given_shares_and_absent_categories():
     cells = [("a", "en", "prose", 900), ("b", "en", "prose", 100), ("b", "fr", "prose", 50)]
-    told = calibrate(cells, Mix(targets={"source": {"a": 1, "b": 1, "gone": 2}, "lang": 1.0, "topic": 1.0}))
+    told, left = calibrate(cells, Mix(targets={"source": {"a": 1, "b": 1, "gone": 2}, "lang": 1.0, "topic": 1.0}, keep=0.1))
     p = {c[:3]: c[3] for c in told}
-    assert max(p.values()) == 1.0 and all(0 <= v <= 1 for v in p.values())
+    assert all(0 <= v <= 1 for v in p.values())
     a, b = p[cells[0][:3]] * 900, sum(p[c[:3]] * c[3] for c in cells[1:])
-    assert abs(a - b) / b < 1e-6
-    assert calibrate([], Mix()) == [] and calibrate([("a", "x", "t", 0)], Mix())[0][3] == 1.0
+    assert abs(a - b) / b < 1e-6 and abs(a + b - 105) < 1e-6 and left < 1e-9
+    assert calibrate([], Mix()) == ([], 0.0) and calibrate([("a", "x", "t", 0)], Mix())[0][0][3] == 1.0
+
+
+def test_a_tiny_cell_does_not_decide():
+    cells = [(f"s{i}", "en", "prose", 1e9) for i in range(3)] + [("tiny", "en", "prose", 10)]
+    told, _ = calibrate(cells, Mix(targets={"source": 0.7}))
+    assert {c[0]: round(c[3], 3) for c in told} == {"s0": 0.5, "s1": 0.5, "s2": 0.5, "tiny": 1.0}
+
+
+def test_gap_is_told(spark):
+    rows = [(i, "w " * 10, "en", "big" if i % 50 else "small") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="misses its target"):
+        got = mix_documents(df, Mix(targets={"source": {"big": 1, "small": 9}})).collect()
+    assert {r.probability for r in got if r.source == "small"} == {1.0}
+
+
+def test_every_value_is_a_category(spark):
+    rows = [(i, "w w", "en", f"s{i % 300}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mix_documents(df, Mix(targets={"source": {f"s{i}": 1 + i % 2 for i in range(300)}}, keep=0.3)).collect()
+    assert len({r.source for r in got}) == 300 and min(r.probability for r in got) > 0.1
+    assert {round(r.probability, 3) for r in got} == {0.2, 0.4}
+
+
+def test_cells_as_a_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    told = lambda mix: {r.doc_id: r.probability for r in mix_documents(docs, mix).collect()}
+    targets = {"source": {"src0": 3, "src1": 1, "src2": 1, "absent": 1}, "lang": 0.7, "topic": 0.9}
+    a, b = (told(Mix(targets=targets, most_gap=1, driver_cells=n, rounds=2)) for n in (1000, 0))
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-5
+
+
+def test_stand_in_names_do_not_merge(spark):
+    rows = [(1, "a b", "en", None), (2, "a b", "en", "(none)"), (3, "a b", "en", "=(none)")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id: r.source for r in mix_documents(df).collect()} == {1: "(none)", 2: "=(none)", 3: "==(none)"}
 
 
 def test_expected_tokens(spark):
@@ -92,11 +128,3 @@ def test_edges(spark):
     assert len(got) == 5 and {(r.source, r.n_tokens, r.selected) for r in got if r.doc_id == 1} == {("(none)", 0, True)}
     assert keep_mixed(df).columns == df.columns
     assert mix_documents(df.limit(0)).collect() == [] and keep_mixed(df.limit(0)).collect() == []
-    few = mix_documents(df, Mix(categories=1)).collect()
-    assert len(few) == 5
-
-
-def test_rest_category_drops_no_document(spark):
-    rows = [(i, "w w", "en", f"s{i}") for i in range(50)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    assert mix_documents(df, Mix(categories=7)).count() == 50
