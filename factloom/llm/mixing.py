@@ -14,8 +14,9 @@ and broadcast; beyond that the cells stay a table, raked by grouped sums and joi
 documents by a shuffle but for the hot ones. Categories with a target share of 0 draw nothing; targets of categories that
 have no tokens go to the others in proportion.
 
-The topic is a column (`topic_column`) or, without one, the form of the whole text: `figures` if a tenth or more of its characters that
-aren't white space are digits, else `markup` if as many are ASCII signs, else `prose`.
+The topic is a column (`topic_column`) or, without one, the form of the whole text: `dense` if it has nine characters or more for each
+word (code, links, tables of numbers), else `lines` if it has several lines with fewer than twelve words on average (lists, tables, verse),
+else `prose`.
 
 Defined results: a null source, language or topic is the category "(none)"; real values that begin like it, after any number of "=",
 get one more "=" in front. A null or empty text has 0 tokens: such a document doesn't weigh,
@@ -38,8 +39,6 @@ from factloom.llm.common import NOT_SPACE, cut, join_hot, text_or_empty
 FACTORS = ("source", "lang", "topic")
 NONE = "(none)"
 _NONE_LIKE = r"^=*\(none\)"
-DIGITS, SPACES = "0123456789", "\x20\x09\x0a\x0b\x0c\x0d"
-SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass(frozen=True)
@@ -55,9 +54,8 @@ class Mix:
 
 
 def topic(text: Column) -> Column:
-    without = lambda signs: F.length(F.translate(text, signs, ""))
-    solid = without(SPACES)
-    return F.when((solid > 0) & ((F.length(text) - without(DIGITS)) * 10 >= solid), "figures").when((solid > 0) & ((F.length(text) - without(SIGNS)) * 10 >= solid), "markup").otherwise("prose")
+    words, lines = token_count(text), F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return F.when((words > 0) & (F.length(text) >= words * 9), "dense").when((lines > 1) & (words < lines * 12), "lines").otherwise("prose")
 
 
 def token_count(text: Column) -> Column:
@@ -226,8 +224,7 @@ def oracle(mix: Mix | None = None) -> str:
     mix = mix or Mix()
     t = "coalesce(text, '')"
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    solid = f"length(regexp_replace({t}, '[\\x20\\x09-\\x0D]', '', 'g'))"
-    lost = lambda signs: f"(length({t}) - length(translate({t}, {quoted(signs)}, ''))) * 10 >= {solid} AND {solid} > 0"
+    words, lines = f"len(regexp_extract_all({t}, '[^\\x20\\x09-\\x0D]+'))", f"(length({t}) - length(replace({t}, chr(10), '')) + 1)"
     category = lambda c: f"coalesce(CASE WHEN regexp_matches({c}, {quoted(_NONE_LIKE)}) THEN '=' || {c} ELSE {c} END, '{NONE}')"
     factor = "CASE step % 3 WHEN 0 THEN ts / ss WHEN 1 THEN tl / sl ELSE tt / st END"
     goals = ", ".join(f"g{n[0]} AS (SELECT {n}, pow(sum(n), {mix.targets[n]}) AS g FROM cells GROUP BY {n} HAVING sum(n) > 0)" for n in FACTORS)
@@ -235,8 +232,8 @@ def oracle(mix: Mix | None = None) -> str:
     return f"""
         WITH RECURSIVE d AS (
             SELECT doc_id, {category("source")} AS source, {category("lang")} AS lang,
-                   CASE WHEN {lost(DIGITS)} THEN 'figures' WHEN {lost(SIGNS)} THEN 'markup' ELSE 'prose' END AS topic,
-                   len(regexp_extract_all({t}, '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
+                   CASE WHEN {words} > 0 AND length({t}) >= {words} * 9 THEN 'dense' WHEN {lines} > 1 AND {words} < {lines} * 12 THEN 'lines' ELSE 'prose' END AS topic,
+                   {words} AS n_tokens,
                    ('0x' || substr(md5('{mix.seed}:' || coalesce(doc_id::VARCHAR, 'text:' || md5({t}))), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE AS u
             FROM documents
         ), cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n FROM d GROUP BY ALL), {goals},

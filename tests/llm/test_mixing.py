@@ -2,7 +2,6 @@
 
 import hashlib
 import re
-import string
 
 import numpy as np
 import pytest
@@ -16,9 +15,8 @@ def brute(rows, mix):
     told = []
     for d, t, lang, source in rows:
         t = t or ""
-        solid = len(re.sub(r"[\x20\x09-\x0D]", "", t))
-        figures, signs = sum(c in string.digits for c in t), sum(c in string.punctuation for c in t)
-        topic = "figures" if solid and figures * 10 >= solid else "markup" if solid and signs * 10 >= solid else "prose"
+        words, lines = len(re.findall(r"[^\x20\x09-\x0D]+", t)), t.count("\n") + 1
+        topic = "dense" if words and len(t) >= words * 9 else "lines" if lines > 1 and words < lines * 12 else "prose"
         told.append((d, source or "(none)", lang or "(none)", topic, len(re.findall(r"[^\x20\x09-\x0D]+", t))))
     cells = {}
     for r in told:
