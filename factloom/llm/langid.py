@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import cut
 
 DIMENSIONS = 1 << 14
+#: Labels whose shares are broadcast; more of them are joined by a shuffle.
+MOST_SENT = 100_000
 UNDETERMINED = "und"
 
 
@@ -45,7 +47,7 @@ class Fit:
     rounds: int = 10
     least_share: float = 0.08  # of a language's sample that a cluster must hold; smaller ones are mostly wrong labels
     reject_share: float = 0.002
-    slack: float = 0.75  # of the cosine at the limit
+    slack: float = 0.6  # of the cosine at the limit
 
 
 def _letters_table() -> np.ndarray:
@@ -219,6 +221,8 @@ def sample(docs: DataFrame, conf: Fit) -> DataFrame:
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * conf.per_language + 100) / F.col("n")).alias("share"))  # one row a label
     uniform = F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    share = cut(share)
+    share = F.broadcast(share) if share.count() <= MOST_SENT else share
     thin = rows.join(share, "lang").where(uniform < F.col("share"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "d"))
     return thin.withColumn("nth", nth).where(F.col("nth") <= conf.per_language).drop("nth", "share")
