@@ -14,7 +14,9 @@ and bounds no word's cuts: a mask without a skip gives the undisturbed cut, othe
 Decoding gives back exactly the text: spaces are the pieces' U+2581, characters outside the vocabulary and literal
 U+2581 in a text are byte pieces, and the one space that encoding adds in front is removed.
 
-Null text: no ids, decoded as null. Empty text: no ids, decoded as empty. A null key encodes as key 0.
+Defined results: a null text has no ids and is decoded as null; an empty text has an empty list and is decoded as empty. A null key encodes as
+key 0. Repeated rows (same key, same text) get the same ids. Very long texts are encoded whole, word by word, in batches of few rows. An
+empty table gives no rows. Columns of the input stay, but for those that have the name of an output, which are replaced.
 """
 
 from __future__ import annotations
@@ -49,7 +51,6 @@ _M = (1 << 64) - 1
 class MergeDropout:
     dropout: float = 0.1
     seed: int = 20240229
-    variants: int = 3  # has no effect: every occurrence draws its own skips
     vocabulary: str = VOCABULARY
     cache_words: int = 500_000  # of each generation: words, and their cuts with skips, of which the first counts twice
 

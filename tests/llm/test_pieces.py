@@ -1,6 +1,9 @@
 """Merge-dropout: exact round trips, parity with the library without dropout, and seeded variety."""
 
+import hashlib
+
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 from factloom.llm import pieces
 from factloom.llm.pieces import Codec, MergeDropout
 
-PLAIN = Codec(MergeDropout(dropout=0.0, variants=1))
+PLAIN = Codec(MergeDropout(dropout=0.0))
 VARIED = Codec(MergeDropout(dropout=0.3))
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=pieces.VOCABULARY)
 
@@ -58,3 +61,79 @@ def test_frames(spark, sf_dir):
     assert pieces.encoded_digest(df.limit(0)).collect() == []
     told = pieces.encoded_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     assert told.where(~F.col("lossless")).count() == 0 and told.count() == 200
+
+
+M = 2**64 - 1
+VOCABULARY = {LIBRARY.id_to_piece(i): i for i in range(LIBRARY.get_piece_size()) if not (LIBRARY.is_byte(i) or LIBRARY.is_control(i) or LIBRARY.is_unknown(i) or LIBRARY.is_unused(i))}
+BYTES = {int(LIBRARY.id_to_piece(i)[3:5], 16): i for i in range(LIBRARY.get_piece_size()) if LIBRARY.is_byte(i)}
+
+
+def brute_skips(place, dropout):
+    """32 decisions: each 16 bits of a mixed hash pick one of 256 patterns of eight, by their probabilities."""
+    x = (place ^ place >> 30) * 0xBF58476D1CE4E5B9 & M
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M
+    x ^= x >> 31
+    out = []
+    for lane in range(4):
+        draw, upto = (x >> 16 * lane & 0xFFFF) + 0.5, 0.0
+        for m in range(256):
+            upto += dropout ** m.bit_count() * (1 - dropout) ** (8 - m.bit_count()) * 65536
+            if draw <= upto or m == 255:
+                out += [m >> b & 1 for b in range(8)]
+                break
+    return out
+
+
+def brute_word(word, place, dropout):
+    """The agenda as a plain list, searched anew for its best entry at every turn."""
+    symbols = {i: c for i, c in enumerate(word.replace(" ", "▁"))}  # by place of their first character
+    score = lambda a, b: LIBRARY.get_score(VOCABULARY[a + b]) if a in VOCABULARY and b in VOCABULARY and a + b in VOCABULARY else None
+
+    def right(i):
+        return i + len(symbols[i]) if i + len(symbols[i]) in symbols else None
+
+    def entry(i):
+        return None if i is None or right(i) is None or (x := score(symbols[i], symbols[right(i)])) is None else (-x, i)
+
+    agenda = [e for i in symbols if (e := entry(i))]
+    turn, skips = 0, brute_skips(place, dropout)
+    while agenda:
+        best = min(agenda)
+        agenda.remove(best)
+        i = best[1]
+        if i not in symbols or entry(i) != best:
+            continue
+        if turn and turn % 32 == 0:
+            skips = brute_skips(xxhash.xxh64_intdigest(turn.to_bytes(8, "little"), place), dropout)
+        turn += 1
+        if skips[(turn - 1) % 32]:
+            continue
+        symbols[i] += symbols.pop(right(i))
+        left = max((k for k in symbols if k < i), default=None)
+        agenda += [e for e in (entry(i), entry(left)) if e]
+    return [x for i in sorted(symbols) for x in ([VOCABULARY[symbols[i]]] if symbols[i] in VOCABULARY else [BYTES[b] for b in symbols[i].encode()])]
+
+
+def brute(text, key, conf):
+    at = xxhash.xxh64_intdigest((key & M).to_bytes(8, "little"), conf.seed)
+    words = VARIED.cut.findall(" " + text)
+    return [i for n, w in enumerate(words, 1) for i in brute_word(w, (at + n * 0x9E3779B97F4A7C15) & M, conf.dropout)]
+
+
+def test_whole_query_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = {r.doc_id: r for r in pieces.encoded_digest(docs).collect()}
+    assert len(got) == len(rows)
+    short = [(d, t) for d, t in rows if t and len(t) < 1500]
+    assert len(short) > 20
+    for d, t in short:
+        ids = brute(t, d, MergeDropout())
+        assert got[d].n_ids == len(ids) and got[d].ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), d
+
+
+def test_many_candidates_and_cuts_by_brute_force():
+    conf = MergeDropout(dropout=0.3)
+    for key, text in enumerate(["internationalization" * 6, "漢字 understanding 😀é", "nation " * 50, "a" * 200]):
+        assert list(VARIED.encode(text, key)) == brute(text, key, conf)
+    assert len({bytes(VARIED.word(" understanding", p)) for p in range(300)}) > 10
