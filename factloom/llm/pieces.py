@@ -93,6 +93,7 @@ class Codec:
         self.rank = [0] * n
         for piece, i in self.id.items():
             self.rank[i] = ranks[self.score[piece]]
+        self.code = {k: self.rank[i] for k, i in self.merge.items()}
         # word -> (undisturbed ids, mask of its candidates, {turns' mask | 1 << turns: ids, 0: numbers of turns})
         self.young: dict[str, tuple[bytes, int, dict]] = {}
         self.old: dict[str, tuple[bytes, int, dict]] = {}
@@ -110,8 +111,38 @@ class Codec:
         return self.agenda(word, int(self.masks(np.array([place], np.uint64))[0]), place)[0]
 
     def agenda(self, word: str, mask: int = 0, place: int | None = None) -> tuple[bytes, int]:
-        """The agenda over one word: int32 ids, and how many candidates had their turn. Entries are rank << 32 | place of
-        the left symbol. From the 33rd candidate on, the place's further masks decide; without a place, nothing is skipped there."""
+        """The agenda over one word: int32 ids, and how many candidates had their turn. From the 33rd candidate on, the place's
+        further masks decide; without a place, nothing is skipped there."""
+        get = self.id.get
+        ids = [get(c, -1) for c in word.replace(" ", SPACE)]
+        if len(ids) > 32 or -1 in ids:
+            return self._queued(word, mask, place)
+        # A word this short has the ranks of all neighbours in a list, whose first least is next: that is cheaper than a queue.
+        merge, rank, bits, none = self.merge, self.code.get, self.bits, 1 << 62
+        pairs = [rank(a << bits | b, none) for a, b in zip(ids, ids[1:])]
+        turn = 0
+        while pairs:
+            best = min(pairs)
+            if best == none:
+                break
+            i = pairs.index(best)
+            if turn and not turn & 31 and place is not None:
+                mask = int(self.masks(np.array([_hash(turn.to_bytes(8, "little"), place)], np.uint64))[0])
+            skipped = mask >> (turn & 31) & 1
+            turn += 1
+            if skipped:
+                pairs[i] = none
+                continue
+            m = ids[i] = merge[ids[i] << bits | ids[i + 1]]
+            del ids[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(m << bits | ids[i + 1], none)
+            if i:
+                pairs[i - 1] = rank(ids[i - 1] << bits | m, none)
+        return array("i", ids).tobytes(), turn
+
+    def _queued(self, word: str, mask: int, place: int | None) -> tuple[bytes, int]:
+        """agenda() with a priority queue, for words of any length. Entries are rank << 32 | place of the left symbol."""
         word = word.replace(" ", SPACE)
         merge, rank, bits = self.merge, self.rank, self.bits
         turn = 0
@@ -167,16 +198,18 @@ class Codec:
             self.old, self.young, self.held = self.young, {}, 0
         self.held += n
 
-    def _plain(self, word: str) -> tuple[bytes, int, dict | None]:
-        """A word's entry, which isn't in the young generation."""
+    def _first(self, word: str, mask: int, place: int) -> bytes:
+        """The cut of a word that the young generation doesn't know. If it has no skip, it is the undisturbed one, and is kept."""
         found = self.old.get(word)
         if found is None:
-            ids, turns = self.agenda(word)
-            found = ids, (1 << min(turns, 33)) - 1, None
-        if len(word) <= 64:
-            self._room(1)
-            self.young[word] = found = (*found[:2], None)
-        return found
+            ids, turns = self.agenda(word, mask, place)
+            used = (1 << min(turns, 33)) - 1
+            if used & (mask | 1 << 32) or len(word) > 64:
+                return ids
+            found = ids, used, None
+        self._room(1)
+        self.young[word] = found = (*found[:2], None)
+        return self._skipped(word, mask, found, place) if found[1] & (mask | 1 << 32) else found[0]
 
     def _skipped(self, word: str, mask: int, entry: tuple, place: int) -> bytes:
         """The cut of a word that skips a candidate, or has more than 32."""
@@ -211,8 +244,8 @@ class Codec:
             for w, mask in zip(words, self.masks(places).tolist()):
                 entry = self.young.get(w)
                 if entry is None:
-                    entry = self._plain(w)
-                if entry[1] & (mask | 1 << 32):
+                    found.append(self._first(w, mask, int(places[len(found) - begin])))
+                elif entry[1] & (mask | 1 << 32):
                     found.append(self._skipped(w, mask, entry, int(places[len(found) - begin])))
                 else:
                     found.append(entry[0])
