@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+import os
+from collections.abc import Callable
+from functools import lru_cache
+
+import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +19,35 @@ PER_MESSAGE, PER_NAME, PRIMING, DEFAULT_ANSWER = 4, -1, 2, 15
 PRICES = {"small": (0.0005, 0.0015), "medium": (0.003, 0.015), "large": (0.01, 0.03)}
 
 
+# Fixed value: where a byte-level BPE of the GPT-2 kind cuts a text before it merges.
+WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@lru_cache(maxsize=4)
+def _encoding(ranks: str, pattern: str):
+    import tiktoken
+
+    place = ranks if os.path.exists(ranks) else SparkFiles.get(os.path.basename(ranks))
+    with open(place, "rb") as f:
+        table = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding(os.path.basename(ranks), pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+
+def bpe_counter(ranks: str, pattern: str = WORDS) -> Callable[[Column], Column]:
+    """A counter of BPE tokens, for `token_band` and `prompt_set` (not inside lambdas): Column -> bigint; null stays null.
+
+    `ranks` is a file of base64 tokens and their ranks, at that path on every executor or sent there by SparkContext.addFile. A
+    worker reads it once. Marks of special tokens in a text count as ordinary text.
+    """
+
+    @F.pandas_udf("bigint")
+    def count(texts: pd.Series) -> pd.Series:
+        encode = _encoding(ranks, pattern).encode_ordinary
+        return texts.map(lambda t: None if t is None else len(encode(t))).astype("Int64")
+
+    return count
+
+
 def chat_tokens(messages: Column, count, answers: int = 1, max_tokens: int = DEFAULT_ANSWER) -> Column:
     """Tokens that a chat request takes. messages: array<struct<role, content[, name]>>; count: Column -> Column."""
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A provider takes a prompt and returns an answer, or raises; RateLimited asks for a pause.
@@ -97,6 +99,104 @@ def stub_provider(prompt: str) -> str:
     return json.dumps({"entailment_prediction": 1 - len(prompt) % 2})
 
 
+BLOCKED, FAILED = "SAFETY_HAZARD", "GENERATION_FAILED"
+
+
+def join_chunks(events: DataFrame, key: str, order: str, text: str, blocked: str) -> DataFrame:
+    """Answers that came as a stream: key, response, status.
+
+    `events` has a row for each chunk: its place (`order`), its text, and whether the provider held it back (`blocked`), in which
+    case the fixed literal stands in its place. A chunk without text that isn't blocked adds nothing; an answer without any chunk
+    that counts is a failed one. Status is ok, blocked or failed. An answer is one row's work, as its provider bounds its length.
+    """
+    chunk = F.when(F.coalesce(F.col(blocked), F.lit(False)), F.lit(BLOCKED)).otherwise(F.col(text))
+    told = events.select(key, F.struct(F.col(order), chunk.alias("chunk")).alias("c"), chunk.isNotNull().alias("counts"), F.coalesce(F.col(blocked), F.lit(False)).alias("held"))
+    whole = told.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("counts"), F.col("c")))).alias("cs"), F.max("held").alias("held"))
+    joined = F.array_join(F.transform("cs", lambda c: c["chunk"]), "")
+    none = F.size("cs") == 0
+    return whole.select(key, F.when(none, FAILED).otherwise(joined).alias("response"), F.when(none, "failed").when(F.col("held"), "blocked").otherwise("ok").alias("status"))
+
+
+@dataclass(frozen=True)
+class BatchService:
+    """A provider of batch jobs. submit(request id, [(key, prompt)]) -> job; state(job) -> running, done or failed;
+    fetch(job) -> [(key, answer)]. A request id that comes again, from a task that ran twice, must not open a second job."""
+
+    submit: Callable[[str, list[tuple]], str]
+    state: Callable[[str], str]
+    fetch: Callable[[str], list[tuple]]
+
+
+def submit_batches(prompts: DataFrame, service: BatchService, path: str, key: str = "uid", prompt: str = "prompt", size: int = 1000) -> None:
+    """Open a job for every `size` prompts of a partition, and append the table of jobs (job, request, n) to `path`."""
+
+    def opened(rows: list[tuple]) -> dict:
+        request = hashlib.md5("\n".join(str(k) for k, _ in rows).encode()).hexdigest()
+        return {"job": [service.submit(request, rows)], "request": [request], "n": [len(rows)]}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for f in frames:
+            held += zip(f[key], f[prompt])
+            while len(held) >= size:
+                yield pd.DataFrame(opened(held[:size]))
+                held = held[size:]
+        if held:
+            yield pd.DataFrame(opened(held))
+
+    prompts.select(key, prompt).mapInPandas(run, "job string, request string, n int").write.mode("append").parquet(path)
+
+
+def collect_batches(jobs: DataFrame, service: BatchService, key_type: str = "string", polls: int = 2, pause: float = 30.0, sleep=time.sleep) -> DataFrame:
+    """Wait for jobs and read their answers: job, key, response, status (ok, failed, or running after the last poll).
+
+    Each task asks for all of its jobs, `polls` times at most, `pause` seconds apart. Jobs without answers have one row without a
+    key; those that still run can be collected again.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = [j for f in frames for j in f["job"]]
+        for turn in range(polls):
+            if turn and left:
+                sleep(pause)
+            waiting = []
+            for j in left:
+                state = service.state(j)
+                if state == "done":
+                    answers = service.fetch(j)
+                    yield pd.DataFrame({"job": j, "key": [k for k, _ in answers], "response": [a for _, a in answers], "status": "ok"})
+                elif state == "failed":
+                    yield pd.DataFrame({"job": [j], "key": [None], "response": [None], "status": ["failed"]})
+                else:
+                    waiting.append(j)
+            left = waiting
+        if left:
+            yield pd.DataFrame({"job": left, "key": None, "response": None, "status": "running"})
+
+    return jobs.select("job").mapInPandas(run, f"job string, key {key_type}, response string, status string")
+
+
+def stub_service() -> BatchService:
+    """Jobs for tests, done at once: a job's name holds its answers, so that no service has to remember it."""
+    answered = lambda request, rows: json.dumps([[int(k), stub_provider(p)] for k, p in rows])
+    return BatchService(answered, lambda job: "done", lambda job: [tuple(a) for a in json.loads(job)])
+
+
+def run_grid(spark: SparkSession, axes: dict[str, list[str]], step: Callable[[dict[str, str]], DataFrame], path: str) -> DataFrame:
+    """Run `step` for each combination of the axes' values (models, data sets, prompts) and read all results with the axes as columns.
+
+    A combination that has been written is skipped, so a broken loop can be run again.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    for values in itertools.product(*axes.values()):
+        config = dict(zip(axes, values))
+        folder = "/".join([path, *(f"{k}={v}" for k, v in config.items())])
+        done = fs_path(f"{folder}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            step(config).write.mode("overwrite").parquet(folder)
+    return spark.read.option("basePath", path).parquet(path)
+
+
 def dynamic_batches(df: DataFrame, tokens: str, most: int, partitions: int, cap: int = 4096) -> DataFrame:
     """Pack prompts, shortest first, into batches whose tokens don't exceed `most`; a longer prompt has a batch of its own.
 

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 COMPLETION = {"content": "$[1].choices[0].message.content", "model": "$[0].model", "metadata": "$[2].metadata"}
 
 
-def read_csv(spark: SparkSession, path, schema: str | None = None, sep: str = ",") -> DataFrame:
-    """Notes hold newlines and quotes; .gz files are read as they are, and should be repartitioned."""
+def read_csv(spark: SparkSession, path, schema: str | None = None, sep: str = ",", partitions: int | None = None) -> DataFrame:
+    """Notes hold newlines and quotes. A .gz file is one task's work; `partitions` deals its rows out for what follows."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", sep)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    rows = (reader.schema(schema) if schema else reader).csv(path)
+    return rows.repartition(partitions) if partitions else rows
 
 
 def read_jsonl(spark: SparkSession, path, schema: str | None = None) -> DataFrame:
@@ -68,6 +69,45 @@ def read_zipped_texts(spark: SparkSession, path, suffix: str = ".txt") -> DataFr
     return files.mapInPandas(members, "archive string, member string, note_text string")
 
 
+def read_large_zips(spark: SparkSession, path, suffix: str = ".txt", partitions: int | None = None) -> DataFrame:
+    """As read_zipped_texts, for archives of any size: archive, member, note_text.
+
+    One pass lists members (an archive's content isn't a column then), and a second one reads them where they were dealt to, so
+    that one archive is many tasks' work. Archives are opened at their place by pyarrow's file systems (local, S3, GCS, HDFS).
+    """
+    from pyarrow import fs
+
+    def opened(uri: str) -> zipfile.ZipFile:
+        store, at = fs.FileSystem.from_uri(uri)
+        return zipfile.ZipFile(store.open_input_file(at))
+
+    def names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for uri in f["path"]:
+                with opened(uri) as z:
+                    yield pd.DataFrame({"archive": uri, "member": [m for m in z.namelist() if m.endswith(suffix)]})
+
+    def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for uri, members in f.groupby("archive")["member"]:
+                with opened(uri) as z:
+                    for m in members:
+                        yield pd.DataFrame({"archive": [uri], "member": [m], "note_text": [z.read(m).decode("utf-8")]})
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    listed = files.mapInPandas(names, "archive string, member string")
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(parts, "archive", "member").mapInPandas(texts, "archive string, member string, note_text string")
+
+
+def read_terms(spark: SparkSession, path, most: int = 100_000) -> frozenset[str]:
+    """A tokenizer's own terms, one on each line, for `Lexicon(terms)`. Every task gets them, so there may be `most` at most."""
+    found = spark.read.text(path).select(F.trim("value").alias("t")).where("t <> ''").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} terms")
+    return frozenset(r.t for r in found)
+
+
 def study_ids(member: Column) -> dict[str, Column]:
     """Subject and study numbers in a member's path."""
     number = lambda p: F.when(member.rlike(p), F.regexp_extract(member, p, 1).try_cast("bigint"))

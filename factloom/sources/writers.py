@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').option("sep", sep).csv(path)
+    exact = {"header": True, "quoteAll": True, "escape": '"', "sep": sep, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(**exact).csv(path)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -44,9 +45,10 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None, mode: s
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def write_by_annotator(df: DataFrame, path: str, annotator: str = "annotator") -> None:
-    """A folder for each annotator."""
-    df.repartition(annotator).write.mode("overwrite").partitionBy(annotator).option("header", True).option("quoteAll", True).csv(path)
+def write_by_annotator(df: DataFrame, path: str, annotator: str = "annotator", files: int = 1) -> None:
+    """A folder for each annotator, with up to `files` files, each one task's work."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    df.repartition(F.col(annotator), salt).write.mode("overwrite").partitionBy(annotator).option("header", True).option("quoteAll", True).csv(path)
 
 
 def split_files(df: DataFrame, path: str, n: int) -> None:
