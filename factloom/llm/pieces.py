@@ -9,7 +9,8 @@ library's own.
 No piece crosses certain boundaries (before a space; between Latin letters and other characters; checked
 against the vocabulary when it is loaded), so words are encoded on their own. A place in a document draws a mask of skips, whose bit i tells whether the word's i-th candidate is skipped.
 A cut is decided by the word and the bits of the candidates it came to, so a bounded two-generation cache keeps cuts by both
-and bounds no word's cuts: a mask without a skip gives the undisturbed cut, others are cut anew if they aren't kept.
+and bounds no word's cuts: a mask without a skip gives the undisturbed cut, others are cut anew if they aren't kept. Words to be cut
+wait for each other, and thousands go through their agendas together, a turn at a time, by numpy.
 
 Decoding gives back exactly the text: spaces are the pieces' U+2581, characters outside the vocabulary and literal
 U+2581 in a text are byte pieces, and the one space that encoding adds in front is removed.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,6 +47,10 @@ _CUTS = (
     re.compile("(?s).+"),
 )
 _M = (1 << 64) - 1
+_NEVER = np.int64(1 << 62)
+_SHORT = 24  # characters of a word that is cut together with others
+_AT_ONCE = 8192  # words that are cut together
+_OPEN = 1 << 20  # characters of texts whose cuts are held until all of them are known
 
 
 @dataclass(frozen=True)
@@ -94,6 +100,16 @@ class Codec:
         for piece, i in self.id.items():
             self.rank[i] = ranks[self.score[piece]]
         self.code = {k: self.rank[i] for k, i in self.merge.items()}
+        # The same for many words at once: merges by sorted numbers, pieces of one character, and what stands for no symbol.
+        self.edge = n
+        self.pairs = np.array([*sorted(self.merge), 1 << 62])
+        self.pair_piece = np.array([*(self.merge[k] for k in sorted(self.merge)), 0])
+        self.pair_rank = np.array([*(self.code[k] for k in sorted(self.merge)), _NEVER])
+        self.symbol = np.full(sys.maxunicode + 1, -1, np.int32)
+        for piece, i in self.id.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i
+        self.symbol[ord(" ")] = self.id.get(SPACE, -1)
         # word -> (undisturbed ids, mask of its candidates, {turns' mask | 1 << turns: ids, 0: numbers of turns})
         self.young: dict[str, tuple[bytes, int, dict]] = {}
         self.old: dict[str, tuple[bytes, int, dict]] = {}
@@ -198,42 +214,104 @@ class Codec:
             self.old, self.young, self.held = self.young, {}, 0
         self.held += n
 
-    def _first(self, word: str, mask: int, place: int) -> bytes:
-        """The cut of a word that the young generation doesn't know. If it has no skip, it is the undisturbed one, and is kept."""
-        found = self.old.get(word)
-        if found is None:
-            ids, turns = self.agenda(word, mask, place)
-            used = (1 << min(turns, 33)) - 1
-            if used & (mask | 1 << 32) or len(word) > 64:
-                return ids
-            found = ids, used, None
-        self._room(1)
-        self.young[word] = found = (*found[:2], None)
-        return self._skipped(word, mask, found, place) if found[1] & (mask | 1 << 32) else found[0]
-
-    def _skipped(self, word: str, mask: int, entry: tuple, place: int) -> bytes:
-        """The cut of a word that skips a candidate, or has more than 32."""
-        kept = entry[2]
-        if kept:
-            for n in kept[0]:
-                ids = kept.get(mask & ((1 << n) - 1) | 1 << n)
+    def _kept(self, word: str, mask: int) -> bytes | None:
+        """A cut from the caches: the undisturbed one if the mask skips none of its candidates, else one with these skips."""
+        entry = self.young.get(word)
+        if entry is None:
+            entry = self.old.get(word)
+            if entry is None:
+                return None
+            self._room(1)
+            self.young[word] = entry = (*entry[:2], None)
+        if not entry[1] & (mask | 1 << 32):
+            return entry[0]
+        if entry[2]:
+            for n in entry[2][0]:
+                ids = entry[2].get(mask & ((1 << n) - 1) | 1 << n)
                 if ids is not None:
                     return ids
-        ids, turns = self.agenda(word, mask, place)
-        if turns <= 32 and len(word) <= 64:
+        return None
+
+    def _keep(self, word: str, mask: int, ids: bytes, turns: int) -> None:
+        if turns > 32 or len(word) > 64:
+            return
+        used = (1 << turns) - 1
+        entry = self.young.get(word)
+        if not used & mask:
+            if entry is None:
+                self._room(1)
+                self.young[word] = (ids, used, None)
+        elif entry is not None:
+            kept = entry[2]
             self._room(1 if kept else 2)
             if kept is None:
                 kept = {0: ()}
                 self.young[word] = (*entry[:2], kept)
-            kept[mask & ((1 << turns) - 1) | 1 << turns] = ids
+            kept[mask & used | 1 << turns] = ids
             if turns not in kept[0]:
                 kept[0] += (turns,)
-        return ids
 
-    def encode(self, text: str, key: int = 0) -> array:
-        found: list[bytes] = []
-        if not text:
-            return array("i")
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of neighbours (_NEVER if they don't merge) and the pieces that they merge to."""
+        key = left << self.bits | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.pair_rank[at], _NEVER), self.pair_piece[at]
+
+    def agendas(self, words: list[str], masks: np.ndarray) -> list[tuple[bytes, int]]:
+        """agenda() of many words of at most _SHORT characters at once, a turn of all words at a time. Words with a character outside of the
+        vocabulary or a candidate after the 32nd come back with 33 turns and no ids."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        width = int(lengths.max()) + 2  # an edge on both sides
+        of = np.repeat(np.arange(len(words)), lengths)
+        nth = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        ids = np.full((len(words), width), self.edge, np.int64)
+        ids[of, nth + 1] = self.symbol[codes]
+        odd = (ids < 0).any(axis=1)
+        ids[odd] = self.edge
+        ranks, into = self._ranked(ids[:, :-1], ids[:, 1:])
+        after = np.broadcast_to(np.arange(1, width + 1), ids.shape).copy()
+        before = after - 2
+        turns = np.zeros(len(words), np.int64)
+        masks = masks.astype(np.int64)
+        rows = np.arange(len(words))
+        for turn in range(33):
+            mine = ranks[rows]
+            i = mine.argmin(axis=1)
+            live = mine[np.arange(len(rows)), i] != _NEVER
+            rows, i = rows[live], i[live]
+            if not len(rows):
+                break
+            turns[rows] = turn + 1
+            skipped = (masks[rows] >> turn & 1).astype(bool)
+            ranks[rows[skipped], i[skipped]] = _NEVER
+            r, i = rows[~skipped], i[~skipped]
+            b, m = after[r, i], into[r, i]
+            c, p = after[r, b], before[r, i]
+            ids[r, i], ids[r, b] = m, self.edge
+            after[r, i], before[r, c], ranks[r, b] = c, i, _NEVER
+            ranks[r, i], into[r, i] = self._ranked(m, ids[r, c])
+            ranks[r, p], into[r, p] = self._ranked(ids[r, p], m)
+        turns[odd] = 33
+        alive = ids != self.edge
+        ends = (np.cumsum(alive.sum(axis=1)) * 4).tolist()
+        whole = ids[alive].astype(np.int32).tobytes()
+        return [(whole[a:b], n) for a, b, n in zip([0, *ends], ends, turns.tolist())]
+
+    def _settle(self, wait: list[tuple]) -> None:
+        """Cuts what waits: (list of cuts, index in it, word, mask, places, index in them)."""
+        short = [x for x in wait if len(x[2]) <= _SHORT]
+        cuts = self.agendas([x[2] for x in short], np.array([x[3] for x in short], np.uint32)) if short else []
+        long = [(x, (b"", 33)) for x in wait if len(x[2]) > _SHORT]
+        for (found, k, word, mask, places, j), (ids, turns) in (*zip(short, cuts), *long):
+            if turns > 32:
+                ids, turns = self.agenda(word, mask, int(places[j]))
+            found[k] = ids
+            self._keep(word, mask, ids, turns)
+        wait.clear()
+
+    def _look_up(self, text: str, key: int, found: list, wait: list[tuple]) -> None:
+        """The cuts of a text's words go to `found`; those that aren't kept go to `wait` instead."""
         at = _hash((key & _M).to_bytes(8, "little"), self.conf.seed & _M)
         for nth, part in enumerate(text.split(SPACE)):
             if nth:
@@ -243,14 +321,40 @@ class Codec:
             begin = len(found)
             for w, mask in zip(words, self.masks(places).tolist()):
                 entry = self.young.get(w)
-                if entry is None:
-                    found.append(self._first(w, mask, int(places[len(found) - begin])))
-                elif entry[1] & (mask | 1 << 32):
-                    found.append(self._skipped(w, mask, entry, int(places[len(found) - begin])))
-                else:
+                if entry is not None and not entry[1] & (mask | 1 << 32):
                     found.append(entry[0])
+                    continue
+                ids = self._kept(w, mask)
+                found.append(ids)
+                if ids is None:
+                    k = len(found) - 1
+                    wait.append((found, k, w, mask, places, k - begin))
+                    if len(wait) >= _AT_ONCE:
+                        self._settle(wait)
             at = (at + len(words) * 0x9E3779B97F4A7C15) & _M
-        return array("i", b"".join(found))
+
+    def encode_all(self, texts: list[str | None], keys: list[int | None]) -> list[array | None]:
+        out: list = []
+        wait: list[tuple] = []
+        begin = size = 0
+
+        def close() -> None:
+            self._settle(wait)
+            out[begin:] = [None if f is None else array("i", b"".join(f)) for f in out[begin:]]
+
+        for text, key in zip(texts, keys):
+            out.append(None if text is None else [])
+            if text:
+                self._look_up(text, key or 0, out[-1], wait)
+                size += len(text)
+                if size > _OPEN:
+                    close()
+                    begin, size = len(out), 0
+        close()
+        return out
+
+    def encode(self, text: str, key: int = 0) -> array:
+        return self.encode_all([text], [key])[0]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode()[1:]
@@ -298,7 +402,7 @@ def encode(docs: DataFrame, conf: MergeDropout | None = None, text: str = "text"
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
                 texts, keys = b.column(text).to_pylist(), b.column(key).to_pylist()
-                found = [None if t is None else c.encode(t, k or 0) for t, k in zip(texts, keys)]
+                found = c.encode_all(texts, keys)
                 yield pa.RecordBatch.from_arrays([*[b.column(x) for x in rest], *[make[o](found, texts) for o in outputs]], names=names)
 
     return docs.mapInArrow(run, schema)

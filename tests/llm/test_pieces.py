@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import sentencepiece
 import xxhash
 from hypothesis import given, settings
@@ -137,3 +138,20 @@ def test_many_candidates_and_cuts_by_brute_force():
     for key, text in enumerate(["internationalization" * 6, "漢字 understanding 😀é", "nation " * 50, "a" * 200]):
         assert list(VARIED.encode(text, key)) == brute(text, key, conf)
     assert len({bytes(VARIED.word(" understanding", p)) for p in range(300)}) > 10
+
+
+def test_many_words_at_once_equal_one_at_a_time():
+    words = [" a", "x", " antidisestablishment", " zzzzzzzzzzzzzzzz", " ünïcødé", "日本語", " 123456789", "''''''''", " " * 20, "a" * 24, " naïvé"]
+    masks = np.array([(k * 0x9E3779B1 + 1) % (1 << 32) & (0xFFFFFFFF if k % 3 else 0) for k in range(len(words) * 40)], np.uint32)
+    many = [w for w in words for _ in range(40)]
+    for w, mask, (ids, turns) in zip(many, masks.tolist(), VARIED.agendas(many, masks)):
+        if turns <= 32:
+            assert (ids, turns) == VARIED.agenda(w, mask)
+
+
+def test_texts_together_equal_texts_alone():
+    texts = ["", None, "understanding the nations " * 400, "▁▁ x " + "y" * 5000, "segmentation of words, " * 300, "understanding the nations " * 400]
+    keys = [1, 2, 3, None, 5, 3]
+    together = Codec(MergeDropout(dropout=0.3, cache_words=50)).encode_all(texts, keys)
+    assert together == [None if t is None else VARIED.encode(t, k or 0) for t, k in zip(texts, keys)]
+    assert all(t is None or VARIED.decode(e) == t for t, e in zip(texts, together))
