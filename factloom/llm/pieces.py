@@ -22,6 +22,7 @@ empty table gives no rows. Columns of the input stay, but for those that have th
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import sys
@@ -47,9 +48,9 @@ _CUTS = (
     re.compile("(?s).+"),
 )
 _M = (1 << 64) - 1
-_NEVER = np.int64(1 << 62)
+_NEVER = np.int32(2**31 - 1)
 _SHORT = 24  # characters of a word that is cut together with others
-_AT_ONCE = 8192  # words that are cut together
+_AT_ONCE = 4096  # words that are cut together
 _OPEN = 1 << 20  # characters of texts whose cuts are held until all of them are known
 
 
@@ -100,11 +101,9 @@ class Codec:
         for piece, i in self.id.items():
             self.rank[i] = ranks[self.score[piece]]
         self.code = {k: self.rank[i] for k, i in self.merge.items()}
-        # The same for many words at once: merges by sorted numbers, pieces of one character, and what stands for no symbol.
+        # The same for many words at once: merges in a hash table, pieces of one character, and what stands for no symbol.
         self.edge = n
-        self.pairs = np.array([*sorted(self.merge), 1 << 62])
-        self.pair_piece = np.array([*(self.merge[k] for k in sorted(self.merge)), 0])
-        self.pair_rank = np.array([*(self.code[k] for k in sorted(self.merge)), _NEVER])
+        self._hash_merges()
         self.symbol = np.full(sys.maxunicode + 1, -1, np.int32)
         for piece, i in self.id.items():
             if len(piece) == 1:
@@ -251,11 +250,37 @@ class Codec:
             if turns not in kept[0]:
                 kept[0] += (turns,)
 
+    def _hash_merges(self) -> None:
+        """A table with free slots that holds both sides of each merge, its rank and its piece, at the first free slot after its hash."""
+        keys = np.array(sorted(self.merge), np.int64)
+        size = 1 << max(4, (8 * len(keys)).bit_length())
+        self.slots, self.slot_rank, self.slot_piece = np.full(size, -1), np.full(size, _NEVER), np.zeros(size, np.int32)
+        self.spread = np.uint64(64 - size.bit_length() + 1)
+        slot = self._slot(keys)
+        while len(keys):
+            first = np.unique(np.where(self.slots[slot] < 0, slot, -1), return_index=True)
+            put = first[1][first[0] >= 0]
+            self.slots[slot[put]] = keys[put]
+            self.slot_rank[slot[put]] = [self.code[k] for k in keys[put].tolist()]
+            self.slot_piece[slot[put]] = [self.merge[k] for k in keys[put].tolist()]
+            rest = np.delete(np.arange(len(keys)), put)
+            keys, slot = keys[rest], (slot[rest] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.spread).view(np.int64)
+
     def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of neighbours (_NEVER if they don't merge) and the pieces that they merge to."""
-        key = left << self.bits | right
-        at = np.searchsorted(self.pairs, key)
-        return np.where(self.pairs[at] == key, self.pair_rank[at], _NEVER), self.pair_piece[at]
+        keys = left.astype(np.int64) << self.bits | right
+        slot = self._slot(keys)
+        held = self.slots[slot]
+        on = np.nonzero((held != keys) & (held >= 0))
+        while len(on[0]):
+            slot[on] = (slot[on] + 1) & (len(self.slots) - 1)
+            held = self.slots[slot[on]]
+            more = (held != keys[on]) & (held >= 0)
+            on = tuple(x[more] for x in on)
+        return self.slot_rank[slot], self.slot_piece[slot]
 
     def agendas(self, words: list[str], masks: np.ndarray) -> list[tuple[bytes, int]]:
         """agenda() of many words of at most _SHORT characters at once, a turn of all words at a time. Words with a character outside of the
@@ -265,7 +290,7 @@ class Codec:
         width = int(lengths.max()) + 2  # an edge on both sides
         of = np.repeat(np.arange(len(words)), lengths)
         nth = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        ids = np.full((len(words), width), self.edge, np.int64)
+        ids = np.full((len(words), width), self.edge, np.int32)
         ids[of, nth + 1] = self.symbol[codes]
         odd = (ids < 0).any(axis=1)
         ids[odd] = self.edge
@@ -295,7 +320,7 @@ class Codec:
         turns[odd] = 33
         alive = ids != self.edge
         ends = (np.cumsum(alive.sum(axis=1)) * 4).tolist()
-        whole = ids[alive].astype(np.int32).tobytes()
+        whole = ids[alive].tobytes()
         return [(whole[a:b], n) for a, b, n in zip([0, *ends], ends, turns.tolist())]
 
     def _settle(self, wait: list[tuple]) -> None:
@@ -334,6 +359,16 @@ class Codec:
             at = (at + len(words) * 0x9E3779B97F4A7C15) & _M
 
     def encode_all(self, texts: list[str | None], keys: list[int | None]) -> list[array | None]:
+        # Nothing here makes cycles, but the many tuples would set off the collector, which walks the caches.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_all(texts, keys)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str | None], keys: list[int | None]) -> list[array | None]:
         out: list = []
         wait: list[tuple] = []
         begin = size = 0
