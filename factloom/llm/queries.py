@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import chat, exact, imatch, langid, mixing, pieces, pii, secrets, sharding, simhash
+from factloom.llm import chat, exact, grammar, imatch, langid, mixing, pieces, pii, secrets, sharding, simhash
 from factloom.llm.common import conversations, documents
 
 
@@ -46,6 +46,10 @@ def op10_chat_rotation(spark, sf_dir):
     return chat.rotated(conversations(spark, sf_dir))
 
 
+def op13_token_ids(spark, sf_dir):
+    return grammar.written_documents(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -59,6 +63,7 @@ QUERIES = {
         op8_sharding,
         op9_document_fingerprints,
         op10_chat_rotation,
+        op13_token_ids,
     )
 }
 
