@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import chat, exact, grammar, imatch, langid, mixing, pieces, pii, secrets, sharding, simhash
+from factloom.llm import chat, divergence, exact, grammar, imatch, langid, mixing, pieces, pii, secrets, sharding, simhash
 from factloom.llm.common import conversations, documents
 
 
@@ -46,6 +46,10 @@ def op10_chat_rotation(spark, sf_dir):
     return chat.rotated(conversations(spark, sf_dir))
 
 
+def op12_source_divergence(spark, sf_dir):
+    return divergence.divergence(documents(spark, sf_dir))
+
+
 def op13_token_ids(spark, sf_dir):
     return grammar.written_documents(documents(spark, sf_dir))
 
@@ -63,6 +67,7 @@ QUERIES = {
         op8_sharding,
         op9_document_fingerprints,
         op10_chat_rotation,
+        op12_source_divergence,
         op13_token_ids,
     )
 }
@@ -73,6 +78,7 @@ ORACLES: dict[str, str] = {
     "op1_secret_scans": secrets.oracle(),
     "op6_mixing": mixing.oracle(),
     "op8_sharding": sharding.oracle(),
+    "op12_source_divergence": divergence.oracle(),
     "op9_document_fingerprints": imatch.oracle(),
     "op10_chat_rotation": chat.oracle(),
     "op4_exact_dedup": f"""
