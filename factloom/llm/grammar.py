@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,8 +47,9 @@ TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]+")
-_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-_KEPT = 300_000  # words in each of the cache's two generations
+#: What some take for white space and others don't.
+_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_KEPT = 700_000  # words in each of the cache's two generations
 
 
 @dataclass(frozen=True)
@@ -57,53 +59,55 @@ class IdFiles:
     shard_ids: int = 1 << 20
     least: int = 24  # occurrences in a shard that make a pair frequent
     least_gain: float = 0.02  # share of the symbols that a round must remove for another one to follow
-    slots: int = 20  # bits of the table that counts pairs
+    slots: int = 18  # bits of the table that counts pairs
 
 
-class WordIds:
-    """Ids of texts, from ids of words that are kept."""
+class WordIds(dict):
+    """Ids of texts. The dictionary keeps the ids of words, as bytes, in two generations."""
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        size = self.whole.get_vocab_size()
-        self.size, self.kind = size, np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.young: dict[str, bytes] = {}
+        self.merge = self.whole.model.tokenize
+        self.size = self.whole.get_vocab_size()
+        self.code, self.kind = ("H", np.uint16) if self.size <= 1 << 16 else ("I", np.uint32)
         self.old: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         # The byte-level alphabet: printable bytes stand for themselves, the n-th other byte for character 256 + n.
         self.byte = {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
 
-    def _word(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word):
-            found = []
-            for part in _PARTS.findall(word.lower()):
-                spelled = part if part.isascii() else "".join(map(self.byte.__getitem__, part.encode()))
-                found += [t.id for t in self.whole.model.tokenize(spelled)]
-        else:
-            found = self.whole.encode(word, add_special_tokens=False).ids
-        return np.array(found, self.kind).tobytes()
-
-    def _missing(self, word: str) -> bytes:
+    def _ids(self, word: str) -> bytes:
+        plain = word.isascii() and word.isprintable() or _PLAIN.fullmatch(word)
+        if not plain:
+            return array(self.code, self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        # Letters and a mark behind them are parts of their own, and capitals mean small letters: those words are kept more often.
+        if word[:-1].isalpha() and not word[-1].isalnum():
+            return self[word[:-1]] + self[word[-1]]
+        if not word.islower() and (small := word.lower()) != word:
+            return self[small]
+        found = []
+        for part in [word] if word.isalpha() else _PARTS.findall(word):
+            found += [t.id for t in self.merge(part if part.isascii() else "".join(map(self.byte.__getitem__, part.encode())))]
+        return array(self.code, found).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = self._word(word)
+            ids = self._ids(word)
         if len(word) < 64:
-            if len(self.young) >= _KEPT:
-                self.old, self.young = self.young, {}
-            self.young[word] = ids
+            if len(self) >= _KEPT:
+                self.old = self.copy()
+                self.clear()
+            self[word] = ids
         return ids
 
     def of(self, text: str) -> np.ndarray:
-        words = text.split() if text.isascii() and not _ODD_SPACE.search(text) else [w for w in _ASCII_SPACE.split(text) if w]
-        found = list(map(self.young.get, words))
-        if None in found:
-            missing = self._missing
-            found = [ids if ids is not None else missing(w) for w, ids in zip(words, found)]
-        return np.frombuffer(b"".join(found), self.kind)
+        words = text.split() if not _ODD_SPACE.search(text) else [w for w in _ASCII_SPACE.split(text) if w]
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), self.kind)
 
 
 _encoders: dict[str, WordIds] = {}
