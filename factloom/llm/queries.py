@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import chat, divergence, exact, grammar, imatch, langid, mixing, pieces, pii, secrets, sharding, simhash
+from factloom.llm import alignment, chat, divergence, exact, grammar, imatch, langid, mixing, pieces, pii, secrets, sharding, simhash
 from factloom.llm.common import conversations, documents
 
 
@@ -46,6 +46,10 @@ def op10_chat_rotation(spark, sf_dir):
     return chat.rotated(conversations(spark, sf_dir))
 
 
+def op11_tokenizer_alignment(spark, sf_dir):
+    return alignment.aligned_documents(documents(spark, sf_dir))
+
+
 def op12_source_divergence(spark, sf_dir):
     return divergence.divergence(documents(spark, sf_dir))
 
@@ -67,6 +71,7 @@ QUERIES = {
         op8_sharding,
         op9_document_fingerprints,
         op10_chat_rotation,
+        op11_tokenizer_alignment,
         op12_source_divergence,
         op13_token_ids,
     )
