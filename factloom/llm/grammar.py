@@ -142,12 +142,17 @@ def compress(ids: np.ndarray, counts: np.ndarray, conf: IdFiles, terminals: int)
         count = np.bincount(at, minlength=slots)
         own = count[at] >= conf.least
         places, at = places[own], at[own]
-        # Of two occurrences that share a symbol, the one of the more frequent pair is replaced; of equal ones the first.
+        # Of two occurrences that share a symbol, the one of the more frequent pair is replaced; in a run of one id, every other one.
         rank = count[at] << conf.slots | at
         touch = np.flatnonzero(np.diff(places) == 1)
         lost = np.zeros(len(places), bool)
         lost[touch[rank[touch] < rank[touch + 1]]] = True
-        lost[touch[rank[touch] >= rank[touch + 1]] + 1] = True
+        lost[touch[rank[touch] > rank[touch + 1]] + 1] = True
+        same = touch[rank[touch] == rank[touch + 1]] + 1
+        if len(same):
+            begin = np.arange(len(places))
+            begin[same] = 0
+            lost |= (np.arange(len(places)) - np.maximum.accumulate(begin)) % 2 == 1
         places, at = places[~lost], at[~lost]
         used = np.bincount(at, minlength=slots) * 2 >= conf.least
         own = used[at]
