@@ -57,9 +57,11 @@ class Calls:
     partitions: int = 8
 
 
-def ask(prompt: str, provider: Provider, bucket: TokenBucket, calls: Calls, sleep=time.sleep) -> tuple[str | None, list[str], int]:
-    """(answer or nothing, the errors on the way, the number of attempts)."""
+def ask(prompt: str | None, provider: Provider, bucket: TokenBucket, calls: Calls, sleep=time.sleep) -> tuple[str | None, list[str], int]:
+    """(answer or nothing, the errors on the way, the number of attempts). A null prompt fails without an attempt."""
     errors: list[str] = []
+    if prompt is None:
+        return None, ["no prompt"], 0
     for attempt in range(1, calls.attempts + 1):
         bucket.take(len(prompt.split()) * 4 / 3)
         try:
@@ -195,28 +197,3 @@ def run_grid(spark: SparkSession, axes: dict[str, list[str]], step: Callable[[di
         if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
             step(config).write.mode("overwrite").parquet(folder)
     return spark.read.option("basePath", path).parquet(path)
-
-
-def dynamic_batches(df: DataFrame, tokens: str, most: int, partitions: int, cap: int = 4096) -> DataFrame:
-    """Pack prompts, shortest first, into batches whose tokens don't exceed `most`; a longer prompt has a batch of its own.
-
-    Range partitions are in order; packing runs inside each, as a running sum that starts anew. Adds batch (unique in its
-    partition), part and max_new_tokens.
-    """
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, held = 0, 0
-        for f in frames:
-            numbers = []
-            for n in f[tokens]:
-                if held and held + n > most:
-                    batch, held = batch + 1, 0
-                held += n
-                numbers.append(batch)
-            yield f.assign(batch=numbers)
-
-    ordered = df.repartitionByRange(partitions, tokens).sortWithinPartitions(tokens).withColumn("part", F.spark_partition_id())
-    packed = ordered.mapInPandas(pack, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema) + ", batch int")
-    longest = packed.groupBy("part", "batch").agg(F.max(tokens).alias("longest"))
-    out = packed.join(longest, ["part", "batch"])
-    return out.withColumn("max_new_tokens", F.least(F.lit(cap), F.floor(F.col("longest") * 1.3)).cast("int"))

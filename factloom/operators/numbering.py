@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.names import unused
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's shared checkpoint folder. Only a local session may go without one; it gets a temporary one."""
@@ -26,11 +28,17 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: list, name: str = "rn", start: int = 1) -> DataFrame:
-    """Consecutive numbers in the given total order: range partitions, each lifted by the counts of those before it."""
+    """Consecutive numbers in the given order: range partitions, each lifted by the counts of those before it.
+
+    Rows that tie on the whole order are split over partitions by a number of their own, so that they don't fill one task; among them the numbers
+    are in any order. Nulls come first.
+    """
+    at, part, tie, n, first, lift = unused([*df.columns, name], "at", "part", "tie", "n", "first", "lift")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    rows = materialise(rows.withColumns({"__at": F.monotonically_increasing_id(), "__part": F.spark_partition_id()}))
-    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lifts = sizes.select("__part", (before - F.col("__first") + start).alias("__lift"))  # one row per partition
-    return rows.join(F.broadcast(lifts), "__part").select(*df.columns, (F.col("__at") + F.col("__lift")).cast("bigint").alias(name))
+    tied = df.withColumn(tie, F.monotonically_increasing_id())
+    rows = tied.repartitionByRange(parts, *order, tie).sortWithinPartitions(*order, tie).drop(tie)
+    rows = materialise(rows.withColumns({at: F.monotonically_increasing_id(), part: F.spark_partition_id()}))
+    sizes = rows.groupBy(part).agg(F.count("*").alias(n), F.min(at).alias(first))
+    before = F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lifts = sizes.select(part, (before - F.col(first) + start).alias(lift))  # one row per partition
+    return rows.join(F.broadcast(lifts), part).select(*df.columns, (F.col(at) + F.col(lift)).cast("bigint").alias(name))

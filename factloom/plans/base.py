@@ -22,6 +22,7 @@ from factloom.operators import pairs as pr
 from factloom.operators import relational as rel
 from factloom.operators import sampling as sm
 from factloom.operators.numbering import number_rows
+from factloom.operators.packing import dynamic_batches as dynamic_batches_of
 from factloom.plans.catalog import register, table
 from factloom.sources.readers import path_metadata
 
@@ -485,8 +486,7 @@ def resume_anti_join(spark, sf_dir):
 
 @register("lookup_join", """SELECT l.doc_id, l.quality, d.lang, d.n_chars FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id""")
 def lookup_join(spark, sf_dir):
-    notes = _docs(spark, sf_dir).select("doc_id", "lang", "n_chars")
-    return rel.lookup(table(spark, sf_dir, "labels").select("doc_id", "quality"), notes.unionAll(notes.limit(0)), "doc_id")
+    return rel.lookup(table(spark, sf_dir, "labels").select("doc_id", "quality"), _docs(spark, sf_dir).select("doc_id", "lang", "n_chars"), "doc_id")
 
 
 @register("natural_left_join_nullsafe", """WITH a AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN lang END AS lang, n_chars FROM documents), b AS (
@@ -664,10 +664,19 @@ def stub_inference(spark, sf_dir):
     return out.select("doc_id", "response", "attempts", "status")
 
 
-@register("dynamic_batches")
+_BATCH = 2000
+
+
+@register("dynamic_batches", f"""WITH RECURSIVE s AS (SELECT conv_id, turn, ceil({_WORDS.format("coalesce(text, '')")} * 4.0::DOUBLE / 3.0::DOUBLE)::INTEGER AS n_tokens FROM conversations),
+    n AS (SELECT *, row_number() OVER (ORDER BY n_tokens, conv_id, turn) AS rn FROM s),
+    o AS (SELECT *, sum(n_tokens) OVER (ORDER BY rn) AS upto, sum(n_tokens) OVER (ORDER BY rn) - n_tokens AS before FROM n),
+    closing AS (SELECT i.rn, min(j.rn) AS closed_by FROM o i LEFT JOIN o j ON j.upto > i.before + {_BATCH} AND j.rn > i.rn AND j.before > i.before GROUP BY i.rn),
+    starts AS (SELECT 1::BIGINT AS rn, 0::BIGINT AS batch UNION ALL SELECT c.closed_by, starts.batch + 1 FROM starts JOIN closing c USING (rn) WHERE c.closed_by IS NOT NULL),
+    b AS (SELECT o.*, starts.batch FROM o ASOF JOIN starts ON o.rn >= starts.rn)
+    SELECT conv_id, turn, n_tokens, batch, least(4096, floor(max(n_tokens) OVER (PARTITION BY batch) * 1.3::DOUBLE))::INTEGER AS max_new_tokens FROM b""")
 def dynamic_batches(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.ceil(tx.token_estimate(F.col("text"))).cast("int").alias("n_tokens"))
-    return inf.dynamic_batches(rows, "n_tokens", 2000, 8).select("conv_id", "turn", "n_tokens", "part", "batch", "max_new_tokens")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.ceil(tx.token_estimate(F.coalesce("text", F.lit("")))).cast("int").alias("n_tokens"))
+    return dynamic_batches_of(rows, "n_tokens", ["conv_id", "turn"], _BATCH)
 
 
 def _sentences(rules: str):
