@@ -16,10 +16,12 @@ from factloom.operators import inference as inf
 from factloom.operators import pairs as pr
 from factloom.operators import relational as rel
 from factloom.operators import sampling as sm
-from factloom.operators.numbering import shared_folder
+from factloom.operators.numbering import materialise, number_rows, shared_folder
 from factloom.plans.base import _WORDS, _judge, _judge_sql, _verdict_sql
 from factloom.plans.catalog import register, table
+from factloom.sources import parallel_csv as pc
 from factloom.sources import readers as rd
+from factloom.sources import warehouse as wh
 from factloom.sources import writers as wr
 
 
@@ -27,6 +29,17 @@ def _place(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _read(spark, path: str, result):
+    """The result once it has been read, so that the files in `path` can go; what stays is a checkpoint, which is Spark's to clean."""
+    held = materialise(result)
+    wr.remove(spark, path)
+    return held
+
+
+def _ddl(df) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
 _TURNS = "conv_id bigint, turn bigint, role string, text string"
 
 
@@ -34,15 +47,16 @@ _TURNS = "conv_id bigint, turn bigint, role string, text string"
 def csv_round_trip(spark, sf_dir):
     path = _place(spark, "csv")
     wr.write_csv(table(spark, sf_dir, "documents"), path)
-    back = rd.read_csv(spark, path, table(spark, sf_dir, "documents").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
-    return back.select("doc_id", "lang", "source", "n_chars", hash_text(F.col("text")).alias("text_hash"))
+    back = rd.read_csv(spark, path, _ddl(table(spark, sf_dir, "documents")))
+    return _read(spark, path, back.select("doc_id", "lang", "source", "n_chars", hash_text(F.col("text")).alias("text_hash")))
 
 
 @register("tsv_round_trip", "SELECT conv_id, turn, role, md5(text) AS text_hash FROM conversations")
 def tsv_round_trip(spark, sf_dir):
     path = _place(spark, "tsv")
     wr.write_tsv(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), path)
-    return rd.read_csv(spark, path, _TURNS, "\t").select("conv_id", "turn", "role", hash_text(F.col("text")).alias("text_hash"))
+    back = rd.read_csv(spark, path, _TURNS, "\t")
+    return _read(spark, path, back.select("conv_id", "turn", "role", hash_text(F.col("text")).alias("text_hash")))
 
 
 @register("jsonl_append", "SELECT conv_id, turn, role, md5(text) AS text_hash, CASE WHEN role = 'system' THEN 'first' ELSE 'second' END AS run FROM conversations")
@@ -55,7 +69,7 @@ def jsonl_append(spark, sf_dir):
     wr.write_jsonl(t.where(~first & F.coalesce(F.col("turn") >= 2, F.lit(True))), f"{path}/second", mode="append")
     back = rd.read_jsonl(spark, f"{path}/*/*.json", _TURNS)
     run = F.regexp_extract(F.col("_metadata.file_path"), r"/(first|second)/[^/]*$", 1)
-    return back.select("conv_id", "turn", "role", hash_text(F.col("text")).alias("text_hash"), run.alias("run"))
+    return _read(spark, path, back.select("conv_id", "turn", "role", hash_text(F.col("text")).alias("text_hash"), run.alias("run")))
 
 
 @register("parquet_splits", "SELECT doc_id, lang, CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END AS split FROM documents")
@@ -64,21 +78,43 @@ def parquet_splits(spark, sf_dir):
     short = F.coalesce(F.col("n_chars") < 1000, F.lit(False))
     for name, rows in (("short", short), ("long", ~short)):
         wr.write_parquet(d.where(rows), f"{path}/{name}")
-    return rd.read_splits(spark, {n: f"{path}/{n}" for n in ("short", "long")}).select("doc_id", "lang", "split")
+    return _read(spark, path, rd.read_splits(spark, {n: f"{path}/{n}" for n in ("short", "long")}).select("doc_id", "lang", "split"))
 
 
 @register("files_by_annotator", "SELECT doc_id, lang, source AS annotator FROM documents")
 def files_by_annotator(spark, sf_dir):
     path, d = _place(spark, "annotators"), table(spark, sf_dir, "documents")
     wr.write_by_annotator(d.select("doc_id", "lang", F.col("source").alias("annotator")), path, files=4)
-    return rd.read_csv(spark, path, "doc_id bigint, lang string, annotator string").select("doc_id", "lang", "annotator")
+    return _read(spark, path, rd.read_csv(spark, path, "doc_id bigint, lang string, annotator string").select("doc_id", "lang", "annotator"))
+
+
+@register("csv_in_blocks", "SELECT doc_id, lang, source, n_chars, md5(text) AS text_hash FROM documents")
+def csv_in_blocks(spark, sf_dir):
+    """The same rows as csv_round_trip; each split of a file is cut into records by a task of its own."""
+    path, d = _place(spark, "blocks"), table(spark, sf_dir, "documents")
+    wr.write_csv(d, path)
+    back = pc.read_csv_blocks(spark, path, _ddl(d))
+    return _read(spark, path, back.select("doc_id", "lang", "source", "n_chars", hash_text(F.col("text")).alias("text_hash")))
 
 
-@register("files_split_and_merged", "SELECT conv_id, turn, role, md5(text) AS text_hash FROM conversations")
+@register("gzip_in_members", "SELECT doc_id, lang, source, n_chars, md5(text) AS text_hash FROM documents")
+def gzip_in_members(spark, sf_dir):
+    """All documents in one compressed file, which many tasks write and read."""
+    path, d = _place(spark, "members"), table(spark, sf_dir, "documents")
+    wr.write_gzip_csv(d.repartition(8), f"{path}/all.csv.gz")
+    back = pc.read_gzip_csv(spark, f"{path}/all.csv.gz", _ddl(d))
+    return _read(spark, path, back.select("doc_id", "lang", "source", "n_chars", hash_text(F.col("text")).alias("text_hash")))
+
+
+@register("files_split_and_merged", "SELECT conv_id, turn, role, md5(text) AS text_hash, row_number() OVER (ORDER BY conv_id, turn) AS line FROM conversations")
 def files_split_and_merged(spark, sf_dir):
+    """Seven files, then one that holds all lines in order; the line's number is its place in that file."""
     path = _place(spark, "pieces")
-    wr.split_files(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), path, 7)
-    return rd.read_jsonl(spark, path, _TURNS).select("conv_id", "turn", "role", hash_text(F.col("text")).alias("text_hash"))
+    wr.split_files(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), f"{path}/split", 7)
+    wr.merge_files(rd.read_jsonl(spark, f"{path}/split", _TURNS), f"{path}/merged.jsonl", ["conv_id", "turn"])
+    lines = spark.read.text(f"{path}/merged.jsonl").select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"))
+    placed = number_rows(lines, ["at", "k"], "line").select(F.from_json("value", _TURNS).alias("r"), "line")
+    return _read(spark, path, placed.select("r.conv_id", "r.turn", "r.role", hash_text(F.col("r.text")).alias("text_hash"), "line"))
 
 
 @register("predictions_to_completions", """SELECT conv_id, turn, CASE WHEN role <> 'system' THEN md5(text) END AS content_hash, role = 'system' AS rejected,
@@ -96,7 +132,7 @@ def predictions_to_completions(spark, sf_dir):
     back = rd.read_completions(spark, path)
     at = lambda name: F.get_json_object("line", f"$[0].{name}").cast("bigint").alias(name)
     good = back.select(at("conv_id"), at("turn"), hash_text(F.col("content")).alias("content_hash"), F.lit(False).alias("rejected"), F.get_json_object("metadata", "$.model").alias("model"))
-    return rel.union_all(good, rejects.select("conv_id", "turn", F.lit(True).alias("rejected")))
+    return rel.union_all(_read(spark, path, good), rejects.select("conv_id", "turn", F.lit(True).alias("rejected")))
 
 
 @register("completion_files", "SELECT conv_id, turn, md5(text) AS content_hash, role AS model FROM conversations")
@@ -108,7 +144,8 @@ def completion_files(spark, sf_dir):
     wr.write_completions(rows, path, "q", "r", "m")
     back = rd.read_completions(spark, path)
     at = lambda name: F.get_json_object("metadata", f"$.{name}").cast("bigint").alias(name)
-    return back.where(rd.has_content(F.col("line"))).select(at("conv_id"), at("turn"), hash_text(F.col("content")).alias("content_hash"), "model")
+    good = back.where(rd.has_content(F.col("line"))).select(at("conv_id"), at("turn"), hash_text(F.col("content")).alias("content_hash"), "model")
+    return _read(spark, path, good)
 
 
 @register("verdict_table", f"""WITH a AS (SELECT conv_id, role, turn, {_judge_sql('text').replace('doc_id', 'conv_id')} AS answer FROM conversations), {_verdict_sql('answer')}
@@ -153,7 +190,26 @@ def batch_jobs(spark, sf_dir):
     service, path = inf.stub_service(), _place(spark, "jobs")
     inf.submit_batches(table(spark, sf_dir, "documents"), service, path, "doc_id", "text", 200)
     got = inf.collect_batches(spark.read.parquet(path), service, "bigint")
-    return got.select(F.col("key").alias("doc_id"), "response", "status")
+    return _read(spark, path, got.select(F.col("key").alias("doc_id"), "response", "status"))
+
+
+@register("warehouse_scan", "SELECT doc_id, lang, n_chars, md5(text) AS text_hash FROM documents WHERE n_chars >= 2000")
+def warehouse_scan(spark, sf_dir):
+    """The given files as a warehouse: splits whose longest text is shorter aren't read."""
+    long = wh.read_table(spark, "documents", root=sf_dir).where(F.col("n_chars") >= 2000)
+    return long.select("doc_id", "lang", "n_chars", hash_text(F.col("text")).alias("text_hash"))
+
+
+@register("warehouse_insert", """SELECT conv_id, turn, md5(text) AS text_hash FROM conversations WHERE role = 'system' UNION ALL
+    SELECT conv_id, turn, md5(text) FROM conversations WHERE role IS DISTINCT FROM 'system'""")
+def warehouse_insert(spark, sf_dir):
+    """Two jobs insert into a table, after an earlier state of it is replaced."""
+    path, t = _place(spark, "warehouse"), table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    system = F.coalesce(F.col("role") == "system", F.lit(False))
+    wh.insert(t, "turns", root=path)
+    wh.insert(t.where(system), "turns", overwrite=True, root=path)
+    wh.insert(t.where(~system), "turns", root=path)
+    return _read(spark, path, wh.read_table(spark, "turns", root=path).select("conv_id", "turn", hash_text(F.col("text")).alias("text_hash")))
 
 
 @register("capped_rows", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 100")
@@ -162,8 +218,10 @@ def capped_rows(spark, sf_dir):
     return sm.cap_rows(table(spark, sf_dir, "documents").select("doc_id", "lang"), 100, "doc_id")
 
 
-@register("grid_of_runs", "SELECT l.lang AS language, kind, count(*) AS n FROM documents d JOIN (VALUES ('en'), ('de'), ('fr')) l(lang) ON d.lang = l.lang, (VALUES ('precision'), ('recall')) k(kind) GROUP BY ALL")
+@register("grid_of_runs", "SELECT lang AS language, kind, count(*) AS n FROM documents, (VALUES ('precision'), ('recall')) k(kind) WHERE lang IS NOT NULL GROUP BY ALL")
 def grid_of_runs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    """A run for each language of the documents, whatever they are, and each kind."""
+    d, path = table(spark, sf_dir, "documents"), _place(spark, "grid")
+    languages = sorted(r.lang for r in d.select("lang").where("lang IS NOT NULL").distinct().collect())
     step = lambda config: d.where(F.col("lang") == config["language"]).agg(F.count("*").alias("n")).where("n > 0")
-    return inf.run_grid(spark, {"language": ["en", "de", "fr"], "kind": ["precision", "recall"]}, step, _place(spark, "grid")).select("language", "kind", "n")
+    return _read(spark, path, inf.run_grid(spark, {"language": languages, "kind": ["precision", "recall"]}, step, path).select("language", "kind", "n"))

@@ -14,7 +14,8 @@ COMPLETION = {"content": "$[1].choices[0].message.content", "model": "$[0].model
 
 
 def read_csv(spark: SparkSession, path, schema: str | None = None, sep: str = ",", partitions: int | None = None) -> DataFrame:
-    """Notes hold newlines and quotes. A .gz file is one task's work; `partitions` deals its rows out for what follows."""
+    """Notes hold newlines and quotes. An empty field is null, quoted or not. A file is one task's work here; `partitions` deals its
+    rows out for what follows. parallel_csv reads a file by many tasks."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", sep)
     rows = (reader.schema(schema) if schema else reader).csv(path)
     return rows.repartition(partitions) if partitions else rows
@@ -153,8 +154,3 @@ def read_experiments(spark: SparkSession, root: str) -> DataFrame:
     items = spark.read.schema("ID string, premise string, entailment_pred int, verdict string").json(f"{root.rstrip('/')}/*/*/*/*.json")
     path = F.col("_metadata.file_path")
     return items.select("*", path.alias("file")).select("*", *[c.alias(n) for n, c in path_metadata(F.col("file")).items()])
-
-
-def read_legacy_table(spark: SparkSession, fmt: str, **options) -> DataFrame:
-    """Any warehouse table by its Spark connector, where one is installed."""
-    return spark.read.format(fmt).options(**options).load()

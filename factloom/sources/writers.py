@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 from datetime import date
 
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +57,71 @@ def split_files(df: DataFrame, path: str, n: int) -> None:
     df.repartition(n).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def merge_files(df: DataFrame, path: str) -> None:
-    """One file, for hand-over of small results."""
-    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def concat_files(spark: SparkSession, parts: list[str], path: str) -> None:
+    """One file from parts, in their order, which are gone afterwards.
+
+    Stores that can join files by their blocks do that, without a byte moving; others get a plain copy, by streams of the driver's JVM.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, files = jvm.org.apache.hadoop.fs.Path(path), [jvm.org.apache.hadoop.fs.Path(p) for p in parts]
+    store = target.getFileSystem(conf)
+    store.delete(target, False)
+    array = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, max(len(files) - 1, 0))
+    for k, f in enumerate(files[1:]):
+        array[k] = f
+    try:
+        if not files or not store.rename(files[0], target):
+            raise ValueError("there must be a part")
+        if len(files) > 1:
+            store.concat(target, array)
+        return
+    except UnsupportedOperationException:
+        pass
+    store.rename(target, files[0])
+    out = store.create(target, True)
+    try:
+        for f in files:
+            held = store.open(f)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, out, conf, False)
+            finally:
+                held.close()
+    finally:
+        out.close()
+    for f in files:
+        store.delete(f, False)
+
+
+def part_files(spark: SparkSession, folder: str) -> list[str]:
+    """The files that a Spark writer left in a folder, in order of its partitions, without empty ones."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith("part-") and f.getLen())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def merge_files(df: DataFrame, path: str, by: list[str]) -> None:
+    """One file of JSON lines in the order of `by`: parts are written side by side, each in order, and then joined."""
+    spark, folder = df.sparkSession, f"{path}-parts"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    ordered.write.mode("overwrite").option("ignoreNullFields", False).json(folder)
+    concat_files(spark, part_files(spark, folder), path)
+    remove(spark, folder)
+
+
+def write_gzip_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    """One .csv.gz file with a member for each part, which are compressed side by side; the header is a member of its own."""
+    spark, folder = df.sparkSession, f"{path}-parts"
+    options = {"quoteAll": True, "escape": '"', "sep": sep, "compression": "gzip", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**options, header=False).csv(f"{folder}/rows")
+    spark.createDataFrame([tuple(df.columns)], ", ".join(f"c{k} string" for k in range(len(df.columns)))).coalesce(1).write.mode("overwrite").options(**options, header=False).csv(f"{folder}/header")
+    concat_files(spark, [*part_files(spark, f"{folder}/header"), *part_files(spark, f"{folder}/rows")], path)
+    remove(spark, folder)
 
 
 def send_in_batches(df: DataFrame, send: Callable[[list[dict]], list[str]], size: int = 200) -> DataFrame:
