@@ -39,6 +39,11 @@ _HEADER = r"(?i)^\s*##[^\n]*Facts:[ \t]*\n?"
 _MARK = r"^(?:[0-9]+\.|\*)[ \t]*"
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), where the value is worked out once a row: it is held by a lambda's variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_facts(text: Column, drop: tuple[str, ...] = (":", "")) -> Column:
     """Facts of a marked list.
 
@@ -46,12 +51,20 @@ def split_facts(text: Column, drop: tuple[str, ...] = (":", "")) -> Column:
     continue the open fact on a new line. A text without any mark has a fact on each line that isn't blank.
     """
     lines = F.filter(F.transform(F.split(F.regexp_replace(text, _HEADER, ""), "\n"), strip), lambda s: s != "")
-    marked = F.exists(lines, lambda s: s.rlike(_MARK))
-    # Joined by a form feed, which stripping has removed from the ends of lines, facts come apart at once.
-    opened = F.transform(lines, lambda s: F.when(s.rlike(_MARK), F.concat(F.lit("\f"), F.regexp_replace(s, _MARK, ""))).otherwise(s))
-    grouped = F.transform(F.split(F.array_join(opened, "\n"), "\n?\f"), strip)
-    facts = F.when(marked, grouped).otherwise(lines)
-    return F.filter(facts, lambda s: ~s.isin(*drop))
+
+    def grouped(own: Column) -> Column:
+        starts = F.filter(F.transform(own, lambda s, i: F.when(s.rlike(_MARK), i)), lambda i: i.isNotNull())
+        # Lines before the first mark make up a fact, too.
+        begins = F.when(F.get(starts, F.lit(0)) > 0, F.concat(F.array(F.lit(0)), starts)).otherwise(starts)
+
+        def facts(at: Column) -> Column:
+            until = lambda k: F.coalesce(F.get(at, k + 1), F.size(own))
+            fact = lambda i, k: F.array_join(F.transform(F.slice(own, i + 1, until(k) - i), lambda s, j: F.when(j == 0, F.regexp_replace(s, _MARK, "")).otherwise(s)), "\n")
+            return F.transform(at, lambda i, k: strip(fact(i, k)))
+
+        return F.when(F.size(starts) > 0, _bound(begins, facts)).otherwise(own)
+
+    return F.filter(_bound(lines, grouped), lambda s: ~s.isin(*drop))
 
 
 def split_facts_plain(text: Column, drop: tuple[str, ...] = (":", "")) -> Column:

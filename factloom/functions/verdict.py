@@ -7,9 +7,11 @@ isn't 0, 1 or a truth value is unparseable, and counts as 0. A number in quotes
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.names import unused
+
 FIELD = "$.entailment_prediction"
 
 
@@ -18,9 +20,7 @@ def parse_json(answer: Column) -> Column:
     return F.coalesce(F.try_parse_json(answer), F.try_parse_json(F.regexp_extract(answer, r"(?s)(\{.*\})", 1)))
 
 
-def verdict(answer: Column) -> dict[str, Column]:
-    """raw (string), not_parseable (boolean), prediction (int)."""
-    v = F.when(answer.contains("{"), parse_json(answer))  # only an object can hold the field
+def _told(answer: Column, v: Column) -> dict[str, Column]:
     field = F.try_variant_get(v, FIELD, "variant")
     present = field.isNotNull()
     kind = F.schema_of_variant(field)
@@ -35,14 +35,24 @@ def verdict(answer: Column) -> dict[str, Column]:
         .when(low.contains("yes"), 1)
         .when(low.contains("no"), 0)
     )
-    good = F.when(present, number.isin(0.0, 1.0)).otherwise(said.isin(0, 1))
-    value = F.when(present, number.cast("int")).otherwise(said)
-    good = F.coalesce(good, F.lit(False))
-    return {
-        "raw": F.when(present, F.try_variant_get(v, FIELD, "string")).otherwise(said.cast("string")),
-        "not_parseable": ~good,
-        "prediction": F.when(good, value).otherwise(0).cast("int"),
-    }
+    raw = F.when(present, F.try_variant_get(v, FIELD, "string")).otherwise(said.cast("string"))
+    return {"raw": raw, "value": F.when(present, number).otherwise(said.cast("double"))}
+
+
+def with_verdict(df: DataFrame, answer: str, names: tuple[str, str, str] = ("raw", "not_parseable", "prediction")) -> DataFrame:
+    """`df` with the verdict of a column of answers: raw (string), not_parseable (boolean), prediction (int).
+
+    An answer is parsed in a projection of its own, and what it says is read in another one, so that each row is parsed once, whatever uses the verdict.
+    """
+    parsed, raw, value = unused([*df.columns, *names], "parsed", "raw", "value")
+    a = F.col(answer)
+    # Only an object can hold the field.
+    rows = df.withColumn(parsed, F.when(a.contains("{"), parse_json(a)))
+    told = _told(a, F.col(parsed))
+    rows = rows.select(*df.columns, told["raw"].alias(raw), told["value"].alias(value))
+    good = F.coalesce(F.col(value).isin(0.0, 1.0), F.lit(False))
+    outputs = F.col(raw), ~good, F.when(good, F.col(value)).otherwise(0).cast("int")
+    return rows.select(*df.columns, *[c.alias(n) for c, n in zip(outputs, names)])
 
 
 def map_unparseable(prediction: Column, unparseable: Column, to: int) -> Column:

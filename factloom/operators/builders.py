@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions.ids import compose, hash_text, parse_custom_id
 from factloom.functions.text import token_estimate
-from factloom.functions.verdict import verdict
+from factloom.functions.names import unused
+from factloom.functions.verdict import with_verdict
 from factloom.operators.relational import keep_first, keep_last, semi_join_by_hash, text_fallback, union_all
 from factloom.operators.sampling import stratified_sample, token_band
 
@@ -34,14 +35,15 @@ def sample_corpus(notes: DataFrame, strata: list[Stratum], n: int = 250, least:
     which = F.lit(None).cast("int")
     for i, s in reversed(list(enumerate(strata))):
         which = F.when(F.coalesce(s.rows, F.lit(False)), i).otherwise(which)
-    kept = notes.withColumn("__stratum", which).where(F.col("__stratum").isNotNull())
+    (stratum,) = unused([*notes.columns, "est_token_count"], "stratum")
+    kept = notes.withColumn(stratum, which).where(F.col(stratum).isNotNull())
     kept = token_band(kept, "note_text", least, most)
     dedup = [i for i, s in enumerate(strata) if s.dedup]
     if dedup:
-        once = keep_first(kept.where(F.col("__stratum").isin(dedup)), ["__stratum", hash_text(F.col("note_text"))], [F.col("doc_id")])
-        kept = union_all(kept.where(~F.col("__stratum").isin(dedup)), once)
-    named = lambda f: F.element_at(F.array(*[F.lit(f(s)) for s in strata]), F.col("__stratum") + 1)
-    sampled = stratified_sample(kept, ["__stratum"], n, seed)
+        once = keep_first(kept.where(F.col(stratum).isin(dedup)), [stratum, hash_text(F.col("note_text"))], [F.col("doc_id")])
+        kept = union_all(kept.where(~F.col(stratum).isin(dedup)), once)
+    named = lambda f: F.element_at(F.array(*[F.lit(f(s)) for s in strata]), F.col(stratum) + 1)
+    sampled = stratified_sample(kept, [stratum], n, seed)
     return sampled.select("doc_id", "note_text", "est_token_count", named(lambda s: s.note_type).alias("note_type"), named(lambda s: s.dataset_name).alias("dataset_name"))
 
 
@@ -57,17 +59,21 @@ def provenance(legacy: DataFrame, source: DataFrame, source_text: str, source_id
     return semi_join_by_hash(source, source_text, legacy, "doc_id").select(F.col(source_id), hash_text(F.col(source_text)).alias("doc_id"))
 
 
+_VERDICT = ("entailment_pred_raw", "not_parseable", "entailment_pred")
+
+
 def verdict_table(answers: DataFrame, answer: str = "model_output", custom_id: str = "custom_id") -> DataFrame:
     """Judge's answers with the parts of their ids and their verdicts; no dedup."""
-    ids, v = parse_custom_id(F.col(custom_id)), verdict(F.col(answer))
-    return answers.select("*", *[ids[n].alias(n) for n in ("doc_id", "dataset_name", "note_type", "prompt", "index", "entailment_type")], v["raw"].alias("entailment_pred_raw"), v["not_parseable"].alias("not_parseable"), v["prediction"].alias("entailment_pred"))
+    ids = parse_custom_id(F.col(custom_id))
+    told = answers.select("*", *[ids[n].alias(n) for n in ("doc_id", "dataset_name", "note_type", "prompt", "index", "entailment_type")])
+    return with_verdict(told, answer, _VERDICT)
 
 
 def nli_table(answers: DataFrame, order: list[Column], answer: str = "model_output") -> tuple[DataFrame, DataFrame]:
     """Natural-language-inference results: the last answer of each id and model, and apart from them the rows without a label."""
     last = keep_last(answers, ["custom_id", "model"], order)
-    ids, v = parse_custom_id(F.col("custom_id")), verdict(F.col(answer))
-    told = last.select("*", *[ids[n].alias(n) for n in ("dataset", "split", "uid", "prompt")], v["raw"].alias("entailment_pred_raw"), v["not_parseable"].alias("not_parseable"), v["prediction"].alias("entailment_pred"))
+    ids = parse_custom_id(F.col("custom_id"))
+    told = with_verdict(last.select("*", *[ids[n].alias(n) for n in ("dataset", "split", "uid", "prompt")]), answer, _VERDICT)
     return told.where(F.col("label").isNotNull()), told.where(F.col("label").isNull())
 
 

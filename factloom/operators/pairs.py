@@ -59,8 +59,8 @@ def all_pairs(decompositions: DataFrame, facts: Column, sentences: Column, uid:
     """Both kinds of pairs from one scan: the two lists are exploded as one array of (kind, items)."""
     carry = carry or []
     kinds = F.array(F.struct(F.lit("precision").alias("kind"), facts.alias("items")), F.struct(F.lit("recall").alias("kind"), sentences.alias("items")))
-    lists = decompositions.select(uid, *carry, F.explode(kinds).alias("list"))
-    out = lists.select(uid, *carry, F.col("list.kind").alias("entailment_type"), F.posexplode("list.items").alias("index", "hypothesis"))
+    lists = decompositions.select(uid, *carry, F.explode(kinds).alias("list")).select(uid, *carry, F.col("list.kind").alias("entailment_type"), F.col("list.items").alias("items"))
+    out = lists.select(uid, *carry, "entailment_type", F.posexplode("items").alias("index", "hypothesis"))
     return out.select(compose(uid, "index", "entailment_type").alias("custom_id"), F.col(uid), *carry, "index", "entailment_type", hypothesis(F.col("hypothesis")).alias("hypothesis"))
 
 

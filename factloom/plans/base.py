@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as tx
 from factloom.functions import tokens as tk
 from factloom.functions.ids import compose, hash_text, parse_custom_id
-from factloom.functions.verdict import verdict
+from factloom.functions.verdict import with_verdict
 from factloom.nlp.sentences import annotate
 from factloom.operators import annotate as an
 from factloom.operators import builders as bd
@@ -97,7 +97,7 @@ def _verdict_sql(m: str) -> str:
 
 def _judged_lines(spark, sf_dir) -> DataFrame:
     rows = _lines(spark, sf_dir).withColumn("answer", _judge(F.col("hypothesis"), F.col("idx")))
-    return rows.select("*", *[c.alias(n) for n, c in verdict(F.col("answer")).items()])
+    return with_verdict(rows, "answer")
 
 
 _JUDGED_SQL = f"""WITH {_LINES_SQL}, a AS (SELECT *, {_judge_sql('hypothesis', 'idx')} AS answer FROM lines), {_verdict_sql('answer')}"""
@@ -307,7 +307,8 @@ def nli_labels(spark, sf_dir):
 def _labelled(spark, sf_dir) -> DataFrame:
     rows = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").withColumn("answer", _judge(F.col("text")))
     split = F.when(F.col("lang") != "de", F.concat(F.lit("part"), (F.col("doc_id") % 2).cast("string")))
-    return rows.select("doc_id", "lang", "source", "quality", "toxic", split.alias("split"), *[c.alias(n) for n, c in verdict(F.col("answer")).items()])
+    rows = rows.select("doc_id", "lang", "source", "quality", "toxic", split.alias("split"), "answer")
+    return with_verdict(rows, "answer").drop("answer")
 
 
 _LABELLED_SQL = f"""WITH a AS (SELECT d.doc_id, lang, source, quality, toxic, CASE WHEN lang <> 'de' THEN 'part' || (d.doc_id % 2) END AS split,
@@ -352,7 +353,7 @@ def weighted_proportion(spark, sf_dir):
 
 def _judged_pairs(spark, sf_dir, to: int | None = None) -> DataFrame:
     rows = _all_pairs(spark, sf_dir).withColumn("answer", _judge(F.col("hypothesis"), F.col("index")))
-    rows = rows.select("doc_id", "lang", "source", "entailment_type", *[c.alias(n) for n, c in verdict(F.col("answer")).items()])
+    rows = with_verdict(rows.select("doc_id", "lang", "source", "entailment_type", "answer"), "answer")
     pred = F.col("prediction")
     if to is not None:
         from factloom.functions.verdict import map_unparseable
@@ -681,8 +682,7 @@ def dynamic_batches(spark, sf_dir):
 
 def _sentences(rules: str):
     def run(spark, sf_dir):
-        d = _docs(spark, sf_dir).select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-        return annotate(d, "text", rules).select("doc_id", F.inline("sentences")).withColumnsRenamed({"start": "sent_start", "stop": "sent_stop", "text": "sentence"})
+        return annotate(_docs(spark, sf_dir).select("doc_id", "text"), "text", rules).select("doc_id", F.inline("sentences")).withColumnsRenamed({"start": "sent_start", "stop": "sent_stop", "text": "sentence"})
 
     return run
 

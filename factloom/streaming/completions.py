@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.ids import parse_custom_id
-from factloom.functions.verdict import verdict
+from factloom.functions.verdict import with_verdict
 from factloom.sources.readers import COMPLETION
 
 
@@ -19,8 +19,9 @@ def read_completion_stream(spark: SparkSession, folder: str, files_per_trigger:
 def judged(lines: DataFrame, delay: str = "1 hour") -> DataFrame:
     """One row per (custom_id, model) within the watermark: verdicts with the id's parts."""
     once = lines.withWatermark("seen", delay).dropDuplicatesWithinWatermark(["custom_id", "model"])
-    v, ids = verdict(F.col("content")), parse_custom_id(F.col("custom_id"))
-    return once.select("custom_id", "model", "label", *[c.alias(n) for n, c in v.items()], ids["prompt"].alias("prompt"), "seen")
+    prompt = parse_custom_id(F.col("custom_id"))["prompt"]
+    told = with_verdict(once.select("custom_id", "model", "label", "content", prompt.alias("prompt"), "seen"), "content")
+    return told.select("custom_id", "model", "label", "raw", "not_parseable", "prediction", "prompt", "seen")
 
 
 def running_accuracy(verdicts: DataFrame) -> DataFrame:

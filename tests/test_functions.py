@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as tx
 from factloom.functions.ids import compose, parse_custom_id
 from factloom.functions.tokens import chat_tokens, cost_estimate
-from factloom.functions.verdict import map_unparseable, verdict
+from factloom.functions.verdict import map_unparseable, with_verdict
 from factloom.operators import metrics as mt
 from factloom.sources.readers import path_metadata
 
@@ -21,7 +21,7 @@ VERDICTS = [
 
 def test_verdicts(spark):
     df = spark.createDataFrame([(i, v[0]) for i, v in enumerate(VERDICTS)], "i int, answer string")
-    got = df.select("i", *[c.alias(n) for n, c in verdict(F.col("answer")).items()]).orderBy("i").collect()
+    got = with_verdict(df, "answer").orderBy("i").collect()
     for g, (answer, raw, bad, pred) in zip(got, VERDICTS):
         assert (g.not_parseable, g.prediction) == (bad, pred), answer
         if raw is not None:

@@ -96,3 +96,36 @@ def test_inference_and_batches(spark):
     got = inf.infer(df, inf.stub_provider, inf.Calls(1e9, 1e9, partitions=3)).collect()
     assert len(got) == 20 and {r.status for r in got} == {"ok"}
     assert inf.request_parameters("o1-x", 0.2, 0.5, 9) == {"model": "o1-x", "max_completion_tokens": 9, "temperature": 1, "top_p": 1}
+
+
+def test_samples_by_histograms(spark, monkeypatch):
+    """Samples of any size are the first rows by rank, also where the cut falls among rows of one key."""
+    rows = [(i // 3, i, "u") for i in range(900)] + [(None, 1000, "u"), (None, 1001, "u")]
+    df = spark.createDataFrame(rows, "doc_id int, nth int, __rank string").repartition(7)
+    ranked = sorted((r["h"], r["doc_id"]) for r in df.select("doc_id", sm.hash_rank(42, "doc_id").alias("h")).collect())
+    for most in (10_000, 5):
+        monkeypatch.setattr(sm, "MOST_RANKS", most)
+        for n in (1, 2, 3, 100, 901, 902):
+            got = sm.global_sample(df, n)
+            assert got.columns == df.columns and len({r.nth for r in got.collect()}) == n
+            assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(d) for _, d in ranked[:n])
+            assert {r["__rank"] for r in got.collect()} == {"u"}
+    assert sm.global_sample(df, fraction=0.001).count() == 0
+    with pytest.raises(ValueError):
+        sm.global_sample(df, 903)
+
+
+def test_facts_keep_form_feeds(spark):
+    from factloom.functions.text import split_facts
+
+    df = spark.createDataFrame([("1. one\fmore of one\n2. two\nmore of two",), ("before\n* a\n* b",), ("x\ny",), (None,), ("",)], "t string")
+    got = [r[0] for r in df.select(split_facts(F.col("t"))).collect()]
+    assert got == [["one\fmore of one", "two\nmore of two"], ["before", "a", "b"], ["x", "y"], None, []]
+
+
+def test_an_answer_is_parsed_once(spark, sf_dir):
+    from factloom.plans import all_queries
+
+    for name in ("doc_prf", "parse_verdicts"):
+        plan = all_queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parse_json") <= 3, plan.count("parse_json")  # the answer, or else its braces
