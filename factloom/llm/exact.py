@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.names import unused
 from factloom.llm.common import cut, join_hot, text_or_empty, without_space
 
 SALTS = 16
@@ -95,12 +96,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with their columns. Of repeated rows one stays."""
-    keys = ["__id", "__sha", "__len"]
+    id_name, sha, size = keys = unused(docs.columns, "id", "sha", "len")
     # A stand-in for a null id is enough here: rows that share it also share a text, and one of them stays.
     id_ = F.coalesce(F.col("doc_id"), F.lit(-_HALF))
-    winners = decide(docs).where("kept").select(id_.alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_code_points").alias("__len"))
+    winners = decide(docs).where("kept").select(id_.alias(id_name), F.col("text_sha256").alias(sha), F.col("n_code_points").alias(size))
     rows = docs.withColumns({
-        "__id": id_, "__sha": F.sha2(without_space(text_or_empty()).cast("binary"), 256), "__len": F.length(text_or_empty()).cast("bigint"),
+        id_name: id_, sha: F.sha2(without_space(text_or_empty()).cast("binary"), 256), size: F.length(text_or_empty()).cast("bigint"),
     })
     # Repeated rows meet in every task before they are shuffled.
     order = F.struct(F.col("text").isNull().alias("none"), "text")

@@ -34,7 +34,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import NOT_SPACE, cut, join_hot, text_or_empty
+from factloom.functions.names import unused
+from factloom.llm.common import NOT_SPACE, bound, cut, join_hot, text_or_empty
 
 FACTORS = ("source", "lang", "topic")
 NONE = "(none)"
@@ -53,9 +54,11 @@ class Mix:
     most_gap: float = 0.01
 
 
-def topic(text: Column) -> Column:
-    words, lines = token_count(text), F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return F.when((words > 0) & (F.length(text) >= words * 9), "dense").when((lines > 1) & (words < lines * 12), "lines").otherwise("prose")
+def topic(text: Column, words: Column | None = None) -> Column:
+    """The form of a text; words: its token_count(), if that's at hand. It is worked out once, however often it is compared."""
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    form = lambda n: F.when((n > 0) & (F.length(text) >= n * 9), "dense").when((lines > 1) & (n < lines * 12), "lines").otherwise("prose")
+    return bound(token_count(text), form) if words is None else form(words)
 
 
 def token_count(text: Column) -> Column:
@@ -69,41 +72,39 @@ def draw(key: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def _goals(totals: np.ndarray, targets: list[np.ndarray], whole: float) -> list[np.ndarray | None]:
+def _goals(codes: list[np.ndarray], totals: np.ndarray, targets: list[np.ndarray], whole: float) -> list[np.ndarray | None]:
     goals = []
-    for axis, t in enumerate(targets):
-        has = totals.sum(axis=tuple(k for k in range(totals.ndim) if k != axis)) > 0
-        t = np.where(has, t, 0.0)
+    for code, t in zip(codes, targets):
+        t = np.where(np.bincount(code, totals, len(t)) > 0, t, 0.0)
         goals.append(t / t.sum() * whole if t.sum() else None)
     return goals
 
 
-def rake(totals: np.ndarray, targets: list[np.ndarray], rounds: int = 500, tolerance: float = 1e-12, keep: float | None = None) -> np.ndarray:
-    """Scale `totals` (one axis per factor) until its marginals are the targets' shares of the grand total, or of `keep` of it, where
-    no cell may have more than its total."""
+def rake(codes: list[np.ndarray], totals: np.ndarray, targets: list[np.ndarray], rounds: int = 500, tolerance: float = 1e-12, keep: float | None = None) -> np.ndarray:
+    """Scale the cells' totals until each factor's sums are its targets' shares of the grand total, or of `keep` of it, where no cell may have
+    more than its total. codes: for each factor, each cell's category as a number; memory is that of the cells and categories."""
     x = totals * (1.0 if keep is None else keep)
     whole = x.sum()
     if not whole:
         return x
-    goals = _goals(totals, targets, whole)
+    goals = _goals(codes, totals, targets, whole)
     for _ in range(rounds):
         before = x
-        for axis, t in enumerate(goals):
+        for code, t in zip(codes, goals):
             if t is None:
                 continue
-            now = x.sum(axis=tuple(k for k in range(x.ndim) if k != axis))
-            scale = np.divide(t, now, out=np.zeros_like(t), where=now > 0)
-            x = x * scale.reshape([-1 if k == axis else 1 for k in range(x.ndim)])
+            now = np.bincount(code, x, len(t))
+            x = x * np.divide(t, now, out=np.zeros_like(t), where=now > 0)[code]
             x = x if keep is None else np.minimum(x, totals)
         if np.abs(x - before).max() <= tolerance * whole:
             break
     return x
 
 
-def gap(x: np.ndarray, totals: np.ndarray, targets: list[np.ndarray], whole: float) -> float:
+def gap(codes: list[np.ndarray], x: np.ndarray, totals: np.ndarray, targets: list[np.ndarray], whole: float) -> float:
     """By how much of all drawn tokens the worst category misses its target."""
-    sums = [x.sum(axis=tuple(k for k in range(x.ndim) if k != axis)) for axis in range(x.ndim)]
-    return max((float(np.abs(s - t).max()) / whole for s, t in zip(sums, _goals(totals, targets, whole)) if t is not None), default=0.0) if whole else 0.0
+    missed = [np.abs(np.bincount(c, x, len(t)) - t).max() for c, t in zip(codes, _goals(codes, totals, targets, whole)) if t is not None] if whole else []
+    return float(max(missed, default=0.0)) / whole if whole else 0.0
 
 
 def calibrate(cells: list[tuple], mix: Mix) -> tuple[list[tuple], float]:
@@ -112,26 +113,22 @@ def calibrate(cells: list[tuple], mix: Mix) -> tuple[list[tuple], float]:
         return [], 0.0
     values = [sorted({c[k] for c in cells}) for k in range(3)]
     place = [{v: i for i, v in enumerate(vs)} for vs in values]
-    totals = np.zeros([len(v) for v in values])
-    for c in cells:
-        totals[tuple(place[k][c[k]] for k in range(3))] += c[3]
+    codes = [np.array([place[k][c[k]] for c in cells]) for k in range(3)]
+    totals = np.array([c[3] for c in cells], float)
     targets = []
     for k, name in enumerate(FACTORS):
         given = mix.targets.get(name, 1.0)
         if isinstance(given, dict):
             targets.append(np.array([float(given.get(v, 0.0)) for v in values[k]]))
         else:
-            sums = totals.sum(axis=tuple(j for j in range(3) if j != k))
+            sums = np.bincount(codes[k], totals, len(values[k]))
             targets.append(np.where(sums > 0, sums, 1.0) ** given * (sums > 0))
-    raked = rake(totals, targets, mix.rounds, mix.tolerance, mix.keep)
-    told = []
-    for c in cells:
-        at = tuple(place[k][c[k]] for k in range(3))
-        told.append((c[0], c[1], c[2], float(raked[at] / totals[at]) if totals[at] else 1.0))
-    return told, gap(raked, totals, targets, totals.sum() * mix.keep)
+    raked = rake(codes, totals, targets, mix.rounds, mix.tolerance, mix.keep)
+    chances = np.divide(raked, totals, out=np.ones_like(raked), where=totals > 0)
+    return [(*c[:3], p) for c, p in zip(cells, chances.tolist())], gap(codes, raked, totals, targets, totals.sum() * mix.keep)
 
 
-def calibrate_frame(cells: DataFrame, mix: Mix, tolerance: float = 1e-7) -> tuple[DataFrame, float]:
+def calibrate_frame(cells: DataFrame, mix: Mix) -> tuple[DataFrame, float]:
     """calibrate() for more cells than the driver should hold. cells: the factors, n_tokens; materialised."""
     whole = (cells.agg(F.sum("n_tokens")).first()[0] or 0) * mix.keep
     x = cells.withColumn("x", F.col("n_tokens") * F.lit(mix.keep))
@@ -157,18 +154,18 @@ def calibrate_frame(cells: DataFrame, mix: Mix, tolerance: float = 1e-7) -> tupl
             scale = cut(scales(x, f).select(f, "n", F.coalesce(F.when(F.col("now") > 0, F.col("t") / F.col("now")), F.lit(0.0)).alias("scale")))
             x = join_hot(x, scale, f, "n")
             x = cut(x.withColumn("x", F.least(F.col("x") * F.col("scale"), F.col("n_tokens").cast("double"))).drop("scale"))
-        if x.agg(F.max(F.abs(F.col("x") - F.col("before")))).first()[0] <= tolerance * whole:
+        if x.agg(F.max(F.abs(F.col("x") - F.col("before")))).first()[0] <= mix.tolerance * whole:
             break
     missed = max((scales(x, f).agg(F.max(F.abs(F.col("now") - F.coalesce("t", F.lit(0.0))))).first()[0] / whole for f in goals), default=0.0)
     return cut(x.select(*FACTORS, F.when(F.col("n_tokens") > 0, F.col("x") / F.col("n_tokens")).otherwise(1.0).alias("probability"), "rows")), missed
 
 
-def factors(topic_column: str | None = None) -> dict[str, Column]:
+def factors(topic_column: str | None = None, words: Column | None = None) -> dict[str, Column]:
     def category(name: str) -> Column:
         value = F.col(name).cast("string")
         return F.coalesce(F.when(value.rlike(_NONE_LIKE), F.concat(F.lit("="), value)).otherwise(value), F.lit(NONE))
 
-    return {"source": category("source"), "lang": category("lang"), "topic": category(topic_column) if topic_column else topic(text_or_empty())}
+    return {"source": category("source"), "lang": category("lang"), "topic": category(topic_column) if topic_column else topic(text_or_empty(), words)}
 
 
 def draw_key() -> Column:
@@ -190,14 +187,15 @@ class Plan:
         if self.gap > mix.most_gap:
             warnings.warn(f"a category misses its target by {self.gap:.3f} of all drawn tokens", stacklevel=3)
 
-    def applied(self, rows: DataFrame, values: dict[str, Column]) -> DataFrame:
-        """`rows` with __probability; `values` gives the factors."""
-        cell = lambda columns: F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()]))
-        keyed = rows.withColumn("__cell", cell(values))
+    def applied(self, rows: DataFrame, values: dict[str, Column], name: str) -> DataFrame:
+        """`rows` with a column `name`; `values` gives the factors."""
+        key, n = unused([*rows.columns, name], "cell", "rows")
+        # Never null, so that the join adds no test for that, which would work out the factors of each row once more.
+        cell = lambda columns: F.coalesce(F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()])), F.lit(""))
+        keyed = rows.withColumn(key, cell(values))
         own = {n: F.col(n) for n in FACTORS}
-        if self.small:
-            return keyed.join(F.broadcast(self.table.select(cell(own).alias("__cell"), F.col("probability").alias("__probability"))), "__cell")
-        return join_hot(keyed, self.table.select(cell(own).alias("__cell"), F.col("probability").alias("__probability"), F.col("rows").alias("__rows")), "__cell", "__rows")
+        table = self.table.select(cell(own).alias(key), F.col("probability").alias(name), *([] if self.small else [F.col("rows").alias(n)]))
+        return keyed.join(F.broadcast(table), key) if self.small else join_hot(keyed, table, key, n)
 
 
 def mix_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
@@ -205,7 +203,7 @@ def mix_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     mix = mix or Mix()
     named = {n: c.alias(n) for n, c in factors(mix.topic_column).items()}
     rows = cut(docs.select("doc_id", *named.values(), token_count(text_or_empty()).alias("n_tokens"), draw_key().alias("draw_key")))
-    out = Plan(rows, mix).applied(rows, {n: F.col(n) for n in FACTORS})
+    out = Plan(rows, mix).applied(rows, {n: F.col(n) for n in FACTORS}, "__probability")
     drawn = draw(F.col("draw_key"), mix.seed) < F.col("__probability")
     return out.select("doc_id", *FACTORS, "n_tokens", F.round("__probability", 6).alias("probability"), drawn.alias("selected"))
 
@@ -213,10 +211,15 @@ def mix_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
 def keep_mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """The rows of `docs` that are drawn, with their columns. The text isn't shuffled while the cells are few."""
     mix = mix or Mix()
-    values = factors(mix.topic_column)
-    weighed = docs.select(*[c.alias(n) for n, c in values.items()], token_count(text_or_empty()).alias("n_tokens"))
-    rows = Plan(weighed, mix).applied(docs.withColumn("__draw", draw(draw_key(), mix.seed)), values)
-    return rows.where("__draw < __probability").select(*docs.columns)
+    drawn, chance, n = unused(docs.columns, "draw", "probability", "n")
+    if mix.topic_column:
+        weighed = docs.select(*[c.alias(f) for f, c in factors(mix.topic_column).items()], token_count(text_or_empty()).alias("n_tokens"))
+    else:
+        counted = docs.withColumn(n, token_count(text_or_empty()))
+        weighed = counted.select(*[c.alias(f) for f, c in factors(words=F.col(n)).items()], F.col(n).alias("n_tokens"))
+    rows = docs.withColumn(drawn, F.coalesce(draw(draw_key(), mix.seed), F.lit(1.0)))
+    kept = Plan(weighed, mix).applied(rows, factors(mix.topic_column), chance)
+    return kept.where(F.col(drawn) < F.col(chance)).select(*docs.columns)
 
 
 def oracle(mix: Mix | None = None) -> str:

@@ -1,6 +1,6 @@
 """Surrogates for personal data.
 
-Detected entities (e-mail and IPv4 addresses, phone numbers, payment cards, social security numbers, IBANs, and persons named
+Detected entities (e-mail, IPv4 and IPv6 addresses, phone numbers, payment cards, social security numbers, IBANs, and persons named
 after a title or an introduction) are replaced by surrogates of the same type, script and format:
 
 * Numbers and addresses keep their shape: punctuation, case, length, country codes, top-level domains. Their free characters
@@ -11,13 +11,15 @@ after a title or an introduction) are replaced by surrogates of the same type, s
   Surnames and given names are entities of their own, so that `Mr Smith` and `John Smith` keep referring to one person. Gender is no part of
   an entity: it is told once for each given name, by a vote of its titles over the corpus, else by the list of names.
 
-Persons are found after titles, introductions and labels, and by given names of a list that the caller can extend (`names`); in upper case
-after titles. Once found, a person's given name and surname are replaced wherever the text has them. Names without any of
-these cues aren't found. Phone numbers are one entity with and without the country code, if ten digits follow it.
+Persons are found after titles, after phrases (`my name is`), after labels and closings whose line ends with the name, and by given names of a list that the caller
+can extend (`names`), alone or before a surname; in upper case after titles. Once found, a person's given name and surname are replaced wherever the text has
+them, also in upper case. Only a title is a sure cue: a word that was found by others isn't a name if as many documents have it in lower case, as a word, as have it as such a
+name (`common_words`, two passes that combine in tasks). Names without any of these cues aren't found. Phone numbers are one entity with and without the
+country code, if ten digits follow it; those of seven digits need a word like `call` in front.
 
 The key alone decides a surrogate, so an entity has the same one in every document (coreference). Collisions are checked over
 the corpus and over all kinds: a surrogate that another entity has drawn, or that is itself an entity of the corpus, is drawn anew, with
-the attempt as part of the key, until none is left. Only the attempts of such redrawn entities, and genders that the list doesn't tell, have
+the attempt as part of the key, until none is left; a mail address that keeps colliding gets a longer name, as all of its shape may be taken. Only the attempts of such redrawn entities, and genders that the list doesn't tell, have
 to travel; they go with the function while there are at most `most_exceptions`, else they are joined to the texts that hold them.
 
 Defined results: text without an entity is returned as it is. A null text stays null, with 0 entities; repeated rows get equal results;
@@ -28,6 +30,7 @@ are returned as they are, but for one that has the name of the count, which is r
 from __future__ import annotations
 
 import hmac
+import ipaddress
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,15 +42,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.functions.names import unused
 from factloom.llm.common import cut, join_hot
 
-KINDS = ("email", "phone", "ipv4", "card", "ssn", "iban", "given", "surname")
+KINDS = ("email", "phone", "ipv4", "ipv6", "card", "ssn", "iban", "given", "surname")
 
 
 @dataclass(frozen=True)
 class Surrogates:
     key: bytes = b"replace this key in production"
     most_exceptions: int = 50_000
+    most_common: int = 500_000  # words that weak cues found and that aren't names; they travel with the functions
     rounds: int = 30
     names: tuple = ()  # more given names, as (name, f, m or n)
 
@@ -62,9 +67,10 @@ _NUMBER = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)"
     r"|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}(?!\w)|(?<![\w+])\+[0-9]{8,15}(?!\w)"
     r"|(?<![\w.+-])0[0-9](?:[ .-][0-9]{2}){4}(?![ .-]?[0-9])(?!\w)|(?<![\w.+-])0[0-9]{2,4}[ /-][0-9]{5,8}(?![ .-]?[0-9])(?!\w)"
-    r"|(?:(?<=[Pp]hone )|(?<=[Pp]hone: )|(?<=[Tt]el )|(?<=[Tt]el: )|(?<=[Tt]el\. )|(?<=[Cc]all )|(?<=[Mm]obile )|(?<=[Mm]obile: )|(?<=[Ff]ax )|(?<=[Ff]ax: ))[0-9]{8,12}(?!\w))"
+    r"|(?:(?<=[Pp]hone )|(?<=[Pp]hone: )|(?<=[Tt]el )|(?<=[Tt]el: )|(?<=[Tt]el\. )|(?<=[Cc]all )|(?<=[Mm]obile )|(?<=[Mm]obile: )|(?<=[Ff]ax )|(?<=[Ff]ax: ))(?:[0-9]{8,12}|[0-9]{3}[ .-][0-9]{4})(?!\w))"
     r"|(?P<card>(?<![\w.])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w))"
 )
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _IBAN_HINT = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}")
 #: Titles by the gender that they tell: f, m or n (not told).
@@ -75,12 +81,12 @@ TITLES = {
 }
 #: Titles that follow a Han name.
 HAN_TITLES = {"先生": "m", "女士": "f", "小姐": "f"}
-INTRODUCTIONS = (
-    "my name is", "je m'appelle", "ich heiße", "mein Name ist", "me llamo", "mi nombre es", "меня зовут", "με λένε", "Contact:", "Name:",
-    "Patient:", "Author:", "Customer:", "Employee:", "Signed:", "Signed by", "Sincerely,", "Kind regards,", "Best regards,",
-)
+#: What a name follows: in a sentence; as a label, in its line; as a closing, in its line or the next one.
+PHRASES = ("my name is", "je m'appelle", "ich heiße", "mein Name ist", "me llamo", "mi nombre es", "меня зовут", "με λένε")
+LABELS = ("Contact:", "Name:", "Patient:", "Author:", "Customer:", "Employee:", "Signed:", "Signed by")
+CLOSINGS = ("Sincerely,", "Kind regards,", "Best regards,")
 HAN_INTRODUCTIONS = ("我叫", "我的名字是")
-_INTRODUCTIONS_LOW = tuple(t.lower() for t in INTRODUCTIONS)
+_INTRODUCTIONS_LOW = tuple(t.lower() for t in (*PHRASES, *LABELS, *CLOSINGS))
 #: Given names whose gender is told by themselves.
 GIVEN = {
     "f": "Anna Maria Mary Patricia Jennifer Linda Elizabeth Susan Jessica Sarah Karen Emma Sophie Marie Claire Camille Laura Lucía Carmen Julia Lena Monika Priya Fatima Aisha Анна Мария Елена Ольга Μαρία Ελένη".split(),
@@ -94,16 +100,21 @@ _ONE = rf"(?:[{_UP}]['’])?[{_UP}][{_LOW}]+(?:[-'’][{_UP}][{_LOW}]+)*"
 _PART = rf"(?:{_ONE}|(?:[{_UP}]['’])?[{_UP}]{{2,}}(?:[-'’][{_UP}]{{2,}})*)"
 _ALL_TITLES = {**TITLES, **{t.upper(): g for t, g in TITLES.items()}}
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(_ALL_TITLES, key=len, reverse=True))})\.? ({_PART})(?: ({_PART}))?(?!\w)")
-_INTRODUCED = re.compile(rf"(?<!\w)(?i:{'|'.join(map(re.escape, INTRODUCTIONS))})\s({_ONE})(?: ({_ONE}))?(?!\w)")
+_ANY = lambda words: "|".join(map(re.escape, words))
+_INTRODUCED = re.compile(
+    rf"(?<!\w)(?:(?i:{_ANY(PHRASES)})[ \t]+({_ONE})(?: ({_ONE}))?(?!\w)"
+    rf"|(?:(?i:{_ANY(LABELS)})[ \t]+|(?i:{_ANY(CLOSINGS)})[ \t]*\r?\n?[ \t]*)({_ONE})(?: ({_ONE}))?(?=[ \t]*(?:[\r\n,;(|<]|\Z)))"
+)
+_LOW_WORD = re.compile(rf"(?<!\w)[{_LOW}]+(?:[-'’][{_LOW}]+)*(?!\w)")
 _HAN = re.compile(rf"(?:(?:{'|'.join(HAN_INTRODUCTIONS)})([{HAN_SURNAMES}])([一-龥]{{1,2}})(?![一-龥])|([{HAN_SURNAMES}])([一-龥]{{0,2}}?)({'|'.join(HAN_TITLES)}))")
 
 
 @lru_cache(maxsize=8)
 def _listed(names: tuple) -> tuple[dict, tuple, re.Pattern]:
-    """Genders by lower-case name, the names, and the pattern of a listed given name before another name."""
+    """Genders by lower-case name, the names, and the pattern of a listed given name, alone or before another name."""
     all_names = [(n, g) for g, own in GIVEN.items() for n in own] + list(names)
     shown = sorted({n for n, _ in all_names}, key=lambda n: (-len(n), n))
-    return {n.lower(): g for n, g in all_names}, tuple(shown), re.compile(rf"(?<!\w)({'|'.join(map(re.escape, shown))}) ({_ONE})(?!\w)")
+    return {n.lower(): g for n, g in all_names}, tuple(shown), re.compile(rf"(?<!\w)({'|'.join(map(re.escape, shown))})(?: ({_ONE}))?(?!\w)")
 
 
 def _script(name: str) -> str:
@@ -127,8 +138,8 @@ def _phone(shown: str) -> str:
     return digits[-10:] if shown[0] == "+" and 11 <= len(digits) <= 13 else ("+" if shown[0] == "+" else "") + digits
 
 
-def detect(text: str, names: tuple = ()) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, kind, canonical, gender) without overlaps, by start. gender: what is told of a given name here."""
+def detect(text: str, names: tuple = (), common: frozenset = frozenset()) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, kind, canonical, gender) without overlaps, by start. gender: what is told of a given name here. common: words that aren't names unless a title tells so."""
     found: list[tuple[int, int, str, str, str]] = []
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0].lower(), "n") for m in _EMAIL.finditer(text)]
@@ -139,15 +150,22 @@ def detect(text: str, names: tuple = ()) -> list[tuple[int, int, str, str, str]]
                 continue
             if kind == "card" and (_luhn(re.sub("[ -]", "", s)) or len(set(s)) < 3):
                 continue
-            if kind == "phone" and not 8 <= sum(c.isdigit() for c in s) <= 15:
+            if kind == "phone" and not 7 <= sum(c.isdigit() for c in s) <= 15:
                 continue
             found.append((m.start(), m.end(), kind, s if kind == "ipv4" else _phone(s) if kind == "phone" else re.sub("[^0-9]", "", s), "n"))
+    if text.count(":") > 1:
+        for m in _IPV6.finditer(text):
+            try:
+                if sum(c.isalnum() for c in m[0]) > 3:
+                    found.append((m.start(), m.end(), "ipv6", ipaddress.IPv6Address(m[0]).exploded, "n"))
+            except ValueError:
+                continue
     if _IBAN_HINT.search(text):
         for m in _IBAN.finditer(text):
             plain = m[0].replace(" ", "")
             if 15 <= len(plain) <= 34 and _mod97(plain) == 1:
                 found.append((m.start(), m.end(), "iban", plain, "n"))
-    found += _people(text, names)
+    found += _people(text, names, common)
     found.sort(key=lambda x: (x[0], -x[1], x[2]))
     out, end = [], -1
     for x in found:
@@ -157,26 +175,37 @@ def detect(text: str, names: tuple = ()) -> list[tuple[int, int, str, str, str]]
     return out
 
 
-def _people(text: str, names: tuple) -> list[tuple[int, int, str, str, str]]:
+def _weak(text: str, names: tuple) -> list[tuple[re.Match, int, str]]:
+    """Finds of persons by cues other than titles: (match, group of the given name, gender)."""
     genders, shown, known = _listed(names)
+    found: list[tuple[re.Match, int, str]] = []
+    low = text.lower()
+    if any(t in low for t in _INTRODUCTIONS_LOW):
+        found += [(m, 1 if m[1] else 3, "n") for m in _INTRODUCED.finditer(text)]
+    if any(t in text for t in shown):
+        found += [(m, 1, genders[m[1].lower()]) for m in known.finditer(text)]
+    return found
+
+
+def _people(text: str, names: tuple, common: frozenset) -> list[tuple[int, int, str, str, str]]:
     people: list[tuple[int, int, str, str, str]] = []
     if any(t in text for t in _ALL_TITLES):
         for m in _TITLED.finditer(text):
             people += _person(m, 2, _ALL_TITLES[m[1]], m[3] is None)
-    low = text.lower()
-    if any(t in low for t in _INTRODUCTIONS_LOW):
-        for m in _INTRODUCED.finditer(text):
-            people += _person(m, 1, "n", False)
-    if any(t in text for t in shown):
-        for m in known.finditer(text):
-            people += _person(m, 1, genders[m[1].lower()], False)
+    for m, at, gender in _weak(text, names):
+        person = _person(m, at, gender, False)
+        if person[0][3] not in common:
+            people += [p for p in person if p[3] not in common]
     han = _han(text) if any(t in text for t in (*HAN_TITLES, *HAN_INTRODUCTIONS)) else []
     if people:
-        # Later mentions of a person by either name alone refer to the same person.
+        # Later mentions of a person by either name alone, also in upper case, refer to the same person.
         later = sorted({(text[a:b], kind, canonical) for a, b, kind, canonical, _ in people}, key=lambda x: (x[0], x[1] != "surname"))
         by_name = {}
         for name, kind, canonical in later:
             by_name.setdefault(name, (kind, canonical))
+        for name, kind, canonical in later:
+            if len(name) > 1:
+                by_name.setdefault(name.upper(), (kind, canonical))
         pattern = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(by_name, key=len, reverse=True)))})(?!\w)")
         at = {p[0] for p in people}
         people += [(m.start(), m.end(), *by_name[m[0]], "n") for m in pattern.finditer(text) if m.start() not in at]
@@ -292,12 +321,15 @@ def surrogate(kind: str, canonical: str, gender: str, key: bytes, attempt: int =
         return _name(kind, canonical, gender, key, attempt)
     if kind == "email":
         local, domain = canonical.rsplit("@", 1)
+        local += "a" * max(0, (attempt - 4) // 2)  # a larger space, for a shape of which all may be taken
         labels = domain.split(".")
         return reshape(f"{local}@{'.'.join(labels[:-1])}", key, f"{label}.{labels[-1]}") + "." + labels[-1]
     if kind == "ipv4":
         a, b, c, d = map(int, canonical.split("."))
         x = permute((a << 24) + (b << 16) + (c << 8) + d, 1 << 32, key, label)
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(permute(int(ipaddress.IPv6Address(canonical)), 1 << 128, key, label)).exploded
     if kind == "phone":
         code = re.match(r"\+[0-9]{1,3}(?=[0-9]{10}$)|\+[0-9]{1,2}|0|", canonical)[0]
         return code + reshape(canonical[len(code) :], key, label + code)
@@ -314,6 +346,9 @@ def formatted(shown: str, kind: str, new: str) -> str:
     """A canonical surrogate in the format in which the entity was written."""
     if kind == "ipv4":
         return new
+    if kind == "ipv6":
+        new = new if len(shown) == 39 else str(ipaddress.IPv6Address(new))
+        return new.upper() if shown.isupper() else new
     if kind in ("given", "surname"):
         return new.upper() if shown.isupper() else new
     if kind == "email":  # of the same length: take the case of each letter
@@ -334,9 +369,9 @@ def default_gender(kind: str, canonical: str, names: tuple) -> str:
     return _listed(names)[0].get(canonical, "n") if kind == "given" else "n"
 
 
-def replace(text: str, conf: Surrogates, exceptions: dict) -> tuple[str, int]:
+def replace(text: str, conf: Surrogates, exceptions: dict, common: frozenset = frozenset()) -> tuple[str, int]:
     """exceptions: (kind, canonical) -> (gender, attempt) of entities that aren't drawn as the first attempt by the list's gender."""
-    found = detect(text, conf.names)
+    found = detect(text, conf.names, common)
     if not found:
         return text, 0
     out, at = [], 0
@@ -350,13 +385,49 @@ def replace(text: str, conf: Surrogates, exceptions: dict) -> tuple[str, int]:
 # ---------------------------------------------------------------- frames
 
 
-def entities(docs: DataFrame, conf: Surrogates | None = None, text: str = "text") -> DataFrame:
+def _counted(docs: DataFrame, words_of) -> DataFrame:
+    """word, n: in how many documents words_of(text) has the word. Tasks count in tables that are written out when full."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for b in batches:
+            for t in b.column(0):
+                if t.is_valid:
+                    held.update(words_of(t.as_py()))
+            if len(held) > 300_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+                held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+    return docs.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def common_words(docs: DataFrame, conf: Surrogates | None = None, text: str = "text") -> frozenset:
+    """Words that cues other than titles take for names, but that as many documents have in lower case, as ordinary words."""
+    conf = conf or Surrogates()
+    texts = docs.select(text)
+    found = cut(_counted(texts, lambda t: {p[3] for m, at, g in _weak(t, conf.names) for p in _person(m, at, g, False)}))
+    n = found.count()
+    if not n:
+        return frozenset()
+    if n <= conf.most_exceptions:
+        asked = frozenset(r.word for r in found.select("word").collect())
+        low = _counted(texts, lambda t: asked.intersection(_LOW_WORD.findall(t)))
+    else:
+        low = _counted(texts, lambda t: set(_LOW_WORD.findall(t)))
+    told = found.join(low.withColumnRenamed("n", "low"), "word").where("low >= n").select("word").limit(conf.most_common + 1).collect()
+    if len(told) > conf.most_common:
+        raise ValueError(f"more than {conf.most_common} words that cues take for names aren't names")
+    return frozenset(r.word for r in told)
+
+
+def entities(docs: DataFrame, conf: Surrogates | None = None, text: str = "text", common: frozenset = frozenset()) -> DataFrame:
     """The corpus's distinct (kind, canonical), with the gender that most titles tell, else the list's, and whether that differs."""
     names = (conf or Surrogates()).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen = Counter(x[2:] for t in b.column(0) if t.is_valid for x in detect(t.as_py(), names))
+            seen = Counter(x[2:] for t in b.column(0) if t.is_valid for x in detect(t.as_py(), names, common))
             own = sorted(seen)
             votes = [[seen[x] if x[2] == g else 0 for x in own] for g in "fm"]
             listed = [default_gender(x[0], x[1], names) for x in own]
@@ -400,13 +471,14 @@ def pseudonymise(docs: DataFrame, conf: Surrogates | None = None, text: str = "t
     """`docs` with the text replaced, and the number of entities in `count`."""
     conf = conf or Surrogates()
     docs = docs.drop(count)
-    redrawn = cut(collisions(cut(entities(docs, conf, text)), conf))
+    common = common_words(docs, conf, text)
+    redrawn = cut(collisions(cut(entities(docs, conf, text, common)), conf))
     kept = docs.columns
     names = [*kept, count]
     schema = T.StructType([*docs.schema.fields, T.StructField(count, T.IntegerType())])
 
     def told(b: pa.RecordBatch, exceptions) -> pa.RecordBatch:
-        new = [(None, 0) if t is None else replace(t, conf, e) for t, e in zip(b.column(text).to_pylist(), exceptions)]
+        new = [(None, 0) if t is None else replace(t, conf, e, common) for t, e in zip(b.column(text).to_pylist(), exceptions)]
         columns = [pa.array([n[0] for n in new], pa.string()) if c == text else b.column(c) for c in kept]
         return pa.RecordBatch.from_arrays([*columns, pa.array([n[1] for n in new], pa.int32())], names=names)
 
@@ -420,22 +492,24 @@ def pseudonymise(docs: DataFrame, conf: Surrogates | None = None, text: str = "t
         return docs.mapInArrow(run, schema)
 
     # Too many to travel with the function: each text gets its own. Texts are told apart by their digest.
+    sha, mine, n = unused(docs.columns, "sha", "own", "n")
+
     def per_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = sorted({(s, *x[2:4]) for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t is not None for x in detect(t, conf.names)})
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for k in range(3)], names=["__sha", "kind", "canonical"])
+            rows = sorted({(s, *x[2:4]) for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t is not None for x in detect(t, conf.names, common)})
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for k in range(3)], names=[sha, "kind", "canonical"])
 
-    keyed = docs.withColumn("__sha", F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit("")))
-    held = keyed.select("__sha", text).mapInArrow(per_text, "__sha string, kind string, canonical string").distinct()
-    own = held.join(redrawn, ["kind", "canonical"]).groupBy("__sha").agg(F.collect_list(F.struct("kind", "canonical", "gender", "attempt")).alias("__own"))
-    sizes = keyed.groupBy("__sha").agg(F.count("*").alias("__n"))
-    own = cut(sizes.join(own, "__sha", "left"))
+    keyed = docs.withColumn(sha, F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit("")))
+    held = keyed.select(sha, text).mapInArrow(per_text, f"{sha} string, kind string, canonical string").distinct()
+    own = held.join(redrawn, ["kind", "canonical"]).groupBy(sha).agg(F.collect_list(F.struct("kind", "canonical", "gender", "attempt")).alias(mine))
+    sizes = keyed.groupBy(sha).agg(F.count("*").alias(n))
+    own = cut(sizes.join(own, sha, "left"))
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield told(b, [{(x["kind"], x["canonical"]): (x["gender"], x["attempt"]) for x in own or ()} for own in b.column("__own").to_pylist()])
+            yield told(b, [{(x["kind"], x["canonical"]): (x["gender"], x["attempt"]) for x in own or ()} for own in b.column(mine).to_pylist()])
 
-    return join_hot(keyed, own, "__sha", "__n").select(*docs.columns, "__own").mapInArrow(run_joined, schema)
+    return join_hot(keyed, own, sha, n).select(*docs.columns, mine).mapInArrow(run_joined, schema)
 
 
 def pseudonymised_documents(docs: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.names import unused
 from factloom.llm.common import cut, join_hot, partitions
 
 BITS = 64
@@ -322,12 +323,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component stays: one with its smallest doc_id (rows without an id are last)."""
+    id_name, mark = keys = unused(docs.columns, "id", "mark")
     last = F.lit((1 << 63) - 1)
     found = with_components(cut(fingerprints(docs)))
     keep = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "mark")).alias("k"))
-    keep = keep.select(F.col("k.id").alias("__id"), F.col("k.mark").alias("__mark")).distinct()
-    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), last), "__mark": F.xxhash64("text")})
+    keep = keep.select(F.col("k.id").alias(id_name), F.col("k.mark").alias(mark)).distinct()
+    rows = docs.withColumns({id_name: F.coalesce(F.col("doc_id").cast("bigint"), last), mark: F.xxhash64("text")})
     # Repeated rows meet in every task before they are shuffled.
     order = F.struct(F.col("text").isNull().alias("none"), "text")
-    one = rows.groupBy("__id", "__mark").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
-    return one.join(keep, ["__id", "__mark"], "left_semi").select("row.*")
+    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return one.join(keep, keys, "left_semi").select("row.*")

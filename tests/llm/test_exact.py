@@ -67,3 +67,9 @@ def test_clashing_columns_stay(spark):
 
 def test_half_of_the_ids_null(spark):
     check(spark, [(i if i % 2 else None, ("copy", f"t{i % 40}")[i % 3 > 0]) for i in range(2000)], 12)
+
+
+def test_helper_names_of_the_caller(spark):
+    rows = [(1, "a b", "U1", "L1", "S1"), (2, "ab", "U2", "L2", "S2"), (3, "c", "U3", "L3", "S3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string, __LEN string, __sha string")
+    assert sorted(map(tuple, drop_copies(df).collect())) == [rows[0], rows[2]]

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -58,13 +60,24 @@ def test_marginals_meet_targets():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1000, (6, 4, 3)).astype(float)
     goals = [rng.random(6), rng.random(4), rng.random(3)]
-    y = rake(x, goals)
+    codes = [c.ravel() for c in np.indices(x.shape)]
+    y = rake(codes, x.ravel(), goals).reshape(x.shape)
     for axis, g in enumerate(goals):
         s = y.sum(axis=tuple(k for k in range(3) if k != axis))
         assert np.allclose(s / s.sum(), g / g.sum(), atol=1e-6)
     assert (y[x == 0] == 0).all() and abs(y.sum() - x.sum()) < 1e-3
 
 
+def test_many_categories_in_little_memory():
+    """Cells are kept as a list: categories of all factors would make a cube of 10^14 numbers."""
+    cells = [(f"s{i}", f"l{i % 40_000}", f"t{i % 50_000}", 1 + i % 9) for i in range(50_000)]
+    tracemalloc.start()
+    told, _ = calibrate(cells, Mix(rounds=5))
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert len(told) == 50_000 and all(0 <= c[3] <= 1 for c in told)
+
+
 def test_given_shares_and_absent_categories():
     cells = [("a", "en", "prose", 900), ("b", "en", "prose", 100), ("b", "fr", "prose", 50)]
     told, left = calibrate(cells, Mix(targets={"source": {"a": 1, "b": 1, "gone": 2}, "lang": 1.0, "topic": 1.0}, keep=0.1))
@@ -126,3 +139,16 @@ def test_edges(spark):
     assert len(got) == 5 and {(r.source, r.n_tokens, r.selected) for r in got if r.doc_id == 1} == {("(none)", 0, True)}
     assert keep_mixed(df).columns == df.columns
     assert mix_documents(df.limit(0)).collect() == [] and keep_mixed(df.limit(0)).collect() == []
+
+
+def test_clashing_names_and_long_texts(spark):
+    """Columns named like every helper keep their own values, with few cells and with cells as a table."""
+    names = ["__draw", "__probability", "__cell", "__rows", "__n", "rows", "tokens", "cell", "n"]
+    rows = [(i, "wort " * (300_000 if i == 7 else 9), "de", f"s{i % 3}", *[f"{c}{i}" for c in names]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names))
+    for mix in (Mix(keep=0.9), Mix(keep=0.9, driver_cells=0, rounds=2)):
+        got = keep_mixed(df, mix)
+        assert got.columns == df.columns
+        kept = got.collect()
+        assert kept and all(r[c] == f"{c}{r.doc_id}" for r in kept for c in names)
+        assert sorted(r.doc_id for r in kept) == sorted(r.doc_id for r in mix_documents(df, mix).collect() if r.selected)

@@ -1,5 +1,6 @@
 """Surrogates: detection, type and format, distinctness, coreference, and untouched clean texts."""
 
+import ipaddress
 import re
 
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ def test_people_gender_script_and_coreference():
     t = "Mr Smith and Mrs. Anna Smith met John Smith. SMITH? Smith left; г-жа Иванова, my name is Peter Müller"
     new, n = replace(t, CONF, {})
     assert "Smith" not in new and "Anna" not in new and "Müller" not in new and "Иванова" not in new
-    surname = re.search(r"Mr (\w+) and Mrs\. (\w+) (\w+) met (\w+) (\w+)\. SMITH\? (\w+) left; г-жа ([А-я]+), my name is (\w+) (\w+)$", new).groups()
-    assert surname[0] == surname[2] == surname[4] == surname[5]
+    surname = re.search(r"Mr (\w+) and Mrs\. (\w+) (\w+) met (\w+) (\w+)\. ([A-Z]+)\? (\w+) left; г-жа ([А-я]+), my name is (\w+) (\w+)$", new).groups()
+    assert surname[0] == surname[2] == surname[4] == surname[6] and surname[5] == surname[0].upper()
     assert surname[1].endswith(("na", "lia", "ra", "tine")) and surname[3].endswith(("ton", "rick", "las", "ner"))
 
 
@@ -154,3 +155,50 @@ def test_whole_query_by_brute_force(spark, sf_dir):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert {r.doc_id: r.text for r in pseudonymised_documents(df).collect()} == want
     assert max(attempt.values()) > 0
+
+
+def test_ordinary_words_are_no_people():
+    for clean in (
+        "Contact: The office is closed. The house is big.", "Name:\nAddress of the firm. Address again.", "Customer: Open Ticket. Please Open the door.",
+        "at 12:30:45 and a::b", "pages 555-7713",
+    ):
+        assert detect(clean) == [], clean
+
+
+def test_more_cues():
+    assert kinds("Dear John") == [("John", "given")] and kinds("I met Priya yesterday") == [("Priya", "given")]
+    assert kinds("Mr Smith came. SMITH said") == [("Smith", "surname"), ("SMITH", "surname")]
+    assert kinds("call 555-7713 now") == [("555-7713", "phone")]
+    assert kinds("Sincerely,\nOda Holm\n") == [("Oda", "given"), ("Holm", "surname")] == kinds("Contact: x\nName: Oda Holm")[:2]
+    t = "at 2001:DB8::FF00:42:8329 and 2001:0db8:0000:0000:0000:ff00:0042:8329 or fe80::1"
+    new, n = replace(t, CONF, {})
+    a, b, c = re.fullmatch(r"at (\S+) and (\S+) or (\S+)", new).groups()
+    assert n == 3 and [k for _, k in kinds(new)] == ["ipv6"] * 3
+    assert ipaddress.ip_address(a) == ipaddress.ip_address(b) != ipaddress.ip_address(c) and a.isupper() and len(b) == 39
+
+
+def test_common_words_of_the_corpus(spark):
+    """A label's word is a name only while fewer documents have it as an ordinary word; a title makes it one in any case."""
+    rows = ["Name: Open", "Name: Will Graham", "the door was open", "open it", "Name: Oda", "Mr Open came"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string").repartition(3)
+    for conf in (Surrogates(), Surrogates(most_exceptions=0)):
+        assert pii.common_words(df, conf) == {"open"}
+        new = {r.doc_id: r.text for r in pseudonymise(df, conf).collect()}
+        assert [new[0], new[2], new[3]] == [rows[0], rows[2], rows[3]]
+        assert "Will" not in new[1] and "Graham" not in new[1] and "Oda" not in new[4] and "Open" not in new[5]
+
+
+def test_a_shape_that_is_used_up(spark):
+    """All 676 addresses of a shape: none of them is free as a surrogate."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    df = spark.createDataFrame([(i, f"{a}@{b}.io") for i, (a, b) in enumerate((a, b) for a in letters for b in letters)], "doc_id int, text string").repartition(3)
+    new = [r.text for r in pseudonymise(df).collect()]
+    assert len(set(new)) == 676 and not set(new) & {r.text for r in df.collect()}
+
+
+def test_helper_names_on_the_joined_path(spark):
+    rows = [(i, f"mail a{i}.b@c.org", f"O{i}", f"S{i}", f"N{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, __own string, __sha string, __n string")
+    got = pseudonymise(df, Surrogates(most_exceptions=0))
+    assert got.columns == [*df.columns, "n_entities"]
+    assert all((r["__own"], r["__sha"], r["__n"]) == (f"O{r.doc_id}", f"S{r.doc_id}", f"N{r.doc_id}") and r.text != rows[r.doc_id][1] for r in got.collect())

@@ -119,3 +119,10 @@ def test_pipeline_stage_keeps_one_of_each(spark):
     got = simhash.drop_near_copies(df)
     assert got.columns == df.columns
     assert sorted((r.doc_id for r in got.collect()), key=str) == [3, 9, None]
+
+
+def test_helper_names_of_the_caller_and_long_texts(spark):
+    long = "one two three four five six seven eight nine ten " * 30_000
+    rows = [(1, "a b c d e f", "U1", "M1"), (2, "a b c d e f", "U2", "M2"), (3, long, "U3", "M3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string, __mark string")
+    assert sorted(map(tuple, simhash.drop_near_copies(df).collect())) == [rows[0], rows[2]]
