@@ -64,8 +64,19 @@ def all_pairs(decompositions: DataFrame, facts: Column, sentences: Column, uid:
     return out.select(compose(uid, "index", "entailment_type").alias("custom_id"), F.col(uid), *carry, "index", "entailment_type", hypothesis(F.col("hypothesis")).alias("hypothesis"))
 
 
+def filled_pairs(decompositions: DataFrame, facts: Column, sentences: Column, template: str, note: str = "note_text", decomposition: str = "fact_decomp", uid: str = "uid", carry: list[str] | None = None) -> DataFrame:
+    """Both kinds of pairs with their premise and the judge's filled template, where a row has the note and its decomposition: one scan, and no text moves."""
+    carry = carry or []
+    kind = lambda name, premise, items: F.struct(F.lit(name).alias("kind"), F.col(premise).alias("premise"), items.alias("items"))
+    lists = decompositions.select(uid, *carry, F.explode(F.array(kind("precision", note, facts), kind("recall", decomposition, sentences))).alias("list"))
+    apart = lists.select(uid, *carry, F.col("list.kind").alias("entailment_type"), F.col("list.premise").alias("premise"), F.col("list.items").alias("items"))
+    out = apart.select(uid, *carry, "entailment_type", "premise", F.posexplode("items").alias("index", "hypothesis"))
+    out = out.select(compose(uid, "index", "entailment_type").alias("custom_id"), F.col(uid), *carry, "index", "entailment_type", hypothesis(F.col("hypothesis")).alias("hypothesis"), "premise")
+    return out.withColumn("prompt", fill_template(template, premise=F.col("premise"), hypothesis=F.col("hypothesis")))
+
+
 def with_premises(pairs: DataFrame, notes: DataFrame, decompositions: DataFrame, template: str, uid: str = "uid") -> DataFrame:
-    """Fill the judge's template, last: precision pairs get the note, recall pairs the decomposition."""
+    """Fill the judge's template for pairs that came without texts: precision pairs get the note, recall pairs the decomposition."""
     texts = decompositions.join(notes.select("doc_id", "note_text"), "doc_id").select(uid, "note_text", "fact_decomp")
     premise = F.when(F.col("entailment_type") == "precision", F.col("note_text")).otherwise(F.col("fact_decomp"))
     joined = pairs.join(texts, uid).withColumn("premise", premise)

@@ -7,8 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.names import unused
+from factloom.operators.bloom import bloom_filter, filter_bits, may_be_in
+
 #: A side may be broadcast below this many rows of narrow keys; above it, the join shuffles.
 MOST_BROADCAST_ROWS = 1_000_000
+MOST_BROADCAST_BYTES = 64 << 20
 MOST_TEMPLATES = 1_000
 MOST_TEMPLATE_BYTES = 32 << 20
 
@@ -27,14 +31,26 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def _small(df: DataFrame) -> bool:
-    return df.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
+    """Whether a narrow side may be broadcast: by rows and by bytes, of which no more than the bound are looked at."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    n, size = df.limit(MOST_BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(width.cast("bigint"))).first()
+    return n <= MOST_BROADCAST_ROWS and (size or 0) <= MOST_BROADCAST_BYTES
 
 
 def semi_join_by_hash(df: DataFrame, text: str, hashes: DataFrame, hash_column: str) -> DataFrame:
-    """Rows whose text's MD5 is in a key set; the set is broadcast when its checked size allows it."""
-    keys = hashes.select(F.col(hash_column).alias("__h")).distinct()
-    keys = F.broadcast(keys) if _small(keys) else keys
-    return df.join(keys, F.md5(df[text].cast("binary")) == keys["__h"], "left_semi")
+    """Rows whose text's MD5 is in a key set.
+
+    A set within the bounds is broadcast. Beyond them, a Bloom filter of the set is asked in the scan, and only rows that pass it are shuffled to the exact join.
+    """
+    own, other = unused(df.columns, "h", "key")
+    keys = hashes.select(F.col(hash_column).cast("string").alias(other)).where(F.col(other).isNotNull()).distinct()
+    digest = F.md5(F.col(text).cast("binary"))
+    if _small(keys):
+        return df.join(F.broadcast(keys), digest == F.col(other), "left_semi")
+    bits = filter_bits(keys.count())
+    passed = df.withColumn(own, digest)
+    passed = passed.where(may_be_in(F.col(own), bloom_filter(keys, other, bits), bits))
+    return passed.join(keys, F.col(own) == F.col(other), "left_semi").drop(own)
 
 
 def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:

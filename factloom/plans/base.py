@@ -6,6 +6,8 @@ documents, by the same rule on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +23,12 @@ from factloom.operators import metrics as mt
 from factloom.operators import pairs as pr
 from factloom.operators import relational as rel
 from factloom.operators import sampling as sm
+from factloom.operators.bloom import bloom_filter, filter_bits, may_be_in
 from factloom.operators.numbering import number_rows
 from factloom.operators.packing import dynamic_batches as dynamic_batches_of
 from factloom.plans.catalog import register, table
 from factloom.sources.readers import path_metadata
+from factloom.streaming.resume import completions, resume
 
 _WS = r"[ \t\n\r\f]"
 _STRIP = rf"regexp_replace({{}}, '^{_WS}+|{_WS}+$', '', 'g')"
@@ -210,9 +214,9 @@ def facts_split_plain(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", f.alias("f")).select("doc_id", F.size("f").cast("bigint").alias("n_facts"), hash_text(F.array_join("f", "##")).alias("facts_hash"))
 
 
-def _decompositions(spark, sf_dir) -> DataFrame:
+def _decompositions(spark, sf_dir, *more) -> DataFrame:
     d = _docs(spark, sf_dir)
-    return d.select(compose("doc_id", "lang", "source", F.lit("PROMPT1")).alias("uid"), "doc_id", "lang", "source", F.split(F.replace(F.col("text"), F.lit(". "), F.lit("//")), "//", -1).alias("facts"), F.split("text", "\n").alias("sentences"))
+    return d.select(compose("doc_id", "lang", "source", F.lit("PROMPT1")).alias("uid"), "doc_id", "lang", "source", *more, F.split(F.replace(F.col("text"), F.lit(". "), F.lit("//")), "//", -1).alias("facts"), F.split("text", "\n").alias("sentences"))
 
 
 _UID_SQL = "doc_id || '|' || lang || '|' || source || '|PROMPT1'"
@@ -253,10 +257,8 @@ def all_pairs(spark, sf_dir):
 @register("pairs_with_premises", f"""SELECT p.custom_id, md5('Premise: ' || CASE p.entailment_type WHEN 'precision' THEN d.text ELSE replace(d.text, '. ', '//') END
     || chr(10) || 'Hypothesis: ' || p.hypothesis) AS prompt_hash FROM ({_ALL_PAIRS_SQL}) p JOIN documents d USING (doc_id)""")
 def pairs_with_premises(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    decomp = d.select(compose("doc_id", "lang", "source", F.lit("PROMPT1")).alias("uid"), "doc_id", F.replace(F.col("text"), F.lit(". "), F.lit("//")).alias("fact_decomp"))
-    pairs = pr.all_pairs(_decompositions(spark, sf_dir), F.col("facts"), F.col("sentences"))
-    told = pr.with_premises(pairs, d.select("doc_id", F.col("text").alias("note_text")), decomp, "Premise: {premise}\nHypothesis: {hypothesis}")
+    d = _decompositions(spark, sf_dir, F.col("text").alias("note_text"), F.replace(F.col("text"), F.lit(". "), F.lit("//")).alias("fact_decomp"))
+    told = pr.filled_pairs(d, F.col("facts"), F.col("sentences"), "Premise: {premise}\nHypothesis: {hypothesis}")
     return told.select("custom_id", hash_text(F.col("prompt")).alias("prompt_hash"))
 
 
@@ -480,6 +482,29 @@ def hash_semi_join(spark, sf_dir):
     return rel.semi_join_by_hash(d, "text", d.where("source = 'src2'").select(hash_text(F.col("text")).alias("h")), "h").select("doc_id", "lang")
 
 
+@register("bloom_semi_join", "SELECT doc_id, lang FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE source = 'src2')")
+def bloom_semi_join(spark, sf_dir):
+    """hash_semi_join as it runs beyond the bound of a broadcast."""
+    d = _docs(spark, sf_dir).withColumn("h", hash_text(F.col("text")))
+    keys = d.where("source = 'src2'").select(F.col("h").alias("key")).distinct()
+    bits = filter_bits(keys.count())
+    passed = d.where(may_be_in(F.col("h"), bloom_filter(keys, "key", bits), bits))
+    return passed.join(keys, F.col("h") == F.col("key"), "left_semi").select("doc_id", "lang")
+
+
+@register("resumed_stream", f"SELECT doc_id, {_judge_sql('text')} AS response FROM documents WHERE doc_id IS NOT NULL")
+def resumed_stream(spark, sf_dir):
+    """All documents as a stream of prompts, completed in two runs, of which the second one finds nothing left to do."""
+    from factloom.operators.numbering import shared_folder
+
+    d, folder = _docs(spark, sf_dir), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = "doc_id bigint, response string"
+    for run in ("first", "second"):
+        prompts = spark.readStream.schema(d.schema).parquet(f"{sf_dir}/documents.parque[t]").select("doc_id", "text")
+        resume(prompts, lambda rows: rows.select("doc_id", _judge(F.col("text")).alias("response")), f"{folder}/done", f"{folder}/{run}", schema, "doc_id").awaitTermination()
+    return completions(spark, f"{folder}/done", schema)
+
+
 @register("resume_anti_join", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_anti_join(spark, sf_dir):
     return rel.not_done(_docs(spark, sf_dir).select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
