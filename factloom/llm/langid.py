@@ -12,8 +12,9 @@ and its neighbours exceed, given `slack` of room. A text beyond its limit is rej
 
 The model is fitted on a bounded sample, which is a parameter: at most `per_language` labelled texts of each label,
 those with the smallest hashes of their ids among a thinned draw by hash, out of the rows that may be learned from. Every label is
-learned. The sample becomes counts of at most DIMENSIONS grams a text in tasks, and each language is fitted in a task of its own; the
-driver holds the model alone, of clusters * DIMENSIONS numbers a label, which goes to tasks with the function.
+learned. The sample becomes counts of at most DIMENSIONS grams a text in tasks, and each language is fitted in a task of its own. Centroids are written as a table
+and go to the tasks in blocks of `block_labels` labels, each a broadcast of bounded size; the driver and a task hold one block at a time, and a text keeps
+its best centroid from block to block. Of each label, the driver keeps its name and the distances of at most a third of its sample.
 
 Defined results: a null text, and a text without letters: `und`, score 0, rejected. With no labelled row at all, everything is `und`. A
 null doc_id is not held out and not learned from. Text, and nothing else, decides a prediction, so that repeated rows get equal results;
@@ -43,6 +44,7 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class Fit:
     per_language: int = 300
+    block_labels: int = 128  # labels whose centroids are held, and sent, together: at most 128 * clusters * 64 KB
     clusters: int = 4
     rounds: int = 10
     least_share: float = 0.08  # of a language's sample that a cluster must hold; smaller ones are mostly wrong labels
@@ -121,23 +123,44 @@ def _length(counts: np.ndarray) -> int:
     return int(counts.sum()).bit_length()
 
 
+@dataclass
+class Block:
+    """Some labels' centroids at hand; a broadcast of the same value takes its place on a cluster."""
+
+    value: tuple[np.ndarray, np.ndarray]  # (centroid, dimension), of length 1; each centroid's number of its label
+
+
 @dataclass
 class Model:
     languages: list[str]
     idf: np.ndarray
-    centroids: np.ndarray  # (centroid, dimension), of length 1
-    language_of: np.ndarray
+    blocks: list  # in order of labels
     reject: np.ndarray  # by class of length: a text under this cosine is rejected
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        found = features(text)
-        if found is None or not self.languages:
-            return UNDETERMINED, 0.0, True
-        cosines = self.centroids[:, found[0]] @ _vector(found, self.idf)
-        k = int(np.argmax(cosines))
-        score = float(min(1.0, max(0.0, round(float(cosines[k]), 6))))
-        limit = self.reject[min(_length(found[1]), len(self.reject) - 1)]
-        return self.languages[self.language_of[k]], score, bool(cosines[k] < limit)
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """One block of labels at a time, with each text's best so far."""
+        found = [features(t) for t in texts]
+        vectors = [None if f is None else _vector(f, self.idf) for f in found]
+        best: list[tuple[float, int]] = [(-np.inf, 0)] * len(texts)
+        for block in self.blocks:
+            centroids, language_of = block.value
+            for i, (f, v) in enumerate(zip(found, vectors)):
+                if f is not None:
+                    cosines = centroids[:, f[0]] @ v
+                    k = int(np.argmax(cosines))
+                    if cosines[k] > best[i][0]:
+                        best[i] = float(cosines[k]), int(language_of[k])
+        out = []
+        for f, (cosine, language) in zip(found, best):
+            if f is None or not self.languages:
+                out.append((UNDETERMINED, 0.0, True))
+            else:
+                limit = self.reject[min(_length(f[1]), len(self.reject) - 1)]
+                out.append((self.languages[language], float(min(1.0, max(0.0, round(cosine, 6)))), bool(cosine < limit)))
+        return out
 
 
 def _clusters(x: np.ndarray, k: int, rounds: int, least: float) -> np.ndarray:
@@ -177,12 +200,8 @@ def limits(held: np.ndarray, conf: Fit) -> np.ndarray:
     return np.array(out)
 
 
-def _model(idf: np.ndarray, fitted: list[tuple[str, np.ndarray, np.ndarray]], conf: Fit) -> Model:
-    if not fitted:
-        return Model([], idf, np.empty((0, DIMENSIONS), np.float32), np.empty(0, int), np.zeros(1))
-    owner = np.concatenate([np.full(len(c), i) for i, (_, c, _) in enumerate(fitted)])
-    reject = limits(np.concatenate([h for _, _, h in fitted]), conf)
-    return Model([name for name, _, _ in fitted], idf, np.concatenate([c for _, c, _ in fitted]), owner, reject)
+def _block(first: int, centroids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(centroids), np.concatenate([np.full(len(c), first + i) for i, c in enumerate(centroids)])
 
 
 def _idf(df: np.ndarray, n: int) -> np.ndarray:
@@ -197,7 +216,10 @@ def fit(texts: list[tuple[str, str]], conf: Fit | None = None) -> Model:
     for _, (ids, _) in found:
         df[ids] += 1
     idf = _idf(df, len(found))
-    return _model(idf, [(name, *fit_language([f for lang, f in found if lang == name], idf, conf)) for name in sorted({lang for lang, _ in found})], conf)
+    names = sorted({lang for lang, _ in found})
+    fitted = [fit_language([f for lang, f in found if lang == name], idf, conf) for name in names]
+    blocks = [Block(_block(0, [c for c, _ in fitted]))] if fitted else []
+    return Model(names, idf, blocks, limits(np.concatenate([h for _, h in fitted]) if fitted else np.empty(0), conf))
 
 
 def remainder(doc_id: str = "doc_id") -> Column:
@@ -243,9 +265,22 @@ def learn(docs: DataFrame, conf: Fit | None = None) -> Model:
         centroids, held = fit_language(list(zip(rows["ids"], rows["counts"])), idf, conf)
         return pd.DataFrame({"lang": [key[0]], "centroids": [centroids.tobytes()], "held": [held.tobytes()]})
 
-    told = found.groupBy("lang").applyInPandas(of_language, "lang string, centroids binary, held binary").collect()
-    fitted = [(r["lang"], np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMENSIONS), np.frombuffer(r["held"], np.float64).reshape(-1, 2)) for r in told]
-    return _model(idf, sorted(fitted, key=lambda x: x[0]), conf)
+    told = cut(found.groupBy("lang").applyInPandas(of_language, "lang string, centroids binary, held binary"))
+    names = [r["lang"] for r in told.select("lang").orderBy("lang").collect()]
+    context, blocks, held = docs.sparkSession.sparkContext, [], []
+    # The driver holds one block of labels at a time; each goes to the executors as a broadcast of its own.
+    for first in range(0, len(names), conf.block_labels):
+        some = names[first : first + conf.block_labels]
+        rows = told.where((F.col("lang") >= some[0]) & (F.col("lang") <= some[-1])).orderBy("lang").collect()
+        blocks.append(context.broadcast(_block(first, [np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMENSIONS) for r in rows])))
+        held += [np.frombuffer(r["held"], np.float64).reshape(-1, 2) for r in rows]
+    return Model(names, idf, blocks, limits(np.concatenate(held) if held else np.empty(0), conf))
+
+
+def _parts(batch: pa.RecordBatch, rows: int = 64) -> Iterator[list[str | None]]:
+    """Texts of a batch, few at a time, since their counts are held together."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.column("text").slice(at, rows).to_pylist()
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -253,7 +288,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            told = [model.predict(t.as_py()) for t in b.column("text")]
+            told = [x for part in _parts(b) for x in model.predict_all(part)]
             columns = [b.column("doc_id"), b.column("held_out"), *map(pa.array, ([x[0] for x in told], [x[1] for x in told], [x[2] for x in told]))]
             kinds = [None, None, pa.string(), pa.float64(), pa.bool_()]
             columns = [c if k is None else c.cast(k) for c, k in zip(columns, kinds)]
@@ -274,7 +309,7 @@ def keep_identified(docs: DataFrame, conf: Fit | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stays = pa.array([not model.predict(t.as_py())[2] for t in b.column("text")], pa.bool_())
+            stays = pa.array([not x[2] for part in _parts(b) for x in model.predict_all(part)], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(stays) for c in b.columns], names=names)
 
     return docs.mapInArrow(run, schema)

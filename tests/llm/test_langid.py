@@ -49,7 +49,7 @@ def test_cosine_is_that_of_tf_idf():
     v = np.zeros(langid.DIMENSIONS)
     for i, n in zip(*f):
         v[i] = (1 + math.log(n)) * m.idf[i]
-    want = max(float(c @ v) / np.linalg.norm(v) for c in m.centroids)
+    want = max(float(c @ v) / np.linalg.norm(v) for c in m.blocks[0].value[0])
     lang, score, _ = m.predict("ab aa")
     assert lang == "a" and abs(score - want) < 1e-4
     assert m.predict("qqqq jjjj")[2] is True  # nothing in common: too far from every centroid
@@ -163,3 +163,17 @@ def test_every_label_is_learned(spark):
     rows = [(230 * j + i, f"{words[i]} {words[i]} {words[i]}", f"l{i:03}") for i in range(230) for j in range(4)]
     model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.Fit(clusters=1))
     assert len(model.languages) > 220
+
+
+def test_blocks_of_labels(spark, sf_dir):
+    """Labels in blocks of one or two give what one block gives, also where a block has the best centroid of a later label."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    told = []
+    for n in (128, 2, 1):
+        model = langid.learn(docs, langid.Fit(block_labels=n))
+        assert len(model.blocks) == -(-len(model.languages) // n)
+        told.append(sorted(map(tuple, langid.predict(docs, model).collect())))
+    for other in told[1:]:
+        for r, x in zip(told[0], other, strict=True):
+            assert (r[:3], r[4]) == (x[:3], x[4]) and abs(r[3] - x[3]) < 1e-5  # sums of another shape round otherwise
+    assert len({r[2] for r in told[0]}) > 3
