@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.names import unused
 from factloom.operators.numbering import number_rows
 from factloom.operators.relational import majority, natural_left_join, union_all
 from factloom.operators.sampling import global_sample
@@ -16,12 +17,13 @@ def assign(rows: DataFrame, restricted: str, key: str, no_access: list[str], acc
     n, k = rows.count(), len(no_access) + len(access)
     block = -(-n // k) if n else 0
     first = len(no_access) * block
-    numbered = number_rows(rows.withColumn("__r", F.coalesce(F.col(restricted), F.lit(False)).cast("int")), ["__r", key], "rn")
+    late, rn = unused([*rows.columns, "annotator"], "late", "rn")
+    numbered = number_rows(rows.withColumn(late, F.coalesce(F.col(restricted), F.lit(False)).cast("int")), [late, key], rn)
     pick = lambda names, place: F.get(F.array(*map(F.lit, names)), place.cast("int")) if names else F.lit(None).cast("string")
-    low, high = (F.col("rn") - 1) % max(1, len(no_access)), (F.col("rn") - 1 - first) % max(1, len(access))
-    to = F.when(F.col("rn") <= first, pick(no_access, low)).otherwise(pick(access, high))
-    guarded = F.when((F.col("rn") <= first) & (F.col("__r") == 1), F.raise_error(F.lit("too few unrestricted rows")).cast("string")).otherwise(to)
-    return numbered.withColumn("annotator", guarded).drop("__r", "rn")
+    low, high = (F.col(rn) - 1) % max(1, len(no_access)), (F.col(rn) - 1 - first) % max(1, len(access))
+    to = F.when(F.col(rn) <= first, pick(no_access, low)).otherwise(pick(access, high))
+    guarded = F.when((F.col(rn) <= first) & (F.col(late) == 1), F.raise_error(F.lit("too few unrestricted rows")).cast("string")).otherwise(to)
+    return numbered.withColumn("annotator", guarded).drop(late, rn)
 
 
 def annotation_sample(pairs: DataFrame, models: list[str], n: int = 1200, seed: int = 42, key: str = "uid") -> DataFrame:

@@ -109,10 +109,11 @@ def join_chunks(events: DataFrame, key: str, order: str, text: str, blocked: str
 
     `events` has a row for each chunk: its place (`order`), its text, and whether the provider held it back (`blocked`), in which
     case the fixed literal stands in its place. A chunk without text that isn't blocked adds nothing; an answer without any chunk
-    that counts is a failed one. Status is ok, blocked or failed. An answer is one row's work, as its provider bounds its length.
+    that counts is a failed one. Status is ok, blocked or failed. An answer is one row's work, as its provider bounds its length. Chunks without a key
+    belong to no answer and are left out.
     """
     chunk = F.when(F.coalesce(F.col(blocked), F.lit(False)), F.lit(BLOCKED)).otherwise(F.col(text))
-    told = events.select(key, F.struct(F.col(order), chunk.alias("chunk")).alias("c"), chunk.isNotNull().alias("counts"), F.coalesce(F.col(blocked), F.lit(False)).alias("held"))
+    told = events.where(F.col(key).isNotNull()).select(key, F.struct(F.col(order), chunk.alias("chunk")).alias("c"), chunk.isNotNull().alias("counts"), F.coalesce(F.col(blocked), F.lit(False)).alias("held"))
     whole = told.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("counts"), F.col("c")))).alias("cs"), F.max("held").alias("held"))
     joined = F.array_join(F.transform("cs", lambda c: c["chunk"]), "")
     none = F.size("cs") == 0

@@ -690,6 +690,23 @@ def stub_inference(spark, sf_dir):
     return out.select("doc_id", "response", "attempts", "status")
 
 
+@register("arranged_rows", "SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY lang DESC NULLS LAST, n_chars NULLS FIRST, doc_id) AS place FROM documents")
+def arranged_rows(spark, sf_dir):
+    """All rows in an order of several keys: each row's place, without a task that holds them all."""
+    rows = _docs(spark, sf_dir).select("doc_id", "lang", "n_chars")
+    return number_rows(rows, [F.desc_nulls_last("lang"), F.asc_nulls_first("n_chars"), F.col("doc_id")], "place")
+
+
+@register("shared_annotation_rows", """WITH s AS (SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 30),
+    r AS (SELECT doc_id, source, row_number() OVER (ORDER BY (source IN ('src0', 'src1')), doc_id) AS rn, ceil(count(*) OVER () / 5.0)::BIGINT AS b FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM s))
+    SELECT d.doc_id, d.source, a.annotator FROM documents d JOIN s USING (doc_id), (VALUES ('ann'), ('bea'), ('cyd'), ('dan'), ('eve')) a(annotator)
+    UNION ALL SELECT doc_id, source, CASE WHEN rn <= 2 * b THEN ['ann', 'bea'][(rn - 1) % 2 + 1] ELSE ['cyd', 'dan', 'eve'][(rn - 1 - 2 * b) % 3 + 1] END FROM r""")
+def shared_annotation_rows(spark, sf_dir):
+    """A sample goes to every annotator, all other rows to one of them."""
+    rows = _docs(spark, sf_dir).select("doc_id", "source", F.col("source").isin("src0", "src1").alias("restricted"))
+    return an.with_shared_rows(rows, 30, _ANNOTATORS[0] + _ANNOTATORS[1], "restricted", "doc_id", _ANNOTATORS[0]).select("doc_id", "source", "annotator")
+
+
 _BATCH = 2000
 
 

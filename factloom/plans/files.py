@@ -193,6 +193,19 @@ def batch_jobs(spark, sf_dir):
     return _read(spark, path, got.select(F.col("key").alias("doc_id"), "response", "status"))
 
 
+@register("template_files", """SELECT doc_id, t.lang AS template, md5('In ' || t.lang || ': ' || text || chr(10) || '{done}') AS prompt_hash
+    FROM documents, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) t WHERE text IS NOT NULL""")
+def template_files(spark, sf_dir):
+    """A template file for each language of the documents, written and read back; every document under every template."""
+    path, d = _place(spark, "templates"), table(spark, sf_dir, "documents")
+    names = [r.lang for r in d.select("lang").where("lang IS NOT NULL").distinct().limit(rel.MOST_TEMPLATES + 1).collect()]
+    wr.write_templates(spark, {n: f"In {n}: {{text}}\n{{{{done}}}}" for n in names}, path)
+    templates = {r.name: r.template for r in rd.read_templates(spark, f"{path}/*.tmpl").collect()}
+    wr.remove(spark, path)
+    filled = pr.prompt_set(d.where(F.col("text").isNotNull()), templates, "text", ("doc_id",))
+    return filled.select("doc_id", F.col("prompt_template_name").alias("template"), hash_text(F.col("prompt")).alias("prompt_hash"))
+
+
 @register("warehouse_scan", "SELECT doc_id, lang, n_chars, md5(text) AS text_hash FROM documents WHERE n_chars >= 2000")
 def warehouse_scan(spark, sf_dir):
     """The given files as a warehouse: splits whose longest text is shorter aren't read."""
