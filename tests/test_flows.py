@@ -72,9 +72,15 @@ def test_terms(spark, tmp_path):
     assert len(annotate(df, "note_text").first().sentences) - len(annotate(df, "note_text", lexicon=Lexicon(terms)).first().sentences) in (0, 1)
 
 
-@pytest.mark.parametrize("word", "Apr. Dec. Inpt. Outpt. Cx. q.4h. q.4-6h p.o.q.d c.q.1h.p.r.n. d/c'd r/r/w E.coli A.Fib y.o a. B.D.Sc. +/- mEq. No.1 &gt; PH.D. x-ray".split())
-def test_terms_that_stay_whole(word):
-    assert [t for t, _ in tokenize(f"on {word} she")] == ["on", word, "she"]
+def test_terms_that_stay_whole(spark, tmp_path):
+    """Dotted and slashed letters by rule; all others as a file of terms."""
+    for word in "b.i.d. A.A.F.P. B.D.Sc. r/r/w s/p w/".split():
+        assert [t for t, _ in tokenize(f"on {word} she")] == ["on", word, "she"]
+    terms = "Apr. Dec. Inpt. Cx. q.4h. q.4-6h p.o.q.d d/c'd E.coli A.Fib y.o a. +/- mEq. No.1 &gt; PH.D. x-ray".split()
+    (tmp_path / "terms.txt").write_text("\n".join(terms))
+    lexicon = Lexicon(rd.read_terms(spark, str(tmp_path / "terms.txt")))
+    for word in terms:
+        assert [t for t, _ in tokenize(f"on {word} she", lexicon)] == ["on", word, "she"]
 
 
 def test_large_zips(spark, tmp_path):
