@@ -1,7 +1,8 @@
 """Jump consistent hashing: a stable key and the shard count decide a row's shard, without a ring table.
 
 A null id hashes as 0, so that such rows have one shard; a null text has no bytes. Repeated rows get the same
-shard and different slots. Any number of shards from 1 up works; growing from n to n+1 moves rows only into
+shard and different slots. Very long texts only count by their bytes and checksum; an empty table gives no rows; other columns are ignored, whatever
+their names. Any number of shards from 1 up works; growing from n to n+1 moves rows only into
 shard n.
 
 Slots number the rows of each shard from 0 without gaps, in order of id, checksum and size. No task ever

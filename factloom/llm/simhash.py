@@ -21,7 +21,8 @@ edges per bucket. Connected components of the edges come from alternating large-
 of which aggregates minima with map-side combining and is cut by a checkpoint; nothing is collected.
 
 Nulls: a null text has no words. A null doc_id counts as no id: a component's id is its smallest non-null doc_id,
-null if it has none. Repeated rows get the same result; an empty table gives none.
+null if it has none. Repeated rows get the same result; an empty table gives none. Very long texts are hashed whole, shingle by shingle.
+`near_duplicates` ignores other columns; `drop_near_copies` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations

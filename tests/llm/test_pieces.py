@@ -155,3 +155,16 @@ def test_texts_together_equal_texts_alone():
     together = Codec(MergeDropout(dropout=0.3, cache_words=50)).encode_all(texts, keys)
     assert together == [None if t is None else VARIED.encode(t, k or 0) for t, k in zip(texts, keys)]
     assert all(t is None or VARIED.decode(e) == t for t, e in zip(texts, together))
+
+
+def test_repeated_rows_and_null_keys_in_a_frame(spark):
+    """Repeated rows get the same ids, a null key counts as key 0, and a column with the name of an output is replaced."""
+    rows = [(5, "understanding nations", "x"), (5, "understanding nations", "y"), (None, "understanding nations", "x"), (0, "understanding nations", "x"), (7, None, "x"), (8, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_ids string").repartition(3)
+    got = pieces.encode(df, MergeDropout(dropout=0.5), outputs=("ids", "n_ids", "lossless"))
+    assert got.columns == ["doc_id", "text", "ids", "n_ids", "lossless"]
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.doc_id, []).append(r)
+    assert found[5][0] == found[5][1] and found[None][0].ids == found[0][0].ids
+    assert found[7][0].ids is None and found[8][0].ids == [] and all(r.lossless for k in (5, None, 0, 8) for r in found[k])

@@ -48,3 +48,19 @@ def test_odd_rows_pass(spark, sf_dir):
     for d in (df, df.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, d, sf_dir).collect()
+
+
+def test_very_long_texts_and_other_columns_pass_through(spark, sf_dir):
+    """Every stage takes a text of a million characters, and columns named like helpers of the stages."""
+    base = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang", "source").limit(60).collect()]
+    rows = [(*r, "a", "b") for r in base] + [(10**6, " ".join(r[1] for r in base) * (10**6 // sum(len(r[1]) for r in base) + 1), "en", "src0", "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __id string, __n string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "__id", "__n"], name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    kept = docs.collect()
+    assert kept and {(r["__id"], r["__n"]) for r in kept} == {("a", "b")}
+    long = spark.createDataFrame(rows[-1:], docs.schema)
+    (out,) = corpus_pipeline.STAGES[-1][1](spark, long, sf_dir).collect()
+    assert out.lossless and out.n_ids > 100_000

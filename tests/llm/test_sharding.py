@@ -59,3 +59,11 @@ def test_nulls_repeats_empty(spark):
 def test_native(spark, sf_dir):
     plan = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_long_texts_and_clashing_names(spark):
+    rows = [(i, "é" * (400_000 if i == 3 else i), i * 10, "mine", "t") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, __part string, slot string")
+    got = shard_documents(df).collect()
+    check([r[:2] for r in rows], got)
+    assert {r.size for r in got if r.doc_id == 3} == {800_001}
