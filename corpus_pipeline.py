@@ -21,18 +21,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (but for white space), one row stays: the longest, then the one with the smallest id."""
     return exact.drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id."""
     return simhash.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw documents so that sources, languages and topics have their target weights in tokens; all columns stay."""
     return mixing.keep_mixed(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode every document, with merge dropout, and tell whether decoding gives its text back. A null text has no ids."""
     rows = docs.select("doc_id", "lang", "source", "text")
     return pieces.encode(rows, outputs=("ids", "n_ids", "lossless"), keep_text=False)
 
