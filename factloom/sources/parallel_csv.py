@@ -31,6 +31,8 @@ from factloom.operators.numbering import materialise
 #: Kinds of what a block is cut into: a record, or a piece of one that began before it, goes on behind it, or both.
 RECORD, HEAD, TAIL, MIDDLE = 0, 1, 2, 3
 _READ = 1 << 20
+#: Blocks of one read, whose table (a short row each) goes to every task: 128 TB in Spark's splits of 128 MB.
+MOST_BLOCKS = 1_000_000
 
 
 class Cutter:
@@ -134,6 +136,8 @@ def read_csv_blocks(spark: SparkSession, path, schema: str | None = None, sep: s
     lines = spark.read.option("lineSep", "\n").text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("at"), "value")
     quotes = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("bigint")
     blocks = _parities(lines.groupBy("file", "at").agg(F.sum(quotes).alias("quotes")))
+    if blocks.count() > MOST_BLOCKS:
+        raise ValueError(f"more than {MOST_BLOCKS} blocks: read fewer files at a time, or larger splits (spark.sql.files.maxPartitionBytes)")
     # Both passes must see the same splits; a block that the first one didn't see fails the query, which can then be run again.
     known = F.when(F.col("inside").isNull(), F.raise_error(F.lit("splits changed between two passes")).cast("boolean")).otherwise(F.col("inside"))
     marked = lines.join(F.broadcast(blocks.select("file", "at", "inside")), ["file", "at"], "left").withColumn("inside", known)
