@@ -90,7 +90,7 @@ def bitmap(terms: DataFrame) -> tuple[DataFrame, int]:
 
 def fingerprint(text: Column, bits: Column, size: int, lex: Lexicon) -> Column:
     """struct<level, hashes>: hashes of the dense subsets, then of the sparse ones at level and level + 1; level -1 has the text's only."""
-    told = lambda part: F.when(F.size(part) == 0, "").otherwise(F.left(F.md5(F.array_join(part.cast("array<string>"), ",").cast("binary")), F.lit(16)))
+    told = lambda some: bound(some, lambda part: F.when(F.size(part) == 0, "").otherwise(F.left(F.md5(F.array_join(part.cast("array<string>"), ",").cast("binary")), F.lit(16))))
 
     def known(h: Column) -> Column:
         hit = F.lit(True)
@@ -99,27 +99,32 @@ def fingerprint(text: Column, bits: Column, size: int, lex: Lexicon) -> Column:
             hit = hit & (F.getbit(F.get(bits, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1)
         return hit
 
-    def hashed(own: Column) -> Column:
-        n = F.size(own)
-        level = F.when(n <= 1 << _LEAST_LEVEL, _LEAST_LEVEL).otherwise(F.least(F.length(F.bin(n - 1)), F.lit(_MOST_LEVEL)))
+    def hashed(own: Column, level: Column) -> Column:
         dense = [told(F.filter(own, lambda h: F.shiftright(h, 2 * j).bitwiseAND(3) != 0)) for j in range(lex.dense)]
-        # The numbers of a term's draws are uniform in 2**(level + 1), of which the first SPARSE name a subset.
-        span = F.call_function("shiftleft", F.lit(2).cast("bigint"), level) - 1
         drawn = lambda h, s, m: F.shiftright(h, s).bitwiseAND(m)
 
         def sparse(few: Column, m: Column) -> Column:
             hit = lambda h, j: (drawn(h, _DRAWS[0], m) == j) | (drawn(h, _DRAWS[1], m) == j)
             return F.transform(F.sequence(F.lit(0), F.lit(SPARSE - 1)), lambda j: told(F.filter(few, lambda h: hit(h, j))))
 
-        few = F.filter(own, lambda h: (drawn(h, _DRAWS[0], span) < SPARSE) | (drawn(h, _DRAWS[1], span) < SPARSE))
-        both = bound(few, lambda few: F.concat(sparse(few, span), sparse(few, span * 2 + 1)))
-        return F.struct(level.alias("level"), F.concat(F.array(*dense), both).alias("hashes"))
+        def both(span: Column) -> Column:
+            few = F.filter(own, lambda h: (drawn(h, _DRAWS[0], span) < SPARSE) | (drawn(h, _DRAWS[1], span) < SPARSE))
+            return bound(few, lambda few: F.concat(sparse(few, span), bound(span * 2 + 1, lambda m: sparse(few, m))))
+
+        # The numbers of a term's draws are uniform in 2**(level + 1), of which the first SPARSE name a subset.
+        span = F.call_function("shiftleft", F.lit(2).cast("bigint"), level) - 1
+        return F.struct(level.alias("level"), F.concat(F.array(*dense), bound(span, both)).alias("hashes"))
+
+    def levelled(own: Column) -> Column:
+        n = F.size(own)
+        level = F.when(n <= 1 << _LEAST_LEVEL, _LEAST_LEVEL).otherwise(F.least(F.length(F.bin(n - 1)), F.lit(_MOST_LEVEL)))
+        return bound(level, lambda level: hashed(own, level))
 
     def used(terms: Column) -> Column:
         return bound(F.filter(terms, known), lambda inside: F.when(F.size(inside) >= lex.few, inside).otherwise(terms))
 
     nothing = F.struct(F.lit(-1).alias("level"), F.array(F.left(F.md5(text.cast("binary")), F.lit(16))).alias("hashes"))
-    return bound(bound(term_hashes(text, lex), used), lambda own: F.when(F.size(own) == 0, nothing).otherwise(hashed(own)))
+    return bound(bound(term_hashes(text, lex), used), lambda own: F.when(F.size(own) == 0, nothing).otherwise(levelled(own)))
 
 
 def likeness(a: Column, b: Column, lex: Lexicon) -> Column:

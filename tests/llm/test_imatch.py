@@ -5,6 +5,7 @@ import hashlib
 import duckdb
 import pyarrow as pa
 import regex
+from pyspark.sql import functions as F
 
 from factloom.llm import imatch
 from factloom.llm.imatch import Lexicon, fingerprint_documents
@@ -89,3 +90,11 @@ def test_likeness(spark):
 def test_native(spark, sf_dir):
     plan = fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_parts_are_computed_once(spark):
+    """The level, and each subset's terms, stand once in the expression: what stands in a lambda again is computed at each of its turns."""
+    lex = Lexicon()
+    told = str(imatch.fingerprint(F.col("t"), F.col("b"), 1024, lex))
+    assert [told.count(x) for x in ("bin(", "shiftleft(")] == [1, 1]
+    assert told.count("filter(") == lex.dense + 5  # words, known terms, drawn ones, and the sparse subsets at two levels
