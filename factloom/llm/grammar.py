@@ -81,6 +81,8 @@ class WordIds(dict):
         self.byte = {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
 
     def _ids(self, word: str) -> bytes:
+        if word.isalpha() and word.isascii():  # most words: one part, and capitals mean small letters
+            return array(self.code, [t.id for t in self.merge(word)]).tobytes() if word.islower() else self[word.lower()]
         plain = word.isascii() and word.isprintable() or _PLAIN.fullmatch(word)
         if not plain:
             return array(self.code, self.whole.encode(word, add_special_tokens=False).ids).tobytes()
@@ -95,7 +97,7 @@ class WordIds(dict):
         return array(self.code, found).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
+        ids = self.old.get(word) if self.old else None
         if ids is None:
             ids = self._ids(word)
         if len(word) < 64:
